@@ -72,3 +72,69 @@ def group_share(value: str, by: Sequence[str]) -> Column:
 
     total = F.sum(value).over(Window.partitionBy(*by))
     return F.col(value).cast("double") * 100.0 / F.nullif(total.cast("double"), F.lit(0.0))
+
+
+QUANTILE_CELLS = 256
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact, linearly interpolated quantiles of a column with any number of distinct values.
+
+    The built-in exact percentile keeps every distinct value of a group in one task. Here equal values
+    are counted first, the distinct values are cut into cells of about equal size by an approximate
+    sketch, and only the cells that hold a wanted rank are ordered, each in its own task.
+    """
+    from pyspark.sql import Window
+
+    keys = list(by) or ["__all"]
+    rows = df.select(*[F.col(k) for k in by], F.col(value).cast("double").alias("v"))
+    rows = rows if by else rows.withColumn("__all", F.lit(0))
+    counts = rows.where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+
+    steps = F.array(*[F.lit(i / QUANTILE_CELLS) for i in range(1, QUANTILE_CELLS)])
+    edges = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, 10_000).alias("edges"))
+    # one short array per group: summaries are grouped by segments, cohorts or countries
+    celled = counts.join(F.broadcast(edges), keys).select(
+        *keys, "v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("cell")
+    )
+    totals = celled.groupBy(*keys, "cell").agg(F.sum("n").alias("cell_n"))
+    by_cell = Window.partitionBy(*keys).orderBy("cell")
+    totals = totals.select(
+        *keys,
+        "cell",
+        (F.sum("cell_n").over(by_cell) - F.col("cell_n")).alias("before"),
+        (F.sum("cell_n").over(by_cell)).alias("after"),
+        F.sum("cell_n").over(Window.partitionBy(*keys)).alias("total"),
+    )
+    ranks = []
+    for p in probs.values():
+        at = F.lit(p) * (F.col("total") - 1)
+        ranks += [F.floor(at), F.least(F.floor(at) + 1, F.col("total") - 1)]
+    wanted = F.exists(F.array(*ranks), lambda r: (r >= F.col("before")) & (r < F.col("after")))
+    inside = celled.join(F.broadcast(totals.where(wanted)), [*keys, "cell"])
+    ordered = Window.partitionBy(*keys, "cell").orderBy("v")
+    end = F.col("before") + F.sum("n").over(ordered)
+    inside = inside.withColumn("end", end).withColumn("begin", F.col("end") - F.col("n"))
+    out = []
+    for alias, p in probs.items():
+        at = F.lit(p) * (F.col("total") - 1)
+        low = F.floor(at)
+        high = F.least(low + 1, F.col("total") - 1)
+        low_v = F.max(F.when((F.col("begin") <= low) & (F.col("end") > low), F.col("v")))
+        high_v = F.max(F.when((F.col("begin") <= high) & (F.col("end") > high), F.col("v")))
+        part = F.max(at - low)
+        out.append((low_v + (high_v - low_v) * part).alias(alias))
+    result = inside.groupBy(*keys).agg(*out)
+    return result if by else result.drop("__all")
+
+
+def describe_exact(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`describe` for a column with many distinct values."""
+    v = F.col(value).cast("double")
+    moments = df.groupBy(*by).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    quartiles = exact_quantiles(df, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by)
+    if by:
+        return moments.join(quartiles, list(by))
+    return moments.withColumn("__k", F.lit(0)).join(quartiles.withColumn("__k", F.lit(0)), "__k").drop("__k")

@@ -11,6 +11,7 @@ from usagekit.functions.derive import adoption_cohort, first_match, share
 from usagekit.functions.stats import column_max_share
 
 BUILDER, RUNNER, CODER, VIEWER, GHOST = "Agent Builder", "Agent Runner", "Manual Coder", "Viewer", "Ghost"
+SEGMENT_ORDER = (BUILDER, RUNNER, CODER, VIEWER, GHOST)
 
 
 @dataclass(frozen=True)
