@@ -18,6 +18,11 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def one_of(names: Sequence[str], column: str = "event") -> Column:
+    """Membership in a fixed list as one parsed expression (a plain IN list, so it is pushed to the scan)."""
+    return F.expr(f"{column} IN ({', '.join(repr(str(n)) for n in names)})")
+
+
 def flag(condition: Column) -> Column:
     """1 where the condition holds, 0 where it does not or is NULL."""
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
@@ -90,12 +95,12 @@ def fill_numeric(df: DataFrame) -> DataFrame:
     out = []
     for name, dtype in df.dtypes:
         if dtype == "boolean":
-            out.append(flag(F.col(f"`{name}`")).alias(name))
+            out.append(f"int(coalesce(`{name}`, false)) AS `{name}`")
         elif dtype in numeric or dtype.startswith("decimal"):
-            out.append(F.coalesce(F.col(f"`{name}`"), F.lit(0).cast(dtype)).alias(name))
+            out.append(f"coalesce(`{name}`, cast(0 AS {dtype})) AS `{name}`")
         else:
-            out.append(F.col(f"`{name}`"))
-    return df.select(*out)
+            out.append(f"`{name}`")
+    return df.selectExpr(*out)
 
 
 def tool_of(event: Column | str = "event", tool_name: Column | str = "tool_name", vocab: Vocabulary = DEFAULT) -> Column:

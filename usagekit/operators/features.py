@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagekit.functions.derive import clip, elapsed, fill_numeric, flag, ratio, referrer_class, tool_of, with_canvas_id
+from usagekit.functions.derive import one_of, clip, elapsed, fill_numeric, flag, ratio, referrer_class, tool_of, with_canvas_id
 from usagekit.operators.ordered import ngrams, session_table
 from usagekit.vocabulary import DEFAULT, Vocabulary
 
@@ -28,7 +28,7 @@ FAMILIES = (
 def daily_rollup(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """(user, day, event, tool) with event count and first and last time; the tool is kept for
     agent-tool events only."""
-    tool = F.when(F.col("event").isin(*vocab.tool_events), tool_of(vocab=vocab))
+    tool = F.when(one_of(vocab.tool_events), tool_of(vocab=vocab))
     return (
         log.select(KEY, F.to_date("ts").alias("day"), "event", tool.alias("tool"), "ts")
         .groupBy(KEY, "day", "event", "tool")
@@ -57,8 +57,8 @@ def _first(condition: Column) -> Column:
 def rollup_features(rollup: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Everything that counts, flags or dates events by name, in one aggregation of the roll-up."""
     event, tool = F.col("event"), F.col("tool")
-    by_tool = event.isin(*vocab.tool_events)
-    manual, chat = event.isin(*vocab.runs), event.isin(*vocab.agent_start)
+    by_tool = one_of(vocab.tool_events)
+    manual, chat = one_of(vocab.runs), one_of(vocab.agent_start)
     name = F.lower(F.replace(tool, F.lit(" "), F.lit("_")))
     groups = {
         "agent_build_calls": "create_block|refactor_block|create_edges",
@@ -93,7 +93,7 @@ def rollup_features(rollup: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame
         _first(manual).alias("first_manual_run_at"),
         _first(by_tool).alias("first_agent_tool_at"),
         _first(chat).alias("first_agent_chat_at"),
-        _n(event.isin(*vocab.credit_events)).alias("credit_events"),
+        _n(one_of(vocab.credit_events)).alias("credit_events"),
         _ever(event == vocab.credits_exceeded).alias("had_credit_exceeded"),
         _ever(event == vocab.addon_credits).alias("had_addon_credits"),
     )
@@ -137,7 +137,7 @@ def manual_features(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
 
 
 def _conversations(log: DataFrame, vocab: Vocabulary) -> DataFrame:
-    chats = log.where(F.col("event").isin(*vocab.agent_start))
+    chats = log.where(one_of(vocab.agent_start))
     return chats.groupBy(KEY).agg(F.count_distinct("message_id").alias("agent_conversations"))
 
 
@@ -158,7 +158,7 @@ def agent_tool_features(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFram
 def tool_transition_features(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Counts of consecutive tool pairs per user and their rates over all pairs."""
     tool = F.replace(F.coalesce(tool_of(vocab=vocab), F.lit("")), F.lit("_tool"), F.lit(""))
-    calls = log.where(F.col("event").isin(*vocab.tool_events)).select(KEY, "ts", "event_id", tool.alias("token"))
+    calls = log.where(one_of(vocab.tool_events)).select(KEY, "ts", "event_id", tool.alias("token"))
     pairs = ngrams(calls, 2, [KEY])
 
     def pair(a: str, b: str) -> Column:
@@ -240,14 +240,14 @@ def native_sessions(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
         .groupBy(KEY, "session_id", "event")
         .agg(F.count("event").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     )
-    agent = F.col("event").isin(*vocab.tool_events, *vocab.agent_start)
+    agent = one_of((*vocab.tool_events, *vocab.agent_start))
     return per_event.groupBy(KEY, "session_id").agg(
         F.min("first_ts").alias("start"),
         F.max("last_ts").alias("end"),
         F.sum("n").alias("events"),
         F.count("event").alias("event_types"),
         _ever(agent).alias("had_agent"),
-        _ever(F.col("event").isin(*vocab.runs)).alias("had_run"),
+        _ever(one_of(vocab.runs)).alias("had_run"),
     )
 
 
@@ -290,8 +290,8 @@ def return_features(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
 
 def session_structure_features(log: DataFrame, gap_min: float = 30, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Derived sessions: how many, how many both build and run something, the largest."""
-    built = F.col("event").isin("block_create", *vocab.build_events)
-    ran = F.col("event").isin(*vocab.runs, vocab.tool_prefix + "run_block_tool")
+    built = one_of(("block_create", *vocab.build_events))
+    ran = one_of((*vocab.runs, vocab.tool_prefix + "run_block_tool"))
     sessions = session_table(log, gap_min, maxima={"built": flag(built), "ran": flag(ran)})
     out = sessions.groupBy(KEY).agg(
         F.count_if((F.col("built") == 1) & (F.col("ran") == 1)).alias("productive_sessions"),

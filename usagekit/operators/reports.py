@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagekit.functions.derive import (
-    bucketize, clip, elapsed, flag, hour_band, label_rank, ratio, return_cohort, share, weekend_label,
+    one_of, bucketize, clip, elapsed, flag, hour_band, label_rank, ratio, return_cohort, share, weekend_label,
 )
 from usagekit.functions.stats import column_max_share, describe, describe_exact, exact_quantiles, group_share
 from usagekit.operators.segments import BUILDER, CODER, GHOST, RUNNER, VIEWER, pct_segment
@@ -87,7 +87,7 @@ def funnel_by_cohort(users: DataFrame) -> DataFrame:
 
 def event_funnel(log: DataFrame, events: Sequence[str] = EVENT_FUNNEL) -> DataFrame:
     """Distinct users per named event; an event nobody fired stays with 0."""
-    per_user = log.where(F.col("event").isin(*events)).groupBy(KEY, "event").agg(F.lit(1).alias("one"))
+    per_user = log.where(one_of(events)).groupBy(KEY, "event").agg(F.lit(1).alias("one"))
     wide = per_user.agg(
         *[F.struct(F.lit(i).alias("position"), F.lit(e).alias("stage"), F.count_if(F.col("event") == e).alias("users")).alias(f"s{i}") for i, e in enumerate(events)]
     )
@@ -313,7 +313,7 @@ BURN_LABELS = ("0 (none)", "1-5", "6-20", "21-50", "51-100", "100+")
 
 def credit_burn(users: DataFrame, log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Credit events per active day of every user."""
-    counts = log.where(F.col("event").isin(*vocab.credit_use)).groupBy(KEY).agg(F.count(F.lit(1)).alias("credit_uses"))
+    counts = log.where(one_of(vocab.credit_use)).groupBy(KEY).agg(F.count(F.lit(1)).alias("credit_uses"))
     out = users.select(KEY, "segment", "signup_cohort", "days_active").join(counts, KEY, "left").fillna(0, subset=["credit_uses"])
     return out.withColumn("burn_rate", F.col("credit_uses") / F.greatest(F.col("days_active"), F.lit(1)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagekit.functions.derive import bucketize, clip, column_or, elapsed, first_match, flag, share
+from usagekit.functions.derive import one_of, bucketize, clip, column_or, elapsed, first_match, flag, share
 from usagekit.functions.stats import exact_quantiles, min_max, value_ranges
 from usagekit.operators.features import observation_end
 from usagekit.operators.segments import BUILDER, pct_segment
@@ -70,9 +70,9 @@ def risk_summary(scored: DataFrame) -> DataFrame:
 def struggle_counts(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Error-assist flag and credit-warning count per user."""
     event = F.col("event")
-    return log.where(event.isin(*vocab.struggle)).groupBy(KEY).agg(
+    return log.where(one_of(vocab.struggle)).groupBy(KEY).agg(
         F.max(flag(event == vocab.error_assist)).alias("had_error_assist"),
-        F.count_if(event.isin(*vocab.credit_warnings, vocab.credits_exceeded)).alias("credit_warning_events"),
+        F.count_if(one_of((*vocab.credit_warnings, vocab.credits_exceeded))).alias("credit_warning_events"),
     )
 
 
@@ -166,7 +166,7 @@ def struggle_recovery(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     (user, day), so the active days need no distinct count.
     """
     event = F.col("event")
-    first = log.where(event.isin(*vocab.struggle)).groupBy(KEY).agg(
+    first = log.where(one_of(vocab.struggle)).groupBy(KEY).agg(
         F.min("ts").alias("first_struggle_at"),
         F.count(F.lit(1)).alias("struggle_events"),
         F.count_if(event == vocab.error_assist).alias("error_assist_events"),
@@ -174,7 +174,7 @@ def struggle_recovery(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     )
     after = F.unix_micros("ts") - F.unix_micros("first_struggle_at")
     later = log.select(KEY, "event", "ts").join(first.select(KEY, "first_struggle_at"), KEY).where(after > 0)
-    recovery = event.isin(*vocab.recovery)
+    recovery = one_of(vocab.recovery)
     soon = after <= F.lit(24 * 3_600_000_000)
     daily = later.groupBy(KEY, F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(recovery).alias("r"), F.count_if(soon).alias("soon"),
@@ -198,9 +198,14 @@ STRUGGLE_COUNTS = (
 )
 
 
-def struggle_quality(scored: DataFrame, recovery: DataFrame) -> DataFrame:
-    """Recovery intensity, abandonment risk, quality score and class of every scored user."""
-    users = scored.join(recovery, KEY, "left").fillna(0, subset=list(STRUGGLE_COUNTS)).fillna(999.0, subset=["hours_to_first_recovery"])
+def with_recovery(scored: DataFrame, recovery: DataFrame) -> DataFrame:
+    """Scored users with their struggle counts; 0 and 999 hours for users without a struggle."""
+    users = scored.join(recovery, KEY, "left").fillna(0, subset=list(STRUGGLE_COUNTS))
+    return users.fillna(999.0, subset=["hours_to_first_recovery"])
+
+
+def struggle_quality(users: DataFrame) -> DataFrame:
+    """Recovery intensity, abandonment risk, quality score and class of the users of :func:`with_recovery`."""
     ranges = value_ranges(users, ("recovery_events_post_struggle", "active_days_after_struggle", "avg_revisit_depth", "events_within_24h"))
     rows = users.withColumn("__ranges", ranges)
 
@@ -256,7 +261,7 @@ def engagement_features(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFram
     event = F.col("event")
     session = log.groupBy(KEY, "session_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(event.isin(*vocab.all_runs)).alias("runs"),
+        F.count_if(one_of(vocab.all_runs)).alias("runs"),
         F.count_if(event == "agent_block_created").alias("blocks"),
         F.count_if(event == "agent_accept_suggestion").alias("accepted"),
         F.count_if(F.startswith(event, F.lit("agent_"))).alias("agent"),
@@ -303,8 +308,12 @@ def ces_distribution(labelled: DataFrame) -> DataFrame:
 def ces_correlation(labelled: DataFrame) -> DataFrame:
     """Correlation of the criteria as (a, b, r), in one aggregation; NULL for a constant criterion."""
     pairs = [(a, b) for i, a in enumerate(CRITERIA) for b in CRITERIA[i:]]
+
+    def r(a: str, b: str) -> Column:
+        return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
     wide = labelled.agg(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(a, b).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
     )
     return wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
 

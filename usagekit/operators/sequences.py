@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagekit.functions.derive import depth_points, elapsed, event_category, flag, session_phase, tool_label, with_canonical_event, with_tool
+from usagekit.functions.derive import one_of, depth_points, elapsed, event_category, flag, session_phase, tool_label, with_canonical_event, with_tool
 from usagekit.operators.ordered import GRAM_SEPARATOR, _number_segments, activity_segments, dedup_steps, ngrams, sessionize, time_slice
 from usagekit.operators.segments import BUILDER, CODER, GHOST, VIEWER
 from usagekit.vocabulary import DEFAULT, TRANSITION_STATES, Vocabulary
@@ -17,7 +17,7 @@ KEY = "person_id"
 
 def tool_calls(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Agent tool calls with their display name; worker rows and rows without a tool are left out."""
-    calls = with_tool(log.where(F.col("event").isin(*vocab.tool_events) | F.col("tool_name").isNotNull()), vocab)
+    calls = with_tool(log.where(one_of(vocab.tool_events) | F.col("tool_name").isNotNull()), vocab)
     calls = calls.where(F.col("tool").isNotNull() & (F.col("tool") != vocab.worker_tool))
     return calls.select(KEY, "ts", "event_id", "event", tool_label("tool", vocab).alias("token"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagekit.functions.derive import clip, elapsed, flag, is_build, share
+from usagekit.functions.derive import one_of, clip, elapsed, flag, is_build, share
 from usagekit.functions.stats import exact_quantiles
 from usagekit.operators.segments import BUILDER
 from usagekit.vocabulary import DEFAULT, Vocabulary
@@ -75,7 +75,7 @@ def milestone_flags(log: DataFrame, hours: float = 48, anchor: str = "first_seen
     event, n = F.col("event"), F.col("n")
 
     def any_of(*names: str) -> Column:
-        return F.max(flag(event.isin(*names)))
+        return F.max(flag(one_of(names)))
 
     return per_event.groupBy(KEY).agg(
         any_of(*vocab.runs).alias("ran_code_48h"),
@@ -83,7 +83,7 @@ def milestone_flags(log: DataFrame, hours: float = 48, anchor: str = "first_seen
         any_of(*vocab.tool_events).alias("used_agent_tool_48h"),
         any_of(vocab.build_events[0]).alias("created_block_48h"),
         any_of(vocab.build_events[1]).alias("refactored_48h"),
-        flag(F.sum(F.when(event.isin(*vocab.build_events), n).otherwise(0)) >= 3).alias("reached_3_build_48h"),
+        flag(F.sum(F.when(one_of(vocab.build_events), n).otherwise(0)) >= 3).alias("reached_3_build_48h"),
         any_of(*vocab.fullscreen).alias("fullscreen_48h"),
         flag(F.max("latest") >= F.lit(12 * 3_600_000_000)).alias("returned_within_48h"),
         flag(F.sum(n) >= 10).alias("had_10plus_events_48h"),

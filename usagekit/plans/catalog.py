@@ -13,7 +13,7 @@ from usagekit.operators import canvas, features, geo, ordered, reports, scoring,
 from usagekit.plans import tables
 from usagekit.session import ensure_utc, materialize
 from usagekit.sources import events as source
-from usagekit.sources.testtables import conversation_tokens, orders_log, usage_log
+from usagekit.sources.testtables import conversation_tokens, ingested_log, orders_log, usage_log
 
 KEY = "person_id"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,25 +21,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded for display."""
-    return df.select(*[F.round(F.col(f"`{n}`"), places).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{n}`, {places}) AS `{n}`" if t == "double" else f"`{n}`" for n, t in df.dtypes])
 
 
 def _on_log(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: rounded(build(usage_log(ensure_utc(spark), sf)))
+    return lambda spark, sf: rounded(build(ingested_log(spark, sf)))
 
 
 def _on_users(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: rounded(build(tables.test_users(ensure_utc(spark), sf)))
+    return lambda spark, sf: rounded(build(tables.test_users(spark, sf)))
 
 
 def _on_table(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: rounded(build(tables.test_table(ensure_utc(spark), sf)))
+    return lambda spark, sf: rounded(build(tables.test_table(spark, sf)))
 
 
 def _on_both(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        log = usage_log(ensure_utc(spark), sf)
-        return rounded(build(log, tables.segmented_users(log, tables.TEST_RULES)))
+        return rounded(build(ingested_log(spark, sf), tables.test_users(spark, sf)))
 
     return run
 
@@ -55,7 +54,7 @@ def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """The log written as raw CSV under its export names, read back and cleaned, counted per event."""
     ensure_utc(spark)
     names = {new: old for old, new in source.RAW_COLUMNS.items()}
-    log = usage_log(spark, sf)
+    log = ingested_log(spark, sf)
     raw = log.select(*[F.col(c).alias(names.get(c, c)) for c in log.columns]).withColumn(
         "prop_flag", F.when(F.col("event_id") % 2 == 0, F.lit("IGAZ")).otherwise(F.lit("HAMIS"))
     )
@@ -78,7 +77,7 @@ def _features_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
     base = f"{scratch_dir(ensure_utc(spark))}/usagekit/features-{uuid.uuid4().hex}"
-    source.write_twin(features.volume_features(usage_log(spark, sf)), base)
+    source.write_twin(features.volume_features(ingested_log(spark, sf)), base)
     csv = spark.read.option("header", True).csv(f"{base}.csv")
     users = source.read_features(spark, f"{base}.parquet")
     same = csv.select(KEY, F.col("total_events").cast("long").alias("csv_events"))
@@ -142,7 +141,7 @@ def _sessions(log: DataFrame) -> DataFrame:
 
 
 def _user_canvas(spark: SparkSession, sf: str) -> DataFrame:
-    log = usage_log(ensure_utc(spark), sf)
+    log = ingested_log(spark, sf)
     users = log.select(KEY).distinct()
     return rounded(canvas.user_canvas_features(canvas.canvas_events(log), users))
 
@@ -187,9 +186,8 @@ def _lift(log: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def _motifs(spark: SparkSession, sf: str) -> DataFrame:
-    log = usage_log(ensure_utc(spark), sf)
-    table = materialize(tables.test_table(spark, sf).select(KEY, "segment", "is_churn", "avg_canvas_complexity"), "labels")
-    return rounded(sequences.motif_tables(log, table))
+    log = ingested_log(spark, sf)
+    return rounded(sequences.motif_tables(log, tables.test_table(spark, sf)))
 
 
 def _paths(log: DataFrame, users: DataFrame) -> DataFrame:
@@ -200,8 +198,8 @@ def _paths(log: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def _ces(spark: SparkSession, sf: str) -> DataFrame:
-    log = usage_log(ensure_utc(spark), sf)
-    users = tables.segmented_users(log, tables.TEST_RULES).join(scoring.engagement_features(log), KEY)
+    log = ingested_log(spark, sf)
+    users = tables.test_users(spark, sf).join(scoring.engagement_features(log), KEY)
     return scoring.ces_label(users)
 
 
@@ -216,7 +214,7 @@ def _probability(labelled: DataFrame) -> DataFrame:
 
 def _geo(build: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(build(geo.with_country(tables.test_table(ensure_utc(spark), sf), usage_log(spark, sf))))
+        return rounded(build(geo.with_country(tables.test_table(spark, sf), ingested_log(spark, sf))))
 
     return run
 
@@ -270,7 +268,7 @@ def queries() -> dict[str, Query]:
         "session_structure_features": _on_log(features.session_structure_features),
         "signup_time_features": _on_log(features.signup_time_features),
         "referrer_features": _on_log(features.referrer_features),
-        "feature_matrix": _on_users(lambda users: users),
+        "feature_matrix": _on_log(lambda log: tables.segmented_users(log, tables.TEST_RULES)),
         # segments
         "segment_summary": _on_users(segments.segment_summary),
         "segment_profile": _on_users(segments.segment_profile),

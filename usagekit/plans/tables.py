@@ -1,7 +1,7 @@
 """The chain of user tables: features, segments, canvas measures, churn labels, scores.
 
-Each function declares its table from the ones before; nothing runs until a result is asked for.
-``scored_base`` is written once, because the scores read it for the value ranges and again for the rows.
+Each function declares its table from the ones before. The user tables are written to the shared
+folder once, as every report reads them: the log is aggregated once, not once per report.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from usagekit.functions.derive import clip
 from usagekit.operators import canvas, features, scoring, segments
-from usagekit.session import materialize
-from usagekit.sources.testtables import usage_log
+from usagekit.session import materialize, once
+from usagekit.sources.testtables import ingested_log
 
 KEY = "person_id"
 # Users of the test tables have 45 to 99 events each: the lowest tenth stands for the ghosts.
@@ -25,7 +25,10 @@ def segmented_users(log: DataFrame, rules: segments.SegmentRules = segments.Segm
 
 def user_table(log: DataFrame, rules: segments.SegmentRules = segments.SegmentRules(), horizon_days: float = 14) -> DataFrame:
     """Features, segment, canvas measures, churn label and struggle counts side by side."""
-    users = segmented_users(log, rules)
+    return extend_users(segmented_users(log, rules), log, horizon_days)
+
+
+def extend_users(users: DataFrame, log: DataFrame, horizon_days: float = 14) -> DataFrame:
     users = canvas.user_canvas_features(canvas.canvas_events(log), users)
     users = users.join(scoring.churn_label_survival_proxy(log, horizon_days), KEY, "left")
     users = users.join(scoring.struggle_counts(log), KEY, "left")
@@ -38,22 +41,25 @@ def recency_risk(users: DataFrame, days: float = 120.0) -> DataFrame:
 
 
 def test_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmented_users(usage_log(spark, sf_dir), TEST_RULES)
+    """Segmented user matrix of the test tables, written once and read by the reports."""
+    return once(spark, "users", sf_dir, lambda: segmented_users(ingested_log(spark, sf_dir), TEST_RULES))
 
 
 def test_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recency_risk(user_table(usage_log(spark, sf_dir), TEST_RULES))
-
-
-def scored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(test_table(spark, sf_dir), "users")
+    """The same users with canvas, churn and struggle columns."""
+    return once(
+        spark, "user-table", sf_dir,
+        lambda: recency_risk(extend_users(test_users(spark, sf_dir), ingested_log(spark, sf_dir))),
+    )
 
 
 def intervention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.intervention_scores(scored_base(spark, sf_dir))
+    return scoring.intervention_scores(test_table(spark, sf_dir))
 
 
 def struggle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recovery = scoring.struggle_recovery(usage_log(spark, sf_dir))
-    scored = materialize(intervention(spark, sf_dir).join(recovery, KEY, "left"), "struggle")
-    return scoring.struggle_quality(scored.drop(*recovery.columns[1:]), scored.select(*recovery.columns))
+    """Struggle quality over the intervention scores; the joined table is written first, since the
+    value ranges and the rows both read it."""
+    recovery = scoring.struggle_recovery(ingested_log(spark, sf_dir))
+    joined = scoring.with_recovery(intervention(spark, sf_dir), recovery)
+    return scoring.struggle_quality(materialize(joined, "struggle"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE re-plans joins and coalesces shuffles at run time; the forced skew join lets it split a hot
@@ -54,3 +55,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{scratch_dir(spark)}/usagekit/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def once(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+    """The table ``build`` declares, written at its first use in this application and read afterwards."""
+    ensure_utc(spark)
+    key = (spark.sparkContext.applicationId, name, source)
+    if key in _WRITTEN:
+        path, schema = _WRITTEN[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            del _WRITTEN[key]
+    df = materialize(build(), name)
+    _WRITTEN[key] = (df.inputFiles()[0].rsplit("/", 1)[0], df.schema)
+    return df

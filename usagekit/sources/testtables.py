@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagekit.session import ensure_utc
+from usagekit.session import ensure_utc, once
 from usagekit.sources.events import conform
 
 # ---------------------------------------------------------------------------------------------
@@ -180,6 +180,14 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(log)
 
 
+def ingested_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``usage_log`` as a parquet table in the shared folder, written once per application and table set.
+
+    Operators then scan plain columns, so event filters and column pruning reach the files.
+    """
+    return once(spark, "log", sf_dir, lambda: usage_log(spark, sf_dir))
+
+
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``orders`` table as a long-horizon event log: customer, priority, order date."""
     ensure_utc(spark)
