@@ -350,6 +350,9 @@ FEATURE_COLS = {
     "session_structure_features": ("struc", "person_id, productive_sessions, total_sessions_derived, max_events_per_session", "productive_session_share"),
     "signup_time_features": ("ttf2", "person_id, signup_hour, signup_dow, signup_is_weekend", ""),
 }
+MODEL_COLUMNS = """ttf_manual_run_min ttf_agent_tool_min ttf_agent_chat_min adopted_agent_early ever_used_agent ever_ran_manually signed_up skipped_onboarding_form
+ submitted_onboarding completed_onboarding first_session_events first_session_event_types first_session_duration_min first_session_had_agent first_session_had_run
+ had_second_session time_to_return_hours signup_hour signup_is_weekend ref_google ref_github ref_linkedin ref_twitter ref_direct ref_other""".split()
 DOUBLE_FEATURES = """tenure_days ttf_manual_run_min ttf_agent_tool_min ttf_agent_chat_min recency_days primary_canvas_event_share one_day_canvas_share create_run_alternation_rate
  refactor_after_run_rate finish_summary_rate first_session_duration_min time_to_return_hours productive_session_share""".split()
 
@@ -566,4 +569,20 @@ def oracle_sql() -> dict[str, str]:
     sql["headline_rates"] = out(TABLE, "ut", "count(*) AS users, count(*) FILTER (segment = 'Agent Builder') AS agent_builders, count(*) FILTER (segment = 'Ghost') AS ghosts", f"pct_agent: {pct('ever_used_agent = 1')}; pct_return: {pct('had_second_session = 1')}; pct_early: {pct('adopted_agent_early = 1')}; churn_rate: {pct('is_churn = 1')}")
     sql["dashboard_segments"] = out(USERS, "users", "segment, count(*) AS users", f"avg_days: avg(days_active); avg_tools: avg(agent_tool_calls_total); avg_builds: avg(agent_build_calls); pct_return: {pct('had_second_session = 1')}; pct_credit: {pct('had_credit_exceeded = 1')}; pct_of_users: count(*) * 100.0 / (SELECT count(*) FROM users)", group="segment")
     sql["dashboard_cohorts"] = out(USERS, "users", "signup_cohort, count(*) AS users", f"pct_ab: {AB}; pct_agent: {pct('ever_used_agent = 1')}; avg_tools: avg(agent_tool_calls_total)", group="1")
+    # ------------------------------------------------------------------ model inputs and curves
+    lab = USERS + ", lb AS (SELECT *, CASE WHEN segment = 'Agent Builder' THEN 1.0 ELSE 0.0 END AS label FROM users)"
+    sql["balanced_weights"] = out(lab, "lb", "count(*) AS users", "label; weight: (SELECT count(*) FROM lb) / (2.0 * count(*))", group="label")
+    sql["label_correlation"] = f"WITH {lab} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {rd(f'covar_pop({c}, label) / NULLIF(stddev_pop({c}) * stddev_pop(label), 0)')} AS r FROM lb" for c in MODEL_COLUMNS)
+    curve = TABLE + """, sc2 AS (SELECT round(churn_probability, 2) AS t, CAST(sum(is_churn) AS BIGINT) AS pos, CAST(sum(1 - is_churn) AS BIGINT) AS neg FROM ut GROUP BY 1),
+ cv AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos) OVER () AS BIGINT) AS positives, CAST(sum(neg) OVER () AS BIGINT) AS negatives FROM sc2
+ WINDOW w AS (ORDER BY t DESC ROWS UNBOUNDED PRECEDING))"""
+    sql["score_curve"] = out(curve, "cv", "pos, neg, tp, fp, positives, negatives", "threshold: t; tpr: tp / CAST(NULLIF(positives, 0) AS DOUBLE); fpr: fp / CAST(NULLIF(negatives, 0) AS DOUBLE); precision: tp / CAST(NULLIF(tp + fp, 0) AS DOUBLE)")
+    pairs = TABLE + """, s0 AS (SELECT round(churn_probability, 2) AS t, is_churn AS y FROM ut),
+ a1 AS (SELECT avg(CASE WHEN p.t > q.t THEN 1.0 WHEN p.t = q.t THEN 0.5 ELSE 0.0 END) AS auc FROM s0 p JOIN s0 q ON p.y = 1 AND q.y = 0)""" + curve[len(TABLE):]
+    sql["score_quality"] = out(pairs, "cv", "", "auc: (SELECT auc FROM a1); average_precision: sum(pos / CAST(NULLIF(positives, 0) AS DOUBLE) * tp / (tp + fp))")
+    conf = TABLE + ", cf AS (SELECT is_churn AS a, CASE WHEN churn_probability >= 0.5 THEN 1 ELSE 0 END AS p FROM ut)"
+    sql["confusion_matrix"] = out(conf, "cf", "a AS actual, p AS predicted, count(*) AS users", group="1, 2")
+    conf += ", cr AS (" + " UNION ALL ".join(f"SELECT {c} AS class, CAST(count(*) FILTER (a = {c} AND p = {c}) AS DOUBLE) AS h, count(*) FILTER (p = {c}) AS m, count(*) FILTER (a = {c}) AS support FROM cf" for c in (0, 1)) + ")"
+    conf += ", cq AS (SELECT class, support, COALESCE(h / NULLIF(m, 0), 0) AS pr, COALESCE(h / NULLIF(support, 0), 0) AS re FROM cr)"
+    sql["confusion_report"] = out(conf, "cq", "class, support", "precision: pr; recall: re; f1: COALESCE(2 * pr * re / NULLIF(pr + re, 0), 0)")
     return sql

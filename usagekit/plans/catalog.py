@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from usagekit.functions import derive as d
 from usagekit.functions import stats
-from usagekit.operators import canvas, features, geo, ordered, reports, scoring, segments, sequences, survival, timing
+from usagekit.operators import canvas, features, geo, matching, models, ordered, reports, scoring, segments, sequences, survival, timing
 from usagekit.plans import tables
 from usagekit.session import ensure_utc, materialize
 from usagekit.sources import events as source
@@ -232,6 +232,75 @@ def _risk(table: DataFrame) -> DataFrame:
     return scoring.risk_summary(table.withColumn("churn_risk_bucket", scoring.risk_bucket("churn_probability")))
 
 
+# --------------------------------------------------------------------------- models
+
+# Fewer trees and rounds than the defaults of the library: the check looks at rows, not at the last digit of an AUC.
+TREES, ROUNDS, FOLDS = 20, 10, 3
+
+
+def _weighted(users: DataFrame, agent_users_only: bool = False) -> tuple[DataFrame, list[str]]:
+    frame, columns = models.success_frame(users, agent_users_only)
+    return models.with_balanced_weights(frame), columns
+
+
+def _cross_validation(agent_users_only: bool) -> Callable[[DataFrame], DataFrame]:
+    def build(users: DataFrame) -> DataFrame:
+        frame, columns = _weighted(users, agent_users_only)
+        return models.cross_validate(frame, models.success_estimators(columns, frame.count(), TREES, ROUNDS), FOLDS)
+
+    return build
+
+
+def _importance(users: DataFrame) -> DataFrame:
+    frame, columns = _weighted(users, True)
+    return models.feature_importance(models.random_forest(columns, TREES).fit(frame), frame, columns)
+
+
+def _hold_out_quality(users: DataFrame) -> DataFrame:
+    frame, columns = _weighted(users)
+    train, test = models.hold_out(frame)
+    scored = materialize(models.score(models.random_forest(columns, TREES).fit(train), test).select("label", "score"), "holdout")
+    return models.curve_quality(models.score_curve(scored))
+
+
+def _model_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A model saved, loaded and applied."""
+    import uuid
+
+    from usagekit.session import scratch_dir
+
+    frame, columns = _weighted(tables.test_users(spark, sf))
+    path = f"{scratch_dir(spark)}/usagekit/model-{uuid.uuid4().hex}"
+    models.save_model(models.random_forest(columns, TREES).fit(frame), columns, frame, path)
+    model, names = models.load_model(spark, path)
+    return rounded(models.score(model, frame.select(KEY, "label", "weight", *names)).select(KEY, "score"))
+
+
+def _churn_scores(spark: SparkSession, sf: str) -> DataFrame:
+    table = tables.test_table(spark, sf)
+    return models.churn_score(table, scoring.churn_population(table), TREES)
+
+
+def _stand_in(table: DataFrame) -> DataFrame:
+    """Churn label against the recency score: an input for curves and reports that SQL can rebuild."""
+    return table.select(KEY, F.col("is_churn").alias("label"), F.round("churn_probability", 2).alias("score"), d.flag(F.col("churn_probability") >= 0.5).alias("prediction"))
+
+
+def _matched(users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    scored = materialize(models.propensity_scores(users).select(KEY, "segment", "days_active", "had_second_session", "ever_used_agent", "propensity_score"), "scored")
+    return matching.propensity_match(scored), scored
+
+
+def _correlation(users: DataFrame) -> DataFrame:
+    frame, columns = models.success_frame(users)
+    return models.label_correlation(frame, columns)
+
+
+def _weights(users: DataFrame) -> DataFrame:
+    frame, _ = _weighted(users)
+    return frame.groupBy("label").agg(F.count(F.lit(1)).alias("users"), F.max("weight").alias("weight"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         # sources and sinks
@@ -402,5 +471,26 @@ def queries() -> dict[str, Query]:
         "headline_rates": _on_table(reports.headline_rates),
         "dashboard_segments": _on_users(reports.dashboard_segments),
         "dashboard_cohorts": _on_users(reports.dashboard_cohorts),
+        # models
+        "balanced_weights": _on_users(_weights),
+        "label_correlation": _on_users(_correlation),
+        "score_curve": _on_table(lambda u: models.score_curve(_stand_in(u))),
+        "score_quality": _on_table(lambda u: models.curve_quality(models.score_curve(_stand_in(u)))),
+        "confusion_matrix": _on_table(lambda u: models.confusion_matrix(_stand_in(u))),
+        "confusion_report": _on_table(lambda u: models.confusion_report(_stand_in(u))),
+        "cross_validate_all_users": _on_users(_cross_validation(False)),
+        "cross_validate_agent_users": _on_users(_cross_validation(True)),
+        "feature_importance": _on_users(_importance),
+        "hold_out_quality": _on_users(_hold_out_quality),
+        "model_persistence": _model_file,
+        "churn_score": _churn_scores,
+        "fleet_models": _on_users(lambda u: models.fleet_models(u, k=FOLDS, trees=TREES)),
+        "fleet_drift": _on_users(lambda u: models.fleet_drift(u, trees=TREES)),
+        "feature_ablation": _on_users(lambda u: models.ablation(u, k=FOLDS, trees=TREES)),
+        "kmeans_archetypes": _on_ces(lambda u: models.archetype_summary(models.kmeans_archetypes(u), u)),
+        "kmeans_elbow": _on_ces(models.kmeans_elbow),
+        "propensity_scores": _on_users(lambda u: models.propensity_scores(u).select(KEY, "ever_used_agent", "propensity_score")),
+        "propensity_match": _on_users(lambda u: _matched(u)[0]),
+        "matched_effect": _on_users(lambda u: matching.att(*_matched(u))),
     }
     return out
