@@ -15,7 +15,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,7 +129,7 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
 def _parallel(tasks: Iterable[Callable[[], object]], threads: int = 4) -> list:
     tasks = list(tasks)
     with ThreadPool(min(threads, max(len(tasks), 1))) as pool:
-        return pool.map(inheritable_thread_target(lambda task: task()), tasks)
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(lambda task: task()), tasks)
 
 
 def hold_out(frame: DataFrame, share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
