@@ -8,9 +8,10 @@ the treated users the stable result is unique and equals the sequential one.
 
 The controls are ranked once; a treated user carries two pointers into the ranking, one walking to
 lower and one to higher scores. A round is two equi-joins on the pointers and one aggregation, so no
-pairs are enumerated and no group is collected. Users in the same position with the same preferences
-form a queue: the i-th of them proposes i places further on, because the places before it get an
-earlier proposer in the same round.
+pairs are enumerated and no group is collected. Two things keep the number of rounds small. Users in
+the same position with the same preferences form a queue: the i-th of them proposes i places further
+on, because the places before it get an earlier proposer in the same round. And a pointer jumps over
+places whose holder comes earlier, with blocks of 64 places, of 64 blocks and of 64 of those.
 """
 
 from __future__ import annotations
@@ -59,9 +60,66 @@ def rank_users(users: DataFrame, score: str, treated: str, order: str) -> tuple[
     return controls, free
 
 
-def _propose(free: DataFrame, controls: DataFrame, caliper: float, queue_limit: int) -> DataFrame:
+FAN = 64
+
+
+def _blocks(controls: DataFrame, held: DataFrame) -> list[DataFrame]:
+    """For each level the entries of a block with the latest holder in them; a free place is later
+    than any holder. A block has at most 64 entries."""
+    holders = held.select("place", F.col("ord").alias("holder"))
+    entries = controls.select("place").join(holders, "place", "left").select(
+        F.col("place").alias("at"), F.struct(F.col("holder").isNull().alias("free"), "holder").alias("latest")
+    )
+    levels = []
+    for _ in range(3):
+        block = F.floor(F.col("at") / FAN).cast("long")
+        levels.append(entries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("at", "latest")).alias("entries")))
+        entries = entries.groupBy(block.alias("at")).agg(F.max("latest").alias("latest"))
+    return levels
+
+
+def _open_entries(position: Column, side: str, own_included: bool):
+    """Predicate on block entries: on the wanted side of the position, and able to accept the user."""
+
+    def is_open(e: Column) -> Column:
+        ahead = e["at"] <= position if side == "left" else e["at"] >= position
+        reach = ahead if own_included else ahead & (e["at"] != position)
+        return reach & (e["latest"] > F.col("__me"))
+
+    return is_open
+
+
+def _advance(free: DataFrame, levels: list[DataFrame], side: str) -> DataFrame:
+    """Moves one pointer to the nearest place that could accept the user, or as far towards it as the
+    blocks around the pointer tell; ``<side>_exact`` says which."""
+    nearest = F.array_max if side == "left" else F.array_min
+    me = F.struct(F.lit(False).alias("free"), F.col("ord").alias("holder"))
+    rows, position, hits = free.withColumn("__me", me), F.col(side), []
+    for level, blocks in enumerate(levels):
+        block = F.floor(position / FAN).cast("long")
+        rows = rows.withColumn("block", block).join(blocks, "block", "left")
+
+        is_open = _open_entries(position, side, own_included=level == 0)
+        found = nearest(F.transform(F.filter("entries", is_open), lambda e: e["at"]))
+        scale = FAN**level
+        hits.append(found * scale + (scale - 1 if side == "left" else 0))
+        rows = rows.withColumn(f"__hit{level}", hits[-1]).drop("entries", "block")
+        position = block
+    span = FAN ** len(levels)
+    edge = F.floor(F.col(side) / span) * span + (-1 if side == "left" else span)
+    exact = F.col("__hit0").isNotNull()
+    moved = F.coalesce(*[F.col(f"__hit{i}") for i in range(len(levels))], edge).cast("long")
+    names = [c for c in free.columns if c != side]
+    return rows.select(*names, moved.alias(side), exact.alias(f"{side}_exact"))
+
+
+def _propose(free: DataFrame, controls: DataFrame, held: DataFrame, last_place: int, caliper: float, queue_limit: int) -> DataFrame:
     """The place every free user proposes to in this round; NULL to wait. Users without any control
     left inside the caliper are dropped: they stay unmatched."""
+    levels = _blocks(controls, held)
+    free = _advance(_advance(free, levels, "left"), levels, "right")
+    # a pointer past the ranking has nothing left on its side; one inside an unranked gap cannot occur
+    free = free.withColumns({"left_exact": F.col("left_exact") | (F.col("left") < 1), "right_exact": F.col("right_exact") | (F.col("right") > last_place)})
     at_left = controls.select(F.col("place").alias("left"), F.col("control_ps").alias("left_ps"))
     at_right = controls.select(F.col("place").alias("right"), F.col("control_ps").alias("right_ps"))
     rows = free.join(at_left, "left", "left").join(at_right, "right", "left")
@@ -69,11 +127,13 @@ def _propose(free: DataFrame, controls: DataFrame, caliper: float, queue_limit:
     to_right = F.when(F.col("right_ps") - F.col("ps") <= caliper, F.col("right_ps") - F.col("ps"))
     rows = rows.withColumns({"to_left": to_left, "to_right": to_right})
     rows = rows.where(F.col("to_left").isNotNull() | F.col("to_right").isNotNull())
+    known = (F.col("left_exact") | F.col("to_left").isNull()) & (F.col("right_exact") | F.col("to_right").isNull())
     goes_left = F.col("to_right").isNull() | F.coalesce(F.col("to_left") <= F.col("to_right"), F.lit(False))
     both = F.col("to_left").isNotNull() & F.col("to_right").isNotNull()
     rows = rows.withColumns({"goes_left": goes_left, "both": both})
+    rows = materialize(rows.withColumn("known", known), "pointers")
     group = ("left", "right", "goes_left", "both")
-    asking = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*group).orderBy("ord")))
+    asking = rows.where("known").withColumn("turn", F.row_number().over(Window.partitionBy(*group).orderBy("ord")))
     # the limit cuts a long queue before the shuffle; the rest of it waits for the next round
     asking = asking.where(F.col("turn") <= queue_limit)
     start = F.when(F.col("goes_left"), F.col("left")).otherwise(F.col("right"))
@@ -103,14 +163,14 @@ def propensity_match(
     Every round's state is a written table, so a lost executor costs one round at most.
     """
     controls, free = rank_users(users, score, treated, order)
+    last_place = controls.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
     state = materialize(free.withColumn("place", F.lit(None).cast("long")), "match")
-    held: DataFrame | None = None
     while True:
         open_users = state.where(F.col("place").isNull())
         if open_users.isEmpty():
             break
         held = state.where(F.col("place").isNotNull())
-        offers = _propose(open_users.drop("place"), controls, caliper, queue_limit)
+        offers = _propose(open_users.drop("place"), controls, held, last_place, caliper, queue_limit)
         best = F.min("ord").over(Window.partitionBy("place"))
         asked = held.unionByName(offers.where(F.col("place").isNotNull())).withColumn("best", best)
         kept = F.when(F.col("ord") == F.col("best"), F.col("place"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from usagekit.functions import derive as d
 from usagekit.functions import stats
 from usagekit.operators import canvas, features, geo, matching, models, ordered, reports, scoring, segments, sequences, survival, timing
 from usagekit.plans import tables
-from usagekit.session import ensure_utc, materialize
+from usagekit.session import ensure_utc, materialize, once, scratch_dir
 from usagekit.sources import events as source
 from usagekit.sources.testtables import conversation_tokens, ingested_log, orders_log, usage_log
 
@@ -59,9 +60,6 @@ def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         "prop_flag", F.when(F.col("event_id") % 2 == 0, F.lit("IGAZ")).otherwise(F.lit("HAMIS"))
     )
     raw = raw.withColumn("timestamp", F.when(F.col("event_id") % 97 == 0, F.lit("not a time")).otherwise(F.col("timestamp").cast("string")))
-    from usagekit.session import scratch_dir
-    import uuid
-
     path = f"{scratch_dir(spark)}/usagekit/raw-{uuid.uuid4().hex}.csv"
     source.write_table(raw, path)
     back = source.read_events(spark, path)
@@ -73,9 +71,6 @@ def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def _features_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """The user matrix written as parquet and CSV, read back from the parquet."""
-    from usagekit.session import scratch_dir
-    import uuid
-
     base = f"{scratch_dir(ensure_utc(spark))}/usagekit/features-{uuid.uuid4().hex}"
     source.write_twin(features.volume_features(ingested_log(spark, sf)), base)
     csv = spark.read.option("header", True).csv(f"{base}.csv")
@@ -265,10 +260,6 @@ def _hold_out_quality(users: DataFrame) -> DataFrame:
 
 def _model_file(spark: SparkSession, sf: str) -> DataFrame:
     """A model saved, loaded and applied."""
-    import uuid
-
-    from usagekit.session import scratch_dir
-
     frame, columns = _weighted(tables.test_users(spark, sf))
     path = f"{scratch_dir(spark)}/usagekit/model-{uuid.uuid4().hex}"
     models.save_model(models.random_forest(columns, TREES).fit(frame), columns, frame, path)
@@ -286,9 +277,11 @@ def _stand_in(table: DataFrame) -> DataFrame:
     return table.select(KEY, F.col("is_churn").alias("label"), F.round("churn_probability", 2).alias("score"), d.flag(F.col("churn_probability") >= 0.5).alias("prediction"))
 
 
-def _matched(users: DataFrame) -> tuple[DataFrame, DataFrame]:
-    scored = materialize(models.propensity_scores(users).select(KEY, "segment", "days_active", "had_second_session", "ever_used_agent", "propensity_score"), "scored")
-    return matching.propensity_match(scored), scored
+def _matched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs and scored users; both are written once, for the pairs and the effect table."""
+    columns = (KEY, "segment", "days_active", "had_second_session", "ever_used_agent", "propensity_score")
+    scored = once(spark, "propensity", sf, lambda: models.propensity_scores(tables.test_users(spark, sf)).select(*columns))
+    return once(spark, "pairs", sf, lambda: matching.propensity_match(scored)), scored
 
 
 def _correlation(users: DataFrame) -> DataFrame:
@@ -490,7 +483,7 @@ def queries() -> dict[str, Query]:
         "kmeans_archetypes": _on_ces(lambda u: models.archetype_summary(models.kmeans_archetypes(u), u)),
         "kmeans_elbow": _on_ces(models.kmeans_elbow),
         "propensity_scores": _on_users(lambda u: models.propensity_scores(u).select(KEY, "ever_used_agent", "propensity_score")),
-        "propensity_match": _on_users(lambda u: _matched(u)[0]),
-        "matched_effect": _on_users(lambda u: matching.att(*_matched(u))),
+        "propensity_match": lambda s, sf: rounded(_matched(s, sf)[0]),
+        "matched_effect": lambda s, sf: rounded(matching.att(*_matched(s, sf))),
     }
     return out
