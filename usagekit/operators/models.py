@@ -321,8 +321,11 @@ def churn_score(table: DataFrame, population: DataFrame, trees: int = 350, min_l
 
 
 def propensity_scores(users: DataFrame, treated: str = "ever_used_agent") -> DataFrame:
-    """Probability of treatment from sign-up and first-session confounders, cohort dummies included."""
-    cohorts = [r[0] for r in users.select("signup_cohort").distinct().orderBy("signup_cohort").limit(1000).collect()]
+    """Probability of treatment from sign-up and first-session confounders, cohort dummies included.
+
+    The cohorts read on the driver are the months of the log.
+    """
+    cohorts = [r[0] for r in users.select("signup_cohort").distinct().orderBy("signup_cohort").collect()]
     dummies = {f"cohort_{c}": flag(F.col("signup_cohort") == c) for c in cohorts}
     rows = users.withColumns(dummies)
     columns = model_columns(rows, (*CONFOUNDERS, *dummies))

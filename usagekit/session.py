@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # AQE re-plans joins and coalesces shuffles at run time; the forced skew join lets it split a hot
 # user even when the split costs the aggregation above it one more exchange.
@@ -51,16 +53,19 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     Cuts the lineage of a table that several later steps read; the files outlive any executor and
     keep column pruning and filter pushdown for the readers.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/usagekit/{name}-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
+
+
+def _write(df: DataFrame, name: str) -> str:
+    path = f"{scratch_dir(df.sparkSession)}/usagekit/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-_WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
-def once(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+def once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``build`` declares, written at its first use in this application and read afterwards."""
     ensure_utc(spark)
     key = (spark.sparkContext.applicationId, name, source)
@@ -70,6 +75,7 @@ def once(spark: SparkSession, name: str, source: str, build) -> DataFrame:
             return spark.read.schema(schema).parquet(path)
         except AnalysisException:
             del _WRITTEN[key]
-    df = materialize(build(), name)
-    _WRITTEN[key] = (df.inputFiles()[0].rsplit("/", 1)[0], df.schema)
-    return df
+    df = build()
+    _WRITTEN[key] = (_write(df, name), df.schema)
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
