@@ -580,6 +580,14 @@ def oracle_sql() -> dict[str, str]:
     pairs = TABLE + """, s0 AS (SELECT round(churn_probability, 2) AS t, is_churn AS y FROM ut),
  a1 AS (SELECT avg(CASE WHEN p.t > q.t THEN 1.0 WHEN p.t = q.t THEN 0.5 ELSE 0.0 END) AS auc FROM s0 p JOIN s0 q ON p.y = 1 AND q.y = 0)""" + curve[len(TABLE):]
     sql["score_quality"] = out(pairs, "cv", "", "auc: (SELECT auc FROM a1); average_precision: sum(pos / CAST(NULLIF(positives, 0) AS DOUBLE) * tp / (tp + fp))")
+    match = TABLE.replace("shaped AS (", "RECURSIVE shaped AS (", 1) + """, pm AS MATERIALIZED (SELECT person_id AS id, round(churn_probability, 4) AS ps, ever_used_agent AS t FROM ut),
+ tr AS MATERIALIZED (SELECT id, ps, row_number() OVER (ORDER BY id) AS o FROM pm WHERE t = 1), co AS MATERIALIZED (SELECT id, ps FROM pm WHERE t = 0),
+ gr AS (SELECT CAST(0 AS BIGINT) AS o, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS tid, CAST(NULL AS VARCHAR) AS cid
+  UNION ALL SELECT o, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, tid, best FROM (
+   SELECT tr.o AS o, gr.used AS used, tr.id AS tid, (SELECT arg_min(co.id, (abs(co.ps - tr.ps), co.ps, co.id)) FROM co WHERE abs(co.ps - tr.ps) <= 0.05 AND NOT list_contains(gr.used, co.id)) AS best
+   FROM gr JOIN tr ON tr.o = gr.o + 1)),
+ mt AS (SELECT gr.tid, gr.cid, abs(a.ps - b.ps) AS gap FROM gr JOIN pm a ON a.id = gr.tid JOIN pm b ON b.id = gr.cid)"""
+    sql["caliper_match"] = out(match, "mt", "tid AS treated_id, cid AS control_id", "score_gap: gap")
     conf = TABLE + ", cf AS (SELECT is_churn AS a, CASE WHEN churn_probability >= 0.5 THEN 1 ELSE 0 END AS p FROM ut)"
     sql["confusion_matrix"] = out(conf, "cf", "a AS actual, p AS predicted, count(*) AS users", group="1, 2")
     conf += ", cr AS (" + " UNION ALL ".join(f"SELECT {c} AS class, CAST(count(*) FILTER (a = {c} AND p = {c}) AS DOUBLE) AS h, count(*) FILTER (p = {c}) AS m, count(*) FILTER (a = {c}) AS support FROM cf" for c in (0, 1)) + ")"

@@ -284,6 +284,12 @@ def _matched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return once(spark, "pairs", sf, lambda: matching.propensity_match(scored)), scored
 
 
+def _recency_match(table: DataFrame) -> DataFrame:
+    """Agent users matched to other users on the recency score, an input SQL can rebuild."""
+    scored = table.select(KEY, "ever_used_agent", F.round("churn_probability", 4).alias("propensity_score"))
+    return matching.propensity_match(materialize(scored, "recency"))
+
+
 def _correlation(users: DataFrame) -> DataFrame:
     frame, columns = models.success_frame(users)
     return models.label_correlation(frame, columns)
@@ -483,6 +489,7 @@ def queries() -> dict[str, Query]:
         "kmeans_archetypes": _on_ces(lambda u: models.archetype_summary(models.kmeans_archetypes(u), u)),
         "kmeans_elbow": _on_ces(models.kmeans_elbow),
         "propensity_scores": _on_users(lambda u: models.propensity_scores(u).select(KEY, "ever_used_agent", "propensity_score")),
+        "caliper_match": _on_table(_recency_match),
         "propensity_match": lambda s, sf: rounded(_matched(s, sf)[0]),
         "matched_effect": lambda s, sf: rounded(matching.att(*_matched(s, sf))),
     }
