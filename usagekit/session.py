@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -39,12 +38,22 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the cluster's checkpoint folder, or a temporary one where none is named."""
+    """Shared folder for intermediate tables: the cluster's checkpoint folder, else one in the session's warehouse.
+
+    Both are folders that the driver and all executors see; a machine-local folder is never taken.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="usagekit-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir')}/usagekit-scratch").rstrip("/")
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    base = f"{scratch_dir(df.sparkSession)}/usagekit/".partition(":")[2] or scratch_dir(df.sparkSession)
+    for folder in {str(name).rpartition("/")[0] for name in df.inputFiles()}:
+        if base.lstrip("/") in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
