@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagekit.llm import exact_dedup, mixing, packing, sharding
+from usagekit.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash
 from usagekit.session import ensure_utc
 
 
@@ -18,10 +18,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(documents(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -35,8 +43,9 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op7_exact_dedup, op8_jump_sharding, op10_harmonic_packing)}
+    every = (op1_simhash_dedup, op2_mix_sources, op5_quality_rules, op7_exact_dedup, op8_jump_sharding, op10_harmonic_packing)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
+    return {"op2_mix_sources": mixing.SQL, "op5_quality_rules": quality_rules.SQL, "op7_exact_dedup": exact_dedup.SQL}
