@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagekit.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash
+from usagekit.llm import exact_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, simhash
 from usagekit.session import ensure_utc
 
 
@@ -26,6 +26,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
 
@@ -38,12 +42,19 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash_dedup, op2_mix_sources, op5_quality_rules, op7_exact_dedup, op8_jump_sharding, op10_harmonic_packing)
+    every = (
+        op1_simhash_dedup, op2_mix_sources, op3_quality_trees, op5_quality_rules, op7_exact_dedup, op8_jump_sharding, op9_contextual_pii,
+        op10_harmonic_packing,
+    )
     return {f.__name__: f for f in every}
 
 
