@@ -6,14 +6,18 @@ their names, never clash with its own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagekit.session import drop_table, materialize
+from usagekit.session import drop_table, materialize, scratch_dir
 
-__all__ = ["SPACE", "WORD", "drop_table", "materialize", "number_rows", "running_start", "text_or_empty", "word_count"]
+__all__ = [
+    "SPACE", "WORD", "delete_folder", "drop_table", "materialize", "number_rows", "read_folder", "running_start", "text_or_empty", "word_count",
+    "write_folder",
+]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,6 +32,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_folder(df: DataFrame, name: str, parts: Sequence[str] = ()) -> str:
+    """Writes a table into the shared folder and gives its path. The shuffle files of the write go when it has ended."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/usagekit/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.partitionBy(*parts).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return path
+
+
+def read_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _cell_offsets(rows: DataFrame, group: Sequence[str], cell: str, amount: Column) -> DataFrame:
     """Sum of ``amount`` in the lower cells of the same group: one row per (group, cell)."""
     sums = rows.groupBy(*group, cell).agg(F.sum(amount).alias("_sum"))

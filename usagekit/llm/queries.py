@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagekit.llm import exact_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, simhash
+from usagekit.llm import exact_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup
 from usagekit.session import ensure_utc
 
 
@@ -30,6 +30,10 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
 
@@ -52,11 +56,11 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_simhash_dedup, op2_mix_sources, op3_quality_trees, op5_quality_rules, op7_exact_dedup, op8_jump_sharding, op9_contextual_pii,
+        op1_simhash_dedup, op2_mix_sources, op3_quality_trees, op4_suffix_dedup, op5_quality_rules, op7_exact_dedup, op8_jump_sharding, op9_contextual_pii,
         op10_harmonic_packing,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL, "op5_quality_rules": quality_rules.SQL, "op7_exact_dedup": exact_dedup.SQL}
+    return {"op2_mix_sources": mixing.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op7_exact_dedup": exact_dedup.SQL}
