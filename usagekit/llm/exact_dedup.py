@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from usagekit.llm.common import SPACE, materialize, text_or_empty
 
 # What has to agree before two rows count as one text: SHA-256, byte length and an independent XXH64.
+LAST_ID = (1 << 63) - 1  # stands for a missing doc_id where rows are joined
 DIGEST = ["text_sha256", "_bytes", "_check"]
 
 
@@ -71,11 +72,11 @@ def exact_groups(docs: DataFrame, rounds: int = 2, fan: int = 8) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, rounds: int = 2, fan: int = 8) -> DataFrame:
-    """The documents that stay, all their columns; rows repeated in whole leave one."""
-    kept = exact_groups(docs, rounds, fan).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    whole = docs.withColumn("_sha", F.sha2(normalised(text_or_empty()).cast("binary"), 256))
-    same = (F.col("doc_id").eqNullSafe(F.col("_keep"))) & (whole["_sha"] == kept["_sha"])
-    return whole.join(kept.distinct(), same, "left_semi").drop("_sha")
+    """The documents that stay, all their columns. Rows that share both doc_id and text leave one of them."""
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    kept = exact_groups(docs, rounds, fan).where("kept").select(ids.alias("_id"), F.col("text_sha256").alias("_sha"))
+    whole = docs.withColumns({"_id": ids, "_sha": F.sha2(normalised(text_or_empty()).cast("binary"), 256)})
+    return whole.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
 
 
 SQL = r"""

@@ -115,15 +115,16 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns: each as often as its taken words, rounded up, fill it.
+    """The documents of the mix with all their columns, each as often as its taken words make it up, rounded.
 
-    Documents without a word or without a taken word are left out. Of rows that share a doc_id, each is
-    repeated by the mean of their taken words.
+    A document that the mix enters or leaves in its middle counts as whole where at least half is taken.
+    Documents without a word are left out. Rows that share a doc_id are repeated by their mean.
     """
     mix = mix_sources(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id"))
-    times = mix.agg(F.ceil(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[out[c] for c in docs.columns])
+    times = mix.agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times")).where("_times > 0")
+    out = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col("doc_id").alias("_doc"))
+    out = out.join(times, F.col("_doc").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select("_row.*")
 
 
 SQL = r"""
