@@ -60,14 +60,22 @@ class WordIds:
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, flat])
 
-    def encode(self, text: str) -> np.ndarray:
+    def _places(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "replace").split()
         if fresh := list({w for w in words if w not in self.index}):
             if len(self.index) + len(fresh) > MEMORY:
                 self.clear()
                 fresh = list(set(words))
             self.learn(fresh)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def count(self, text: str) -> tuple[int, int]:
+        """Words and tokens of a text."""
+        at = self._places(text)
+        return len(at), int(self.sizes[at].sum())
+
+    def encode(self, text: str) -> np.ndarray:
+        at = self._places(text)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagekit.llm import exact_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup
+from usagekit.llm import exact_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_counts
 from usagekit.session import ensure_utc
 
 
@@ -38,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
 
 
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_totals(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -56,8 +60,8 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_simhash_dedup, op2_mix_sources, op3_quality_trees, op4_suffix_dedup, op5_quality_rules, op7_exact_dedup, op8_jump_sharding, op9_contextual_pii,
-        op10_harmonic_packing,
+        op1_simhash_dedup, op2_mix_sources, op3_quality_trees, op4_suffix_dedup, op5_quality_rules, op6_token_rollups, op7_exact_dedup,
+        op8_jump_sharding, op9_contextual_pii, op10_harmonic_packing,
     )
     return {f.__name__: f for f in every}
 
