@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 # Rules: a repeat counts from LEAST words; a text fails where repeats cover more than COVERED percent of
 # its words, or where the longest is over LONGEST words.
@@ -135,7 +135,8 @@ def _judged(docs: DataFrame, keep: list[str], least: int, percent: int, longest:
     else:
         schema = StructType([*fields, *[StructField(c, LongType() if c in RESULT else BooleanType()) for c in added]])
         if spans:
-            schema = schema.add("repeats", "array<struct<start:bigint,end:bigint>>")
+            span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+            schema = schema.add("repeats", ArrayType(span))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

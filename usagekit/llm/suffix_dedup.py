@@ -345,7 +345,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> D
     What is left may end inside a character. An empty table gives no rows.
     """
     rows = ordered(docs)
-    cuts = rows.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.001)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = rows.approxQuantile("doc", shares, 0.001) if shares else []
     bounds = [None, *sorted({int(x) for x in cuts}), None]
     family = IndexFamily(docs.sparkSession)
     for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
