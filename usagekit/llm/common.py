@@ -15,14 +15,24 @@ from pyspark.sql import functions as F
 from usagekit.session import drop_table, materialize, scratch_dir
 
 __all__ = [
-    "SPACE", "WORD", "delete_folder", "drop_table", "materialize", "number_rows", "read_folder", "running_start", "text_or_empty", "word_count",
-    "write_folder",
+    "SPACE", "WORD", "column", "delete_folder", "drop_table", "materialize", "number_rows", "read_folder", "running_start", "text_or_empty",
+    "whole_row", "word_count", "write_folder",
 ]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, out of the way of others' names; ``select("_row.*")`` gives them back."""
+    return F.struct(*[column(c) for c in df.columns]).alias("_row")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

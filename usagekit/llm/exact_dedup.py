@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagekit.llm.common import SPACE, materialize, text_or_empty
+from usagekit.llm.common import SPACE, materialize, text_or_empty, whole_row
 
 # What has to agree before two rows count as one text: SHA-256, byte length and an independent XXH64.
 LAST_ID = (1 << 63) - 1  # stands for a missing doc_id where rows are joined
@@ -75,8 +75,8 @@ def drop_exact_copies(docs: DataFrame, rounds: int = 2, fan: int = 8) -> DataFra
     """The documents that stay, all their columns. Rows that share both doc_id and text leave one of them."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     kept = exact_groups(docs, rounds, fan).where("kept").select(ids.alias("_id"), F.col("text_sha256").alias("_sha"))
-    whole = docs.withColumns({"_id": ids, "_sha": F.sha2(normalised(text_or_empty()).cast("binary"), 256)})
-    return whole.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    whole = docs.select(whole_row(docs), ids.alias("_id"), F.sha2(normalised(text_or_empty()).cast("binary"), 256).alias("_sha"))
+    return whole.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select("_row.*")
 
 
 SQL = r"""

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagekit.llm.common import materialize, word_count
+from usagekit.llm.common import materialize, whole_row, word_count
 
 SHARDS = 256
 
@@ -122,7 +122,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     mix = mix_sources(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id"))
     times = mix.agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times")).where("_times > 0")
-    out = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col("doc_id").alias("_doc"))
+    out = docs.select(whole_row(docs), F.col("doc_id").alias("_doc"))
     out = out.join(times, F.col("_doc").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return out.select("_row.*")
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
+from usagekit.llm.common import column
+
 # Rules: a repeat counts from LEAST words; a text fails where repeats cover more than COVERED percent of
 # its words, or where the longest is over LONGEST words.
 LEAST, COVERED, LONGEST = 10, 30, 100
@@ -128,8 +130,8 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _judged(docs: DataFrame, keep: list[str], least: int, percent: int, longest: int, spans: bool = False, only_kept: bool = False) -> DataFrame:
     added = [*RESULT, "base_failed", "kept"]
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
+    rows = docs.select(F.col("text").cast("string").alias("_text"), F.struct(*[column(c) for c in keep]).alias("_row"))
+    fields = rows.schema["_row"].dataType.fields
     if only_kept:
         schema = StructType(fields)
     else:
@@ -145,7 +147,7 @@ def _judged(docs: DataFrame, keep: list[str], least: int, percent: int, longest:
                 found, where = measure(texts[a:b], least)
                 failed, kept = verdicts(found, percent, longest)
                 part = batch.slice(a, b - a)
-                columns = [part.column(i + 1) for i in range(len(fields))]
+                columns = part.column(1).flatten()
                 if only_kept:
                     yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields]).filter(pa.array(kept))
                     continue
