@@ -128,6 +128,26 @@ def test_removal_equals_brute_force(spark, monkeypatch, seed, batches, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got} == want
 
 
+@pytest.mark.parametrize("hot", [2, 20_000])
+def test_repeated_rows_are_one_document(spark, hot):
+    rows = passages(6, 60)
+    docs = spark.createDataFrame(rows + rows[20:50] + rows[20:30], "doc_id long, text string").repartition(4)
+    want = brute_removal(rows)
+    got = suffix_dedup.remove_repeats(docs, hot=hot).collect()
+    assert len(got) == 100 and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id] for r in got)
+
+
+def test_texts_longer_than_a_block(spark):
+    rng = random.Random(12)
+    word = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    long_text = " ".join(rng.choice(word) for _ in range(400_000))
+    rows = [(0, long_text), (1, long_text[1_048_000:1_049_500]), (2, "x" + long_text[5:400])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert len(long_text) > 2 * suffix_dedup.BLOCK
+    assert got == {0: (len(long_text), 0, 0), 1: (1500, 1500, 1), 2: (396, 395, 1)}
+
+
 def test_levels_merge_geometrically(spark):
     family = suffix_dedup.IndexFamily(spark)
     rows, sizes = passages(4, 60), []

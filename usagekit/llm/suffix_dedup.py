@@ -166,7 +166,8 @@ class IndexFamily:
         for level in self.levels:
             rows = rows.unionByName(self._level(level[1]).withColumns({"new": F.lit(False), "mine": F.lit(level in merged)}))
         same, gram = Window.partitionBy("h", "c").orderBy("doc", "pos"), Window.partitionBy("h")
-        rows = rows.repartition("h").withColumn("first", F.row_number().over(same) == 1)
+        # rank, not row number: the same place given twice is no earlier place
+        rows = rows.repartition("h").withColumn("first", F.rank().over(same) == 1)
         contexts = F.sum(F.col("first").cast("int")).over(gram)
         fresh = F.max(F.col("first") & F.col("new")).over(gram)
         rows = rows.withColumn("edge", F.col("first") & (contexts > 1) & fresh)
@@ -249,11 +250,14 @@ def _span_batch(doc, pos, c, low, high) -> pa.RecordBatch:
 def _match(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Spans of a stretch of whole gram groups, sorted by place inside each."""
     n = batch.num_rows
+    doc, pos = batch.column(1).to_numpy(), batch.column(2).to_numpy()
     low, high = np.full(n, WIDTH), np.full(n, -1)
     for shift, hashes, there in _windows(batch):
         rows = np.flatnonzero(there)
         order = rows[np.argsort(hashes[rows], kind="stable")]
-        later = order[1:][hashes[order[1:]] == hashes[order[:-1]]]
+        new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])[: len(order)]
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        later = order[(doc[order] != doc[head]) | (pos[order] != pos[head])]
         low[later] = np.minimum(low[later], shift)
         high[later] = shift
     return _span_batch(*(batch.column(i).to_numpy() for i in (1, 2, 3)), low, high)
