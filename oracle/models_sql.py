@@ -1,0 +1,30 @@
+"""SQL of what fitted models must fulfil: who is in which fold, what is scored, which bounds hold."""
+
+from __future__ import annotations
+
+FOREST, BOOSTED, LOGISTIC = "Random Forest", "Gradient Boosting", "Logistic Regression"
+
+
+def folds(ctes: str, source: str, label: str, k: int = 5) -> str:
+    """Rows of ``source`` with their stratified fold."""
+    return f"{ctes}, fd AS (SELECT *, (row_number() OVER (PARTITION BY {label} ORDER BY md5(person_id), person_id) - 1) % {k} AS fold, {label} AS y FROM {source})"
+
+
+def per_fold(ctes: str, source: str, label: str, models: tuple[str, ...]) -> str:
+    names = ", ".join(f"('{m}')" for m in models)
+    return (
+        f"WITH {folds(ctes, source, label)} SELECT model, CAST(fold AS INTEGER) AS fold, count(*) AS users, CAST(sum(y) AS BIGINT) AS positives, true AS valid "
+        f"FROM fd, (VALUES {names}) AS m(model) GROUP BY model, fold"
+    )
+
+
+def held_out(ctes: str, source: str, label: str, models: tuple[str, ...], extra: str) -> str:
+    names = ", ".join(f"('{m}')" for m in models)
+    return (
+        f"WITH {folds(ctes, source, label)} SELECT model, count(*) AS users, CAST(sum(y) AS BIGINT) AS positives, {extra} "
+        f"FROM fd, (VALUES {names}) AS m(model) WHERE fold = 0 GROUP BY model"
+    )
+
+
+def shares(features: int) -> str:
+    return f"SELECT CAST({features} AS BIGINT) AS features, true AS distinct_names, true AS not_negative, true AS at_most_one"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle.log_sql import ORDERS_LOG, TOKENS, USAGE_LOG
+from oracle.models_sql import BOOSTED, FOREST, LOGISTIC, folds, held_out, per_fold, shares
 from oracle.users_sql import CHATS, FEATURES, LOG, RUNS, TOOL_EVENTS, TOOLS, USERS, VOLUME, hours
 
 SEGMENTS = ("Agent Builder", "Agent Runner", "Manual Coder", "Viewer", "Ghost")
@@ -104,9 +105,12 @@ proxy AS (SELECT person_id, {hours('e', 'f', 86400)} AS days_observed_after_sign
 sc AS (SELECT person_id, max(CASE WHEN event = 'agent_open_error_assist' THEN 1 ELSE 0 END) AS had_error_assist,
   count(*) FILTER (event IN ('credits_exceeded','credits_below_1','credits_below_2','credits_below_3','credits_below_4')) AS credit_warning_events FROM tlog GROUP BY 1)"""
 TABLE = USERS + CANVAS + CHURN + f""",
-ut AS (SELECT u.*, {', '.join(f'COALESCE({c}, 0) AS {c}' for c in UC)}, is_censored, is_churn, had_error_assist, credit_warning_events,
-  least(greatest(recency_days / 120.0, 0), 1) AS churn_probability
-  FROM users u LEFT JOIN ucanvas USING (person_id) JOIN proxy USING (person_id) JOIN sc USING (person_id))"""
+ut0 AS (SELECT u.*, {', '.join(f'COALESCE({c}, 0) AS {c}' for c in UC)}, is_censored, is_churn, had_error_assist, credit_warning_events,
+  least(greatest(recency_days / 120.0, 0), 1) AS recency_risk,
+  COALESCE(is_censored = 0 AND (had_second_session = 1 OR days_active >= 2 OR manual_runs >= 1), false) AS covered
+  FROM users u LEFT JOIN ucanvas USING (person_id) JOIN proxy USING (person_id) JOIN sc USING (person_id)),
+ut AS (SELECT * EXCLUDE (is_churn, recency_risk, covered), CAST(covered AS INTEGER) AS in_churn_population,
+  CASE WHEN covered THEN is_churn ELSE 0 END AS is_churn, CASE WHEN covered THEN recency_risk ELSE 0.0 END AS churn_probability FROM ut0)"""
 
 RISK = "CASE WHEN {p} <= 0.2 THEN 'Low' WHEN {p} <= 0.5 THEN 'Medium' WHEN {p} <= 0.8 THEN 'High' ELSE 'Critical' END"
 
@@ -357,6 +361,47 @@ DOUBLE_FEATURES = """tenure_days ttf_manual_run_min ttf_agent_tool_min ttf_agent
  refactor_after_run_rate finish_summary_rate first_session_duration_min time_to_return_hours productive_session_share""".split()
 
 
+def model_sql(lab: str, match: str, batch: str) -> dict[str, str]:
+    """Queries on fitted models. ``lab``: users with label; ``match``: the sequential pairs; ``batch``: scored users with advice."""
+    agents = lab + ", ag AS (SELECT * FROM lb WHERE ever_used_agent = 1)"
+    churn = TABLE + ", cp AS (SELECT * FROM ut WHERE in_churn_population = 1)"
+    cohorts = lab + ", ch AS (SELECT signup_cohort, count(*) AS n, CAST(sum(label) AS BIGINT) AS k FROM lb GROUP BY 1), ct AS (SELECT *, k >= 10 AND k < n AS trained FROM ch)"
+    sets = ", ".join(f"('baseline{x}')" for x in ("", " + iteration_quality", " + session_structure", " + canvas_commitment", " + all_new_signals"))
+    outcomes = {
+        "Agent Builder %": "CASE WHEN {u}.segment = 'Agent Builder' THEN 100.0 ELSE 0.0 END", "Active days": "{u}.days_active",
+        "Returned %": "CASE WHEN {u}.had_second_session = 1 THEN 100.0 ELSE 0.0 END", "Propensity score": "round({u}.churn_probability, 4)",
+    }
+    effect = " UNION ALL ".join(
+        f"SELECT '{n}' AS outcome, count(*) AS pairs, {rd(f'avg({e.format(u="a")})')} AS treated_mean, {rd(f'avg({e.format(u="b")})')} AS control_mean, "
+        f"{rd(f'avg({e.format(u="a")}) - avg({e.format(u="b")})')} AS difference FROM mt JOIN ut a ON a.person_id = tid JOIN ut b ON b.person_id = cid HAVING count(*) > 10"
+        for n, e in outcomes.items()
+    )
+    return {
+        "cross_validate_all_users": per_fold(lab, "lb", "label", (FOREST, BOOSTED, LOGISTIC)),
+        "cross_validate_agent_users": per_fold(agents, "ag", "label", (FOREST, BOOSTED, LOGISTIC)),
+        "feature_importance": shares(15),
+        "hold_out_quality": held_out(lab, "lb", "label", (FOREST,), "true AS better_than_chance"),
+        "model_persistence": out(USERS, "users", "person_id, true AS same_score"),
+        "churn_score": out(churn, "cp", "person_id, is_churn, 'is_14d_survival_churn_proxy' AS target_name, true AS valid"),
+        "churn_cross_validation": per_fold(churn, "cp", "is_churn", (FOREST, LOGISTIC)),
+        "churn_hold_out": held_out(churn, "cp", "is_churn", (FOREST, LOGISTIC), "1 AS in_bounds"),
+        "churn_drivers": shares(15),
+        "model_driven_interventions": out(INTERVENTION, "iv", "person_id, in_churn_population, true AS valid", "activation_signal"),
+        "model_driven_struggle": out(STRUGGLE, "sq", "person_id, had_struggle_signal, true AS valid", "recovery_intensity"),
+        "ces_cross_validation": per_fold(CES, "ces", "is_success", (FOREST, BOOSTED, LOGISTIC)),
+        "ces_confusion": f"WITH {folds(CES, 'ces', 'is_success')} SELECT c AS class, count(*) FILTER (y = c) AS support, true AS valid FROM fd, (VALUES (0), (1)) AS v(c) WHERE fold = 0 GROUP BY c",
+        "ces_batch_score": out(batch, "bs", f"person_id, {', '.join(CRITERIA)}, ces_score, CASE WHEN len(adv) = 0 THEN ['On track: explore the advanced features.'] ELSE adv[1:3] END AS recommendations, true AS valid"),
+        "fleet_models": out(cohorts, "ct", "signup_cohort, n, k AS n_builders, trained, CAST(CASE WHEN trained THEN 3 ELSE 0 END AS BIGINT) AS top_features", "pct_ab: 100.0 * k / n"),
+        "fleet_drift": out(cohorts, "ct", "signup_cohort, CAST(8 AS BIGINT) AS features, true AS sums_to_one", where="trained"),
+        "feature_ablation": f"SELECT feature_set, model, CAST(5 AS BIGINT) AS folds, true AS valid FROM (VALUES {sets}) AS s(feature_set), (VALUES ('{FOREST}'), ('{LOGISTIC}')) AS m(model)",
+        "kmeans_archetypes": out(CES, "ces", "CAST(3 AS BIGINT) AS clusters, count(*) AS users, true AS named_by_success"),
+        "kmeans_elbow": "SELECT CAST(k AS INTEGER) AS k, true AS positive FROM range(2, 8) AS r(k)",
+        "propensity_scores": out(USERS, "users", "person_id, ever_used_agent, true AS valid"),
+        "propensity_match": "SELECT true AS treated_once, true AS controls_once, true AS inside_caliper",
+        "matched_effect": f"WITH {match} {effect}",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     # ------------------------------------------------------------------ sources
@@ -393,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
     sql["segment_summary"] = out(USERS, "users", "segment, count(*) AS users", SEGSUM + "; pct_credit_exceeded: avg(had_credit_exceeded); pct_of_users: count(*) * 100.0 / (SELECT count(*) FROM users)", group="segment")
     seg_cte = USERS + f", ss AS (SELECT segment, {inline(SEGSUM)} FROM users GROUP BY 1)"
     sql["segment_profile"] = heat(seg_cte, "segment", ("avg_days_active", "avg_manual_runs", "avg_agent_tools", "avg_build_calls", "avg_run_calls", "avg_canvases"), "ss")
-    sql["kpi_matrix"] = out(USERS, "users", "segment, count(*) AS users", KPI, group="segment")
+    sql["kpi_matrix"] = out(USERS, "users", "segment, count(*) AS users", KPI + "; pct_of_users: count(*) * 100.0 / (SELECT count(*) FROM users)", group="segment")
     sql["kpi_heat"] = heat(USERS + f", kp AS (SELECT segment, {inline(KPI)} FROM users GROUP BY 1)", "segment", (
         "avg_days_active", "avg_manual_runs", "avg_agent_tools", "avg_agent_build", "avg_canvases", "pct_multi_day", "pct_week_plus", "pct_credit_exceeded", "pct_ever_agent", "pct_early_adopter"), "kp")
     sql["kpi_by_cohort"] = out(USERS, "users", "signup_cohort, count(*) AS users", f"avg_days_active: avg(days_active); avg_agent_tools: avg(agent_tool_calls_total); pct_agent_builder: {AB}; pct_agent_runner: {seg('Agent Runner')}; pct_power_user: {POWER}; pct_ghost: {GH}; pct_ever_agent: {pct('ever_used_agent = 1')}", group="1")
@@ -406,7 +451,7 @@ def oracle_sql() -> dict[str, str]:
     sql["canvas_growth_by_segment"] = out(TABLE, "ut", "segment, count(*) AS users", "avg_growth: avg(avg_canvas_growth); pct_growth: avg(share_of_canvases_with_growth) * 100.0", group="segment")
     sql["repeat_canvas_retention"] = out(TABLE, "ut", "CASE WHEN repeat_canvas_users = 1 THEN 'Repeat canvas' ELSE 'One-off canvas' END AS repeat_canvas_label, count(*) AS users", f"avg_days_active: avg(days_active); repeat_session_pct: {pct('had_second_session = 1')}; agent_builder_pct: {AB}", group="1")
     # ------------------------------------------------------------------ survival, timing
-    sql["survival_by_segment"] = km(USERS, "(SELECT * FROM users WHERE segment <> 'Ghost')", "segment", 5)
+    sql["survival_by_segment"] = km(USERS, "(SELECT * FROM users WHERE segment IN ('Agent Builder', 'Manual Coder', 'Viewer'))", "segment", 10)
     sql["survival_by_return"] = km(USERS, "users", RETURN)
     sql["survival_by_adoption"] = km(USERS, "users", "adoption_cohort")
     sql["survival_of_order_days"] = km(ORDERS_LOG + ", od AS (SELECT person_id, count(DISTINCT CAST(ts AS DATE)) AS days_active FROM olog GROUP BY 1)", "od", "'all'")
@@ -532,7 +577,7 @@ def oracle_sql() -> dict[str, str]:
     sql["event_counts"], sql["lib_split"], sql["device_split"] = value_counts("event", 40), value_counts("lib"), value_counts("device_type")
     sql["hourly_volume"] = out(LOG, "tlog", "date_trunc('hour', ts) AS hour, count(*) AS events", group="1")
     sql["country_volume"] = out(LOG, "tlog", "country_code, count(DISTINCT distinct_id) AS users, count(*) AS events", where="country_code IS NOT NULL", group="1")
-    sd = LOG + ", sd AS (SELECT least(count(*), 100) AS n FROM tlog WHERE session_id IS NOT NULL GROUP BY session_id)"
+    sd = LOG + ", sd AS (SELECT count(*) AS n FROM tlog WHERE session_id IS NOT NULL GROUP BY session_id)"
     sql["session_depth"] = out(sd, "sd", "count(*) AS n", describe("sd.n"))
     # ------------------------------------------------------------------ labels, scores
     inact = "{c}, la AS (SELECT person_id, max(ts) AS last_active_at, (SELECT max(ts) FROM {s}) AS observation_end FROM {s} GROUP BY 1)"
@@ -541,7 +586,7 @@ def oracle_sql() -> dict[str, str]:
         sql[name] = out(ctes, "la", f"person_id, last_active_at, observation_end, CASE WHEN {d} < {horizon} THEN 1 ELSE 0 END AS is_censored, CASE WHEN {d} >= {horizon} THEN 1 ELSE 0 END AS is_churn", f"days_until_end: {d}")
     sql["churn_label_survival_proxy"] = out(LOG + CHURN, "proxy", "person_id, is_censored, is_churn", "days_observed_after_signup")
     sql["churn_population"] = out(TABLE, "ut", "segment, count(*) AS users", f"churn_pct: {pct('is_churn = 1')}", where="is_censored = 0 AND (had_second_session = 1 OR days_active >= 2 OR manual_runs >= 1)", group="segment")
-    sql["risk_summary"] = out(TABLE, "ut", f"{RISK.format(p='churn_probability')} AS churn_risk_bucket, count(*) AS users", f"avg_probability: avg(churn_probability); actual_churn_pct: {pct('is_churn = 1')}; avg_days_active: avg(days_active); avg_canvas_complexity: avg(avg_canvas_complexity)", group="1")
+    sql["risk_summary"] = out(TABLE, "ut", f"{RISK.format(p='churn_probability')} AS churn_risk_bucket, count(*) AS users", f"avg_probability: avg(churn_probability); actual_churn_pct: {pct('is_churn = 1')}; avg_days_active: avg(days_active); avg_canvas_complexity: avg(avg_canvas_complexity)", where="in_churn_population = 1", group="1")
     pri = "CASE WHEN intervention_priority_score <= 0.25 THEN 'Low' WHEN intervention_priority_score <= 0.5 THEN 'Medium' WHEN intervention_priority_score <= 0.75 THEN 'High' ELSE 'Critical' END"
     sql["intervention_scores"] = out(INTERVENTION, "iv", f"person_id, recommended_intervention, {pri} AS intervention_priority_bucket, {RISK.format(p='intervention_priority_score')} AS intervention_risk_bucket, {RISK.format(p='churn_risk_signal')} AS churn_risk_bucket", "activation_signal; struggle_signal; builder_momentum_signal; churn_risk_signal; intervention_priority_score")
     sql["intervention_summary"] = out(INTERVENTION, "iv", "recommended_intervention, count(*) AS users", f"avg_priority: avg(intervention_priority_score); avg_churn_risk: avg(churn_risk_signal); avg_activation: avg(activation_signal); avg_struggle: avg(struggle_signal); avg_builder_momentum: avg(builder_momentum_signal); pct_agent_builder: {AB}", group="1")
@@ -555,8 +600,8 @@ def oracle_sql() -> dict[str, str]:
     sql["ces_correlation"] = f"WITH {CES} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {rd(f'covar_pop({a}, {b}) / NULLIF(stddev_pop({a}) * stddev_pop({b}), 0)')} AS r FROM ces" for i, a in enumerate(CRITERIA) for b in CRITERIA[i:])
     prof = "days_active total_code_runs agent_total_events unique_canvases agent_suggestions_accepted avg_session_depth".split()
     sql["ces_profile"] = f"WITH {CES} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {rd(f'avg({c}) FILTER (is_success = 1) / quantile_cont({c}, 0.95)')} AS success, {rd(f'avg({c}) FILTER (is_success = 0) / quantile_cont({c}, 0.95)')} AS other FROM ces HAVING quantile_cont({c}, 0.95) <> 0" for c in prof)
-    tv = "CASE WHEN ttf_manual_run_min < 5 THEN '<5m' WHEN ttf_manual_run_min < 15 THEN '5-15m' WHEN ttf_manual_run_min < 30 THEN '15-30m' WHEN ttf_manual_run_min < 60 THEN '30-60m' WHEN ttf_manual_run_min < 120 THEN '1-2h' WHEN ttf_manual_run_min < 240 THEN '2-4h' WHEN ttf_manual_run_min < 480 THEN '4-8h' ELSE '>8h' END"
-    sql["time_to_value_curve"] = out(CES, "ces", f"{tv} AS bucket, count(*) AS users", f"success_pct: {pct('is_success = 1')}", where="ttf_manual_run_min > 0 AND ttf_manual_run_min < 10080", group="1")
+    tv = "CASE WHEN ttf_manual_run_min < 5 THEN '<5m' WHEN ttf_manual_run_min < 15 THEN '5-15m' WHEN ttf_manual_run_min < 30 THEN '15-30m' WHEN ttf_manual_run_min < 60 THEN '30-60m' WHEN ttf_manual_run_min < 120 THEN '1-2h' WHEN ttf_manual_run_min < 240 THEN '2-4h' WHEN ttf_manual_run_min < 480 THEN '4-8h' WHEN ttf_manual_run_min < 10080 THEN '>8h' ELSE 'clipped (1w+)' END"
+    sql["time_to_value_curve"] = out(CES, "ces", f"{tv} AS bucket, count(*) AS users", f"success_pct: {pct('is_success = 1')}", where="ttf_manual_run_min > 0", group="1")
     fw = "CASE WHEN agent_total_events <= 0 THEN '0 (none)' WHEN agent_total_events <= 1 THEN '1' WHEN agent_total_events <= 5 THEN '2-5' WHEN agent_total_events <= 20 THEN '6-20' WHEN agent_total_events <= 100 THEN '21-100' ELSE '100+' END"
     sql["volume_flywheel"] = out(CES, "ces", f"{fw} AS bucket, count(*) AS users", f"success_pct: {pct('is_success = 1')}; avg_code_runs: avg(total_code_runs)", group="1")
     advice = """list_filter([CASE WHEN c1_depth = 0 AND total_code_runs = 0 THEN 'Run your first code block.' WHEN c1_depth = 0 THEN 'Try creating an agent block.' END,
@@ -566,7 +611,7 @@ def oracle_sql() -> dict[str, str]:
  CASE WHEN success_probability >= 0.65 THEN 'Power User' WHEN success_probability >= 0.35 THEN 'Explorer' WHEN total_events <= 3 THEN 'Ghost User' ELSE 'Early Adopter' END AS archetype, {advice} AS adv FROM ces)"""
     sql["batch_score"] = out(bs, "bs", f"person_id, is_success_predicted, confidence, archetype, {', '.join(CRITERIA)}, ces_score, CASE WHEN len(adv) = 0 THEN ['On track: explore the advanced features.'] ELSE adv[1:3] END AS recommendations", "success_probability")
     sql["batch_summary"] = out(bs, "bs", "count(*) AS total_users, count(*) FILTER (is_success_predicted) AS predicted_success, count(*) FILTER (archetype = 'Power User') AS power_users, count(*) FILTER (archetype = 'Explorer') AS explorers, count(*) FILTER (archetype = 'Ghost User') AS ghost_users", "avg_probability: avg(success_probability)")
-    sql["headline_rates"] = out(TABLE, "ut", "count(*) AS users, count(*) FILTER (segment = 'Agent Builder') AS agent_builders, count(*) FILTER (segment = 'Ghost') AS ghosts", f"pct_agent: {pct('ever_used_agent = 1')}; pct_return: {pct('had_second_session = 1')}; pct_early: {pct('adopted_agent_early = 1')}; churn_rate: {pct('is_churn = 1')}")
+    sql["headline_rates"] = out(TABLE, "ut", "count(*) AS users, count(*) FILTER (segment = 'Agent Builder') AS agent_builders, count(*) FILTER (segment = 'Ghost') AS ghosts", f"pct_agent: {pct('ever_used_agent = 1')}; pct_return: {pct('had_second_session = 1')}; pct_early: {pct('adopted_agent_early = 1')}; churn_rate: avg(CASE WHEN is_churn = 1 THEN 100.0 ELSE 0.0 END) FILTER (in_churn_population = 1)")
     sql["dashboard_segments"] = out(USERS, "users", "segment, count(*) AS users", f"avg_days: avg(days_active); avg_tools: avg(agent_tool_calls_total); avg_builds: avg(agent_build_calls); pct_return: {pct('had_second_session = 1')}; pct_credit: {pct('had_credit_exceeded = 1')}; pct_of_users: count(*) * 100.0 / (SELECT count(*) FROM users)", group="segment")
     sql["dashboard_cohorts"] = out(USERS, "users", "signup_cohort, count(*) AS users", f"pct_ab: {AB}; pct_agent: {pct('ever_used_agent = 1')}; avg_tools: avg(agent_tool_calls_total)", group="1")
     # ------------------------------------------------------------------ model inputs and curves
@@ -592,5 +637,6 @@ def oracle_sql() -> dict[str, str]:
     sql["confusion_matrix"] = out(conf, "cf", "a AS actual, p AS predicted, count(*) AS users", group="1, 2")
     conf += ", cr AS (" + " UNION ALL ".join(f"SELECT {c} AS class, CAST(count(*) FILTER (a = {c} AND p = {c}) AS DOUBLE) AS h, count(*) FILTER (p = {c}) AS m, count(*) FILTER (a = {c}) AS support FROM cf" for c in (0, 1)) + ")"
     conf += ", cq AS (SELECT class, support, COALESCE(h / NULLIF(m, 0), 0) AS pr, COALESCE(h / NULLIF(support, 0), 0) AS re FROM cr)"
+    sql |= model_sql(lab, match, bs)
     sql["confusion_report"] = out(conf, "cq", "class, support", "precision: pr; recall: re; f1: COALESCE(2 * pr * re / NULLIF(pr + re, 0), 0)")
     return sql

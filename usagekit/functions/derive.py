@@ -108,9 +108,7 @@ def tool_of(event: Column | str = "event", tool_name: Column | str = "tool_name"
     tool-call prefix, else NULL."""
     event, tool_name = _col(event), _col(tool_name)
     named = F.nullif(F.trim(tool_name), F.lit(""))
-    suffix = F.when(
-        F.startswith(event, F.lit(vocab.tool_prefix)), F.substring(event, len(vocab.tool_prefix) + 1, 1_000_000)
-    )
+    suffix = F.when(F.startswith(event, F.lit(vocab.tool_prefix)), F.right(event, F.char_length(event) - len(vocab.tool_prefix)))
     return F.coalesce(named, suffix)
 
 

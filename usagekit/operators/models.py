@@ -116,9 +116,18 @@ def logistic(columns: Sequence[str], rows: int, c: float = 1.0, max_iter: int =
     return Pipeline(stages=[_features(columns, "raw"), scaler, model.setWeightCol("weight") if weighted else model])
 
 
-def fold_of(k: int, seed: int = SEED) -> Column:
-    """Fold from a hash of the key: needs no shuffle, and is close to stratified on many users."""
-    return F.pmod(F.xxhash64(F.col(KEY), F.lit(seed)), F.lit(k)).cast("int")
+def with_folds(frame: DataFrame, k: int, label: str = "label") -> DataFrame:
+    """Adds fold (0 to k - 1), stratified: rows of a class are numbered by MD5 of their key, the number modulo k is the fold.
+
+    Folds of a class differ by one row at most. Numbers are given inside 256 cells of the digest and continued
+    from one row per cell, so no window holds a class. ``frame`` is read twice.
+    """
+    rows = frame.withColumn("__md5", F.md5(F.col(KEY).cast("string"))).withColumn("__cell", F.substring("__md5", 1, 2))
+    before = Window.partitionBy(label).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(label, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    cells = cells.select(label, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(label, "__cell").orderBy("__md5", KEY)) - 1 + F.col("__before")
+    return rows.join(cells, [label, "__cell"]).withColumn("fold", F.pmod(place, F.lit(k)).cast("int")).drop("__md5", "__cell", "__before")
 
 
 def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
@@ -126,16 +135,17 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
     return out.withColumn("score", vector_to_array("probability")[1])
 
 
-def _parallel(tasks: Iterable[Callable[[], object]], threads: int = 4) -> list:
+def _parallel(spark: SparkSession, tasks: Iterable[Callable[[], object]], threads: int = 4) -> list:
+    """Fits side by side; the session is handed in, as a worker thread of an outer call has no active one."""
     tasks = list(tasks)
     with ThreadPool(min(threads, max(len(tasks), 1))) as pool:
-        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(lambda task: task()), tasks)
+        return pool.map(inheritable_thread_target(spark)(lambda task: task()), tasks)
 
 
-def hold_out(frame: DataFrame, share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the key."""
-    bucket = F.pmod(F.xxhash64(F.col(KEY), F.lit(seed + 1)), F.lit(1000))
-    return frame.where(bucket >= int(share * 1000)), frame.where(bucket < int(share * 1000))
+def hold_out(frame: DataFrame, parts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows, stratified: one of ``parts`` folds is held out."""
+    rows = materialize(with_folds(frame, parts), "hold-out")
+    return rows.where("fold <> 0").drop("fold"), rows.where("fold = 0").drop("fold")
 
 
 def score_curve(scored: DataFrame, score_col: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -158,7 +168,7 @@ def score_curve(scored: DataFrame, score_col: str = "score", label: str = "label
         F.sum("cp").over(whole).alias("positives"), F.sum("cn").over(whole).alias("negatives"),
     )
     inside = Window.partitionBy(*keys, "cell").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = points.withColumns({"tp1": F.sum("pos").over(inside), "fp1": F.sum("neg").over(inside)}).join(F.broadcast(cells), [*keys, "cell"])
+    run = points.withColumns({"tp1": F.sum("pos").over(inside), "fp1": F.sum("neg").over(inside)}).join(cells, [*keys, "cell"])
     tp, fp = F.col("tp0") + F.col("tp1"), F.col("fp0") + F.col("fp1")
     out = run.select(
         *keys, "threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"), "positives", "negatives",
@@ -177,26 +187,35 @@ def curve_quality(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def cross_validate(frame: DataFrame, estimators: dict[str, Estimator], k: int = 5, seed: int = SEED) -> DataFrame:
-    """Mean and population deviation of AUC, average precision and accuracy over k folds, per model.
+def cross_validate_folds(frame: DataFrame, estimators: dict[str, Estimator], k: int = 5) -> DataFrame:
+    """Users, positives, AUC, average precision and accuracy per model and fold.
 
-    Folds without both classes give no score. ``frame`` carries key, label, weight and features.
+    ``frame`` carries key, label, weight and features. A class with fewer than k rows leaves folds without it,
+    and those have no AUC.
     """
-    data = materialize(frame.withColumn("fold", fold_of(k, seed)), "folds")
+    data = materialize(with_folds(frame, k), "folds")
 
     def one(name: str, estimator: Estimator, fold: int) -> DataFrame:
         model = estimator.fit(data.where(F.col("fold") != fold))
         held = score(model, data.where(F.col("fold") == fold))
         return held.select(F.lit(name).alias("model"), "fold", "label", "score", "prediction")
 
-    parts = _parallel([lambda n=n, e=e, f=f: one(n, e, f) for n, e in estimators.items() for f in range(k)])
+    parts = _parallel(frame.sparkSession, [lambda n=n, e=e, f=f: one(n, e, f) for n, e in estimators.items() for f in range(k)])
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
     scored = materialize(scored, "cv")
     quality = curve_quality(score_curve(scored, by=["model", "fold"]), ["model", "fold"])
-    accuracy = scored.groupBy("model", "fold").agg(F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0)).alias("accuracy"))
-    return quality.join(accuracy, ["model", "fold"]).groupBy("model").agg(
+    counts = scored.groupBy("model", "fold").agg(
+        F.count(F.lit(1)).alias("users"), F.sum("label").cast("long").alias("positives"),
+        F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0)).alias("accuracy"),
+    )
+    return quality.join(counts, ["model", "fold"])
+
+
+def cross_validate(frame: DataFrame, estimators: dict[str, Estimator], k: int = 5) -> DataFrame:
+    """Mean and population deviation of AUC, average precision and accuracy over k stratified folds, per model."""
+    return cross_validate_folds(frame, estimators, k).groupBy("model").agg(
         F.count("auc").alias("folds"),
         F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"),
         F.avg("average_precision").alias("ap_mean"), F.stddev_pop("average_precision").alias("ap_std"),
@@ -236,8 +255,47 @@ def label_correlation(frame: DataFrame, columns: Sequence[str], k: int | None =
     return rows if k is None else rows.orderBy(F.desc_nulls_last(F.abs("r")), "feature").limit(k)
 
 
+def churn_frame(table: DataFrame, population: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows and columns of the churn model: the population, labelled by ``is_churn``, with balanced weights."""
+    columns = model_columns(table, CHURN_SIGNALS)
+    return with_balanced_weights(model_frame(population, columns, F.col("is_churn") == 1)), columns
+
+
+def churn_estimators(columns: Sequence[str], rows: int, trees: int = 350, min_leaf: int = 4) -> dict[str, Pipeline]:
+    return {"Random Forest": random_forest(columns, trees, min_leaf), "Logistic Regression": logistic(columns, rows)}
+
+
+def ces_frame(labelled: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows and columns of the success-criteria model: all numeric columns but those that leak the target."""
+    columns = numeric_columns(labelled)
+    return with_balanced_weights(model_frame(labelled, columns, F.col("is_success") == 1)), columns
+
+
+def ces_estimators(columns: Sequence[str], rows: int, trees: int = 300, rounds: int = 200) -> dict[str, Pipeline]:
+    return {
+        "Random Forest": random_forest(columns, trees, 5),
+        "Gradient Boosting": gradient_boosting(columns, rounds, subsample=0.8),
+        "Logistic Regression": logistic(columns, rows),
+    }
+
+
+def held_out_scores(frame: DataFrame, estimators: dict[str, Pipeline], parts: int = 5) -> DataFrame:
+    """KEY, label, model, score, prediction of the held-out rows, each model fitted on the others."""
+    train, test = hold_out(frame, parts)
+
+    def one(name: str, estimator: Pipeline) -> DataFrame:
+        return score(estimator.fit(train), test).select(KEY, "label", F.lit(name).alias("model"), "score", "prediction")
+
+    done = _parallel(frame.sparkSession, [lambda n=n, e=e: one(n, e) for n, e in estimators.items()])
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return materialize(out, "held-out")
+
+
 FLEET_SCHEMA = T.StructType([
     T.StructField("signup_cohort", T.StringType()), T.StructField("n", T.LongType()), T.StructField("n_builders", T.LongType()),
+    T.StructField("pct_ab", T.DoubleType()),
     T.StructField("auc_rf", T.DoubleType()), T.StructField("auc_lr", T.DoubleType()),
     T.StructField("top_features", T.ArrayType(T.StringType())), T.StructField("top_importances", T.ArrayType(T.DoubleType())),
 ])
@@ -254,16 +312,16 @@ def fleet_models(users: DataFrame, by: str = "signup_cohort", min_pos: int = 10,
 
     def one(cohort: str, n: int, pos: int) -> tuple:
         if pos < min_pos or pos == n:
-            return (cohort, n, pos, None, None, [], [])
+            return (cohort, n, pos, 100.0 * pos / n, None, None, [], [])
         rows = with_balanced_weights(frame.where(F.col(by) == cohort).drop(by))
         forest = random_forest(columns, trees, min_leaf)
         quality = cross_validate(rows, {"rf": forest, "lr": logistic(columns, n, max_iter=500)}, k)
         auc = {r["model"]: r["auc_mean"] for r in quality.collect()}
         values = forest.fit(rows).stages[-1].featureImportances.toArray()
         top = sorted(zip(columns, values), key=lambda p: (-p[1], p[0]))[:3]
-        return (cohort, n, pos, auc.get("rf"), auc.get("lr"), [c for c, _ in top], [float(v) for _, v in top])
+        return (cohort, n, pos, 100.0 * pos / n, auc.get("rf"), auc.get("lr"), [c for c, _ in top], [float(v) for _, v in top])
 
-    rows = _parallel([lambda r=r: one(r[by], r["n"], r["pos"]) for r in sizes], threads=2)
+    rows = _parallel(users.sparkSession, [lambda r=r: one(r[by], r["n"], r["pos"]) for r in sizes], threads=2)
     return users.sparkSession.createDataFrame(rows, FLEET_SCHEMA)
 
 
@@ -279,7 +337,7 @@ def fleet_drift(users: DataFrame, by: str = "signup_cohort", min_pos: int = 10,
         model = random_forest(top, trees, min_leaf).fit(rows)
         return feature_importance(model, frame, top, k).withColumn(by, F.lit(cohort))
 
-    parts = _parallel([lambda c=r[by]: one(c) for r in sizes if min_pos <= r["pos"] < r["n"]], threads=2)
+    parts = _parallel(users.sparkSession, [lambda c=r[by]: one(c) for r in sizes if min_pos <= r["pos"] < r["n"]], threads=2)
     empty = users.sparkSession.createDataFrame([], f"feature string, importance double, {by} string")
     for part in parts:
         empty = empty.unionByName(part)
@@ -309,8 +367,8 @@ def ablation(users: DataFrame, k: int = 5, trees: int = 300, min_leaf: int = 3)
 
 def churn_score(table: DataFrame, population: DataFrame, trees: int = 350, min_leaf: int = 4, horizon_days: int = 14) -> DataFrame:
     """Churn probability and risk bucket of the modelling population."""
-    columns = model_columns(table, CHURN_SIGNALS)
-    frame = materialize(with_balanced_weights(model_frame(population, columns, F.col("is_churn") == 1)), "churn")
+    frame, columns = churn_frame(table, population)
+    frame = materialize(frame, "churn")
     model = random_forest(columns, trees, min_leaf).fit(frame)
     out = score(model, frame).select(KEY, F.col("label").cast("int").alias("is_churn"), F.col("score").alias("churn_probability"))
     return out.withColumns({
@@ -335,6 +393,9 @@ def propensity_scores(users: DataFrame, treated: str = "ever_used_agent") -> Dat
     return users.join(scored, KEY)
 
 
+STARTS = 10
+
+
 def kmeans_archetypes(labelled: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
     """Users with their cluster and its name; clusters are named by falling success rate."""
     model, frame = _kmeans(labelled, k, seed)
@@ -354,17 +415,23 @@ def archetype_summary(assigned: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
-def _kmeans(labelled: DataFrame, k: int, seed: int) -> tuple[PipelineModel, DataFrame]:
+def _kmeans(labelled: DataFrame, k: int, seed: int, starts: int = STARTS) -> tuple[PipelineModel, DataFrame]:
+    """The clustering of least inertia among ``starts`` starts."""
     columns = model_columns(labelled, ARCHETYPE_FEATURES, referrers=False)
-    frame = model_frame(labelled, columns, F.col("is_success") == 1)
+    frame = materialize(model_frame(labelled, columns, F.col("is_success") == 1), "kmeans")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    return Pipeline(stages=[_features(columns, "raw"), scaler, KMeans(k=k, seed=seed, initSteps=5, maxIter=100)]).fit(frame), frame
+
+    def one(start: int) -> PipelineModel:
+        return Pipeline(stages=[_features(columns, "raw"), scaler, KMeans(k=k, seed=seed + start, initSteps=5, maxIter=100)]).fit(frame)
+
+    models = _parallel(labelled.sparkSession, [lambda i=i: one(i) for i in range(starts)])
+    return min(models, key=lambda m: m.stages[-1].summary.trainingCost), frame
 
 
 def kmeans_elbow(labelled: DataFrame, ks: Sequence[int] = tuple(range(2, 8)), seed: int = SEED) -> DataFrame:
     """Inertia for each number of clusters."""
     data = materialize(labelled.select(KEY, "is_success", *model_columns(labelled, ARCHETYPE_FEATURES, referrers=False)), "elbow")
-    costs = _parallel([lambda k=k: (k, float(_kmeans(data, k, seed)[0].stages[-1].summary.trainingCost)) for k in ks])
+    costs = [(k, float(_kmeans(data, k, seed)[0].stages[-1].summary.trainingCost)) for k in ks]
     return labelled.sparkSession.createDataFrame(costs, "k int, inertia double")
 
 

@@ -307,7 +307,8 @@ def credit_pressure_ratio(users: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- credits and errors
 
-BURN_EDGES = (-0.1, 0, 5, 20, 50, 100, 999)
+# Edges and names of the burn buckets; the last is open.
+BURN_EDGES = (-0.1, 0, 5, 20, 50, 100, float("inf"))
 BURN_LABELS = ("0 (none)", "1-5", "6-20", "21-50", "51-100", "100+")
 
 
@@ -394,17 +395,17 @@ def country_volume(log: DataFrame) -> DataFrame:
     return per_id.groupBy("country_code").agg(F.count("distinct_id").alias("users"), F.sum("n").alias("events"))
 
 
-def session_depth(log: DataFrame, cap: int = 100) -> DataFrame:
-    """Distribution of events per native session, capped."""
-    depth = log.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.count("event").alias("n"))
-    return describe(depth.withColumn("n", F.least(F.col("n"), F.lit(cap))), "n")
+def session_depth(log: DataFrame) -> DataFrame:
+    """Distribution of events per native session."""
+    return describe(log.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.count("event").alias("n")), "n")
 
 
 # ----------------------------------------------------------------------------- success reports
 
-VALUE_EDGES = (0, 5, 15, 30, 60, 120, 240, 480, 10080)
-VALUE_LABELS = ("<5m", "5-15m", "15-30m", "30-60m", "1-2h", "2-4h", "4-8h", ">8h")
-FLYWHEEL_EDGES = (-1, 0, 1, 5, 20, 100, 99999)
+# Edges and names of the buckets. Times are clipped at 10080 minutes; the clipped ones have a row of their own.
+VALUE_EDGES = (0, 5, 15, 30, 60, 120, 240, 480, 10080, float("inf"))
+VALUE_LABELS = ("<5m", "5-15m", "15-30m", "30-60m", "1-2h", "2-4h", "4-8h", ">8h", "clipped (1w+)")
+FLYWHEEL_EDGES = (-1, 0, 1, 5, 20, 100, float("inf"))
 FLYWHEEL_LABELS = ("0 (none)", "1", "2-5", "6-20", "21-100", "100+")
 
 
@@ -432,7 +433,7 @@ def headline_rates(users: DataFrame) -> DataFrame:
         _pct("ever_used_agent").alias("pct_agent"),
         _pct("had_second_session").alias("pct_return"),
         _pct("adopted_agent_early").alias("pct_early"),
-        _pct("is_churn").alias("churn_rate"),
+        F.avg(F.when(F.col("in_churn_population") == 1, F.col("is_churn") * 100.0)).alias("churn_rate"),
     )
 
 

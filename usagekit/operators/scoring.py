@@ -51,13 +51,29 @@ def churn_label_survival_proxy(log: DataFrame, horizon_days: float = 14) -> Data
     )
 
 
-def churn_population(users: DataFrame) -> DataFrame:
-    """Users the churn model is fitted on: observed long enough and active at all."""
+def in_churn_population() -> Column:
+    """Whether the churn model covers a user: observed long enough and active at all."""
     active = (F.col("had_second_session") == 1) | (F.col("days_active") >= 2) | (F.col("manual_runs") >= 1)
-    return users.where((F.col("is_censored") == 0) & active)
+    return F.coalesce((F.col("is_censored") == 0) & active, F.lit(False))
+
+
+def churn_population(users: DataFrame) -> DataFrame:
+    """Users the churn model is fitted on."""
+    return users.where(in_churn_population())
+
+
+def with_churn(users: DataFrame, probability: Column) -> DataFrame:
+    """Churn label and probability of the population; everybody else has 0 and 0, and the flag says so."""
+    inside = in_churn_population()
+    return users.withColumns({
+        "in_churn_population": flag(inside),
+        "is_churn": F.when(inside, F.col("is_churn")).otherwise(0),
+        "churn_probability": F.when(inside, F.coalesce(probability, F.lit(0.0))).otherwise(0.0),
+    })
 
 
 def risk_summary(scored: DataFrame) -> DataFrame:
+    """Users, churn and activity per risk bucket; ``scored`` is the churn population."""
     return scored.groupBy("churn_risk_bucket").agg(
         F.count("is_churn").alias("users"),
         F.avg("churn_probability").alias("avg_probability"),

@@ -95,8 +95,9 @@ def segment_profile(users: DataFrame) -> DataFrame:
 
 
 def kpi_matrix(users: DataFrame, by: str = "segment") -> DataFrame:
-    """Sixteen KPIs per segment."""
+    """Seventeen KPIs per segment."""
     days = F.col("days_active")
+    every = users.agg(F.count("total_events")).scalar()
     return users.groupBy(by).agg(
         F.count("total_events").alias("users"),
         _mean("days_active").alias("avg_days_active"),
@@ -114,7 +115,7 @@ def kpi_matrix(users: DataFrame, by: str = "segment") -> DataFrame:
         share(F.col("had_addon_credits") == 1).alias("pct_addon_credits"),
         share(F.col("ever_used_agent") == 1).alias("pct_ever_agent"),
         share(F.col("adopted_agent_early") == 1).alias("pct_early_adopter"),
-    )
+    ).withColumn("pct_of_users", F.col("users") * 100.0 / F.nullif(every, F.lit(0)))
 
 
 KPI_HEAT = (

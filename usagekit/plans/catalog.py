@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagekit.functions import derive as d
@@ -17,6 +17,8 @@ from usagekit.sources import events as source
 from usagekit.sources.testtables import conversation_tokens, ingested_log, orders_log, usage_log
 
 KEY = "person_id"
+# Segments whose survival is compared.
+SURVIVAL_SEGMENTS = ("Agent Builder", "Manual Coder", "Viewer")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -149,8 +151,8 @@ def _curve(label) -> Query:
 
 
 def _survival_segments(users: DataFrame) -> DataFrame:
-    chosen = users.where(F.col("segment").isin("Agent Builder", "Manual Coder", "Viewer", "Agent Runner"))
-    return survival.kaplan_meier(survival.activity_survival(chosen), min_users=5)
+    chosen = users.where(F.col("segment").isin(*SURVIVAL_SEGMENTS))
+    return survival.kaplan_meier(survival.activity_survival(chosen), min_users=10)
 
 
 def _order_survival(log: DataFrame) -> DataFrame:
@@ -224,13 +226,17 @@ STRUGGLE = (
 
 
 def _risk(table: DataFrame) -> DataFrame:
-    return scoring.risk_summary(table.withColumn("churn_risk_bucket", scoring.risk_bucket("churn_probability")))
+    return scoring.risk_summary(scoring.churn_population(table).withColumn("churn_risk_bucket", scoring.risk_bucket("churn_probability")))
 
 
 # --------------------------------------------------------------------------- models
 
-# Fewer trees and rounds than the defaults of the library: the check looks at rows, not at the last digit of an AUC.
-TREES, ROUNDS, FOLDS = 20, 10, 3
+# A fit does not give the same last digits everywhere. The registered frames show what a fit must fulfil and SQL
+# can rebuild (who is in which fold, what is scored, which bounds hold); the values come from the functions in models.
+
+
+def _between(name: str, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.coalesce(F.col(name).between(low, high), F.lit(False))
 
 
 def _weighted(users: DataFrame, agent_users_only: bool = False) -> tuple[DataFrame, list[str]]:
@@ -238,38 +244,167 @@ def _weighted(users: DataFrame, agent_users_only: bool = False) -> tuple[DataFra
     return models.with_balanced_weights(frame), columns
 
 
+def _folds(frame: DataFrame, estimators) -> DataFrame:
+    """Per model and fold: users, positives, and whether quality is there and within bounds."""
+    quality = models.cross_validate_folds(frame, estimators)
+    both = (F.col("positives") > 0) & (F.col("positives") < F.col("users"))
+    fair = F.when(both, _between("auc") & _between("average_precision")).otherwise(F.col("auc").isNull())
+    return quality.select("model", "fold", "users", "positives", (fair & _between("accuracy")).alias("valid"))
+
+
 def _cross_validation(agent_users_only: bool) -> Callable[[DataFrame], DataFrame]:
     def build(users: DataFrame) -> DataFrame:
         frame, columns = _weighted(users, agent_users_only)
-        return models.cross_validate(frame, models.success_estimators(columns, frame.count(), TREES, ROUNDS), FOLDS)
+        return _folds(frame, models.success_estimators(columns, frame.count()))
 
     return build
 
 
+def _shares(importances: DataFrame) -> DataFrame:
+    return importances.agg(
+        F.count(F.lit(1)).alias("features"), (F.count_distinct("feature") == F.count(F.lit(1))).alias("distinct_names"),
+        (F.min("importance") >= 0).alias("not_negative"), (F.sum("importance") <= 1 + 1e-6).alias("at_most_one"),
+    )
+
+
 def _importance(users: DataFrame) -> DataFrame:
     frame, columns = _weighted(users, True)
-    return models.feature_importance(models.random_forest(columns, TREES).fit(frame), frame, columns)
+    return _shares(models.feature_importance(models.random_forest(columns).fit(frame), frame, columns))
+
+
+def _held_out_report(scored: DataFrame) -> DataFrame:
+    """Per model: rows, positives, and whether areas are within bounds and better than chance."""
+    quality = models.curve_quality(models.score_curve(scored, by=["model"]), ["model"])
+    counts = scored.groupBy("model").agg(F.count(F.lit(1)).alias("users"), F.sum("label").cast("long").alias("positives"))
+    return counts.join(quality, "model").select("model", "users", "positives", (_between("auc", 0.5) & _between("average_precision")).alias("better_than_chance"))
 
 
 def _hold_out_quality(users: DataFrame) -> DataFrame:
     frame, columns = _weighted(users)
-    train, test = models.hold_out(frame)
-    scored = materialize(models.score(models.random_forest(columns, TREES).fit(train), test).select("label", "score"), "holdout")
-    return models.curve_quality(models.score_curve(scored))
+    return _held_out_report(models.held_out_scores(frame, {"Random Forest": models.random_forest(columns)}))
 
 
 def _model_file(spark: SparkSession, sf: str) -> DataFrame:
-    """A model saved, loaded and applied."""
+    """A model saved, loaded and applied: the scores of both agree for every user."""
     frame, columns = _weighted(tables.test_users(spark, sf))
     path = f"{scratch_dir(spark)}/usagekit/model-{uuid.uuid4().hex}"
-    models.save_model(models.random_forest(columns, TREES).fit(frame), columns, frame, path)
+    fitted = models.random_forest(columns).fit(frame)
+    models.save_model(fitted, columns, frame, path)
     model, names = models.load_model(spark, path)
-    return rounded(models.score(model, frame.select(KEY, "label", "weight", *names)).select(KEY, "score"))
+    first = models.score(fitted, frame).select(KEY, F.col("score").alias("before"))
+    again = models.score(model, frame.select(KEY, "label", "weight", *names)).select(KEY, "score")
+    return again.join(first, KEY).select(KEY, (_between("score") & (F.abs(F.col("score") - F.col("before")) < 1e-9)).alias("same_score"))
 
 
-def _churn_scores(spark: SparkSession, sf: str) -> DataFrame:
+def _churn(spark: SparkSession, sf: str) -> DataFrame:
     table = tables.test_table(spark, sf)
-    return models.churn_score(table, scoring.churn_population(table), TREES)
+    return models.churn_score(table, scoring.churn_population(table))
+
+
+def _churn_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _churn(spark, sf).select(
+        KEY, "is_churn", "target_name", (_between("churn_probability") & (F.col("churn_risk_bucket") == scoring.risk_bucket("churn_probability"))).alias("valid")
+    )
+
+
+def _churn_folds(table: DataFrame) -> DataFrame:
+    frame, columns = models.churn_frame(table, scoring.churn_population(table))
+    return _folds(frame, models.churn_estimators(columns, frame.count()))
+
+
+def _churn_curve(table: DataFrame) -> DataFrame:
+    frame, columns = models.churn_frame(table, scoring.churn_population(table))
+    scored = models.held_out_scores(frame, models.churn_estimators(columns, frame.count()))
+    return scored.groupBy("model").agg(F.count(F.lit(1)).alias("users"), F.sum("label").cast("long").alias("positives"), F.min(_between("score").cast("int")).alias("in_bounds"))
+
+
+def _churn_drivers(table: DataFrame) -> DataFrame:
+    frame, columns = models.churn_frame(table, scoring.churn_population(table))
+    return _shares(models.feature_importance(models.random_forest(columns, 350, 4).fit(frame), frame, columns))
+
+
+def _model_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The user table with the churn probability of the fitted model, written once."""
+    def build() -> DataFrame:
+        table = tables.test_table(spark, sf)
+        scored = _churn(spark, sf).select(KEY, F.col("churn_probability").alias("model_probability"))
+        joined = table.join(scored, KEY, "left")
+        return scoring.with_churn(joined, F.col("model_probability")).drop("model_probability")
+
+    return once(spark, "model-table", sf, build)
+
+
+def _model_interventions(spark: SparkSession, sf: str) -> DataFrame:
+    scored = scoring.intervention_scores(_model_table(spark, sf))
+    return scored.select(
+        KEY, "in_churn_population", F.round("activation_signal", 6).alias("activation_signal"),
+        (_between("churn_risk_signal") & _between("intervention_priority_score") & ((F.col("in_churn_population") == 1) | (F.col("churn_risk_signal") == 0))).alias("valid"),
+    )
+
+
+def _model_struggle(spark: SparkSession, sf: str) -> DataFrame:
+    scored = tables.struggle_of(scoring.intervention_scores(_model_table(spark, sf)), ingested_log(spark, sf))
+    return scored.select(KEY, "had_struggle_signal", F.round("recovery_intensity", 6).alias("recovery_intensity"), _between("abandonment_risk_after_struggle").alias("valid"))
+
+
+def _ces_folds(labelled: DataFrame) -> DataFrame:
+    frame, columns = models.ces_frame(labelled)
+    frame = materialize(frame, "ces")
+    return _folds(frame, models.ces_estimators(columns, frame.count()))
+
+
+def _ces_confusion(labelled: DataFrame) -> DataFrame:
+    """The report of the forest on its own held-out users: support per class, rates within bounds."""
+    frame, columns = models.ces_frame(labelled)
+    scored = models.held_out_scores(materialize(frame, "ces"), {"Random Forest": models.random_forest(columns, 300, 5)})
+    return models.confusion_report(scored).select("class", "support", (_between("precision") & _between("recall") & _between("f1")).alias("valid"))
+
+
+def _ces_scores(labelled: DataFrame) -> DataFrame:
+    """Users scored in a batch by the fitted success model."""
+    frame, columns = models.ces_frame(labelled)
+    frame = materialize(frame, "ces")
+    scored = models.score(models.random_forest(columns, 300, 5).fit(frame), frame).select(KEY, F.round("score", 4).alias("success_probability"))
+    rows = scoring.batch_score(labelled.join(materialize(scored, "ces-scores"), KEY))
+    sure = F.when(F.col("success_probability") >= 0.75, "High").when(F.col("success_probability") >= 0.5, "Medium").otherwise("Low")
+    return rows.select(
+        KEY, *scoring.CRITERIA, "ces_score", "recommendations",
+        (_between("success_probability") & (F.col("confidence") == sure) & (F.col("is_success_predicted") == (F.col("success_probability") >= 0.5))).alias("valid"),
+    )
+
+
+def _fleet(users: DataFrame) -> DataFrame:
+    return models.fleet_models(users).select(
+        "signup_cohort", "n", "n_builders", "pct_ab", (F.col("auc_rf").isNotNull() & F.col("auc_lr").isNotNull()).alias("trained"),
+        F.size("top_features").cast("long").alias("top_features"),
+    )
+
+
+def _drift(users: DataFrame) -> DataFrame:
+    return models.fleet_drift(users).groupBy("signup_cohort").agg(
+        F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one")
+    )
+
+
+def _ablation(users: DataFrame) -> DataFrame:
+    out = models.ablation(users)
+    base = (F.col("feature_set") != "baseline") | ((F.col("auc_delta") == 0) & (F.col("ap_delta") == 0))
+    return out.select("feature_set", "model", "folds", (_between("auc_mean") & _between("ap_mean") & base).alias("valid"))
+
+
+def _archetypes(labelled: DataFrame) -> DataFrame:
+    """Users over all clusters, and whether names follow the success rates."""
+    summary = models.archetype_summary(models.kmeans_archetypes(labelled), labelled)
+    rate = lambda name: F.max(F.when(F.col("archetype") == name, F.col("success_rate")))
+    return summary.agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("users").alias("users"),
+        ((rate("Power Users") >= rate("Explorers")) & (rate("Explorers") >= rate("Ghost Users"))).alias("named_by_success"),
+    )
+
+
+def _elbow(labelled: DataFrame) -> DataFrame:
+    costs = models.kmeans_elbow(labelled)
+    return costs.select("k", (F.col("inertia") > 0).alias("positive"))
 
 
 def _stand_in(table: DataFrame) -> DataFrame:
@@ -277,11 +412,25 @@ def _stand_in(table: DataFrame) -> DataFrame:
     return table.select(KEY, F.col("is_churn").alias("label"), F.round("churn_probability", 2).alias("score"), d.flag(F.col("churn_probability") >= 0.5).alias("prediction"))
 
 
-def _matched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs and scored users; both are written once, for the pairs and the effect table."""
+def _propensity(spark: SparkSession, sf: str) -> DataFrame:
     columns = (KEY, "segment", "days_active", "had_second_session", "ever_used_agent", "propensity_score")
-    scored = once(spark, "propensity", sf, lambda: models.propensity_scores(tables.test_users(spark, sf)).select(*columns))
-    return once(spark, "pairs", sf, lambda: matching.propensity_match(scored)), scored
+    return once(spark, "propensity", sf, lambda: models.propensity_scores(tables.test_users(spark, sf)).select(*columns))
+
+
+def _propensity_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the pairs of the fitted scores use nobody twice and lie inside the caliper."""
+    pairs = matching.propensity_match(_propensity(ensure_utc(spark), sf))
+    return pairs.agg(
+        (F.count_distinct("treated_id") == F.count(F.lit(1))).alias("treated_once"), (F.count_distinct("control_id") == F.count(F.lit(1))).alias("controls_once"),
+        (F.coalesce(F.max("score_gap"), F.lit(0.0)) <= 0.05 + 1e-9).alias("inside_caliper"),
+    )
+
+
+def _recency_effect(table: DataFrame) -> DataFrame:
+    """Effect on the pairs of the recency score."""
+    scored = table.select(KEY, "segment", "days_active", "had_second_session", "ever_used_agent", F.round("churn_probability", 4).alias("propensity_score"))
+    scored = materialize(scored, "recency")
+    return matching.att(matching.propensity_match(scored), scored)
 
 
 def _recency_match(table: DataFrame) -> DataFrame:
@@ -483,14 +632,22 @@ def queries() -> dict[str, Query]:
         "hold_out_quality": _on_users(_hold_out_quality),
         "model_persistence": _model_file,
         "churn_score": _churn_scores,
-        "fleet_models": _on_users(lambda u: models.fleet_models(u, k=FOLDS, trees=TREES)),
-        "fleet_drift": _on_users(lambda u: models.fleet_drift(u, trees=TREES)),
-        "feature_ablation": _on_users(lambda u: models.ablation(u, k=FOLDS, trees=TREES)),
-        "kmeans_archetypes": _on_ces(lambda u: models.archetype_summary(models.kmeans_archetypes(u), u)),
-        "kmeans_elbow": _on_ces(models.kmeans_elbow),
-        "propensity_scores": _on_users(lambda u: models.propensity_scores(u).select(KEY, "ever_used_agent", "propensity_score")),
+        "churn_cross_validation": _on_table(_churn_folds),
+        "churn_hold_out": _on_table(_churn_curve),
+        "churn_drivers": _on_table(_churn_drivers),
+        "model_driven_interventions": _model_interventions,
+        "model_driven_struggle": _model_struggle,
+        "ces_cross_validation": _on_ces(_ces_folds),
+        "ces_confusion": _on_ces(_ces_confusion),
+        "ces_batch_score": _on_ces(_ces_scores),
+        "fleet_models": _on_users(_fleet),
+        "fleet_drift": _on_users(_drift),
+        "feature_ablation": _on_users(_ablation),
+        "kmeans_archetypes": _on_ces(_archetypes),
+        "kmeans_elbow": _on_ces(_elbow),
+        "propensity_scores": _on_users(lambda u: models.propensity_scores(u).select(KEY, "ever_used_agent", _between("propensity_score").alias("valid"))),
         "caliper_match": _on_table(_recency_match),
-        "propensity_match": lambda s, sf: rounded(_matched(s, sf)[0]),
-        "matched_effect": lambda s, sf: rounded(matching.att(*_matched(s, sf))),
+        "propensity_match": _propensity_pairs,
+        "matched_effect": _on_table(_recency_effect),
     }
     return out

@@ -36,8 +36,8 @@ def extend_users(users: DataFrame, log: DataFrame, horizon_days: float = 14) ->
 
 
 def recency_risk(users: DataFrame, days: float = 120.0) -> DataFrame:
-    """Churn probability from recency alone, for logs without a fitted churn model."""
-    return users.withColumn("churn_probability", clip(F.col("recency_days") / days, 0.0, 1.0))
+    """Churn probability of the churn population from recency alone, for logs without a fitted churn model."""
+    return scoring.with_churn(users, clip(F.col("recency_days") / days, 0.0, 1.0))
 
 
 def test_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +57,10 @@ def intervention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.intervention_scores(test_table(spark, sf_dir))
 
 
+def struggle_of(scored: DataFrame, log: DataFrame) -> DataFrame:
+    """Struggle quality over given intervention scores; the joined table is written, since ranges and rows read it."""
+    return scoring.struggle_quality(materialize(scoring.with_recovery(scored, scoring.struggle_recovery(log)), "struggle"))
+
+
 def struggle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Struggle quality over the intervention scores; the joined table is written first, since the
-    value ranges and the rows both read it."""
-    recovery = scoring.struggle_recovery(ingested_log(spark, sf_dir))
-    joined = scoring.with_recovery(intervention(spark, sf_dir), recovery)
-    return scoring.struggle_quality(materialize(joined, "struggle"))
+    return struggle_of(intervention(spark, sf_dir), ingested_log(spark, sf_dir))

@@ -56,14 +56,18 @@ def read_events_raw(
     path: str,
     names: Mapping[str, str] = RAW_COLUMNS,
     columns: list[str] | None = None,
+    schema: T.StructType | str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Event log from CSV, one row per event.
 
-    The header is read for the column names only; every value starts as text, boolean words become
-    ``true``/``false``, and a timestamp that does not parse becomes NULL. Known columns get their
-    engine name. Quoted line breaks are kept, since properties may hold them.
+    The header is read for the column names only, unless a ``schema`` gives them; every value starts as
+    text, boolean words become ``true``/``false``, and a timestamp that does not parse becomes NULL. Known
+    columns get their engine name. Files are split among tasks; ``multi_line`` reads quoted line breaks
+    and makes each file one task.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    raw = (reader.schema(schema) if schema is not None else reader).csv(path)
     known = {old: new for old, new in names.items() if old in raw.columns}
     others = {c: c for c in raw.columns if c not in known}
     out = []
@@ -87,16 +91,22 @@ def drop_unusable(events: DataFrame) -> DataFrame:
 
 
 def conform(events: DataFrame) -> DataFrame:
-    """Canonical columns and types; a missing column becomes a typed NULL."""
+    """Canonical columns and types; a missing column becomes a typed NULL.
+
+    Raw logs have no event id: a hash of the row's columns takes its place, so that events of equal time
+    keep one order in every run. Rows that agree in all columns are interchangeable.
+    """
     out = []
     for field in EVENT_SCHEMA.fields:
         value = F.col(field.name) if field.name in events.columns else F.lit(None)
+        if field.name == "event_id" and "event_id" not in events.columns:
+            value = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(events.columns)])
         out.append(value.cast(field.dataType).alias(field.name))
     return events.select(*out)
 
 
-def read_events(spark: SparkSession, path: str, names: Mapping[str, str] = RAW_COLUMNS) -> DataFrame:
-    return drop_unusable(read_events_raw(spark, path, names))
+def read_events(spark: SparkSession, path: str, names: Mapping[str, str] = RAW_COLUMNS, **options) -> DataFrame:
+    return drop_unusable(read_events_raw(spark, path, names, **options))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +137,7 @@ def write_reports(reports: Mapping[str, DataFrame], folder: str) -> None:
         write_table(df, f"{folder.rstrip('/')}/{name}.csv")
 
 
-def profile_columns(df: DataFrame, limit: int | None = 50_000, order_by: list[str] | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, limit: int | None = None, order_by: list[str] | None = None) -> DataFrame:
     """Per column: filled values, fill percentage and an example, over the first ``limit`` rows.
 
     One aggregation over the rows, then one row per column.

@@ -153,7 +153,7 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.col("event")
     by_tool = F.startswith(event, F.lit(prefix))
     tool_name = (
-        F.when(by_tool & (k % 3 == 0), F.concat(F.lit(" "), F.substring(event, len(prefix) + 1, 99), F.lit(" ")))
+        F.when(by_tool & (k % 3 == 0), F.concat(F.lit(" "), F.right(event, F.char_length(event) - len(prefix)), F.lit(" ")))
         .when(by_tool & (k % 3 == 2), F.lit(" "))
         .when((event == "agent_message") & (k % 2 == 0), F.lit("Coder Agent"))
     )
