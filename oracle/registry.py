@@ -578,6 +578,11 @@ def oracle_sql() -> dict[str, str]:
     sql["hourly_volume"] = out(LOG, "tlog", "date_trunc('hour', ts) AS hour, count(*) AS events", group="1")
     sql["country_volume"] = out(LOG, "tlog", "country_code, count(DISTINCT distinct_id) AS users, count(*) AS events", where="country_code IS NOT NULL", group="1")
     sd = LOG + ", sd AS (SELECT count(*) AS n FROM tlog WHERE session_id IS NOT NULL GROUP BY session_id)"
+    calls = LOG + f", tc AS (SELECT person_id, tool, count(*) AS calls FROM tlog WHERE event IN {TOOL_EVENTS} AND tool IS NOT NULL AND length(tool) > 0 GROUP BY 1, 2)"
+    sql["tool_call_counts"] = out(calls, "tc", "*")
+    one = lambda t: f"CAST(COALESCE(sum(calls) FILTER (tool = '{t}'), 0) AS BIGINT) AS tool_{t}"
+    sql["tool_call_columns"] = out(calls, "tc", f"person_id, {one('create_block_tool')}, {one('run_block_tool')}, CAST(COALESCE(sum(calls) FILTER (tool NOT IN ('create_block_tool', 'run_block_tool')), 0) AS BIGINT) AS tool_other", group="1")
+    sql["report_sinks"] = f"WITH {LOG} SELECT 'events' AS report, event AS value, count(*) AS n FROM tlog WHERE event IS NOT NULL GROUP BY 2 UNION ALL SELECT 'libs', lib, count(*) FROM tlog WHERE lib IS NOT NULL GROUP BY 2"
     sql["session_depth"] = out(sd, "sd", "count(*) AS n", describe("sd.n"))
     # ------------------------------------------------------------------ labels, scores
     inact = "{c}, la AS (SELECT person_id, max(ts) AS last_active_at, (SELECT max(ts) FROM {s}) AS observation_end FROM {s} GROUP BY 1)"

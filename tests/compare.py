@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -77,7 +78,10 @@ def main(argv) -> int:
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     wanted = argv[2:]
-    spark = build_session(master="local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    shared = tempfile.mkdtemp(prefix="compare-")  # one machine: its own folder is shared enough
+    spark = build_session(
+        master="local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": shared}
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()

@@ -93,8 +93,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
 
     steps = F.array(*[F.lit(i / QUANTILE_CELLS) for i in range(1, QUANTILE_CELLS)])
     edges = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, 10_000).alias("edges"))
-    # one short array per group: summaries are grouped by segments, cohorts or countries
-    celled = counts.join(F.broadcast(edges), keys).select(
+    # without groups the edges are one value, read as a scalar subquery
+    celled = counts.join(edges, keys) if by else counts.withColumn("edges", edges.select("edges").scalar())
+    celled = celled.select(
         *keys, "v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("cell")
     )
     totals = celled.groupBy(*keys, "cell").agg(F.sum("n").alias("cell_n"))
@@ -111,7 +112,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
         at = F.lit(p) * (F.col("total") - 1)
         ranks += [F.floor(at), F.least(F.floor(at) + 1, F.col("total") - 1)]
     wanted = F.exists(F.array(*ranks), lambda r: (r >= F.col("before")) & (r < F.col("after")))
-    inside = celled.join(F.broadcast(totals.where(wanted)), [*keys, "cell"])
+    inside = celled.join(totals.where(wanted), [*keys, "cell"])
     ordered = Window.partitionBy(*keys, "cell").orderBy("v")
     end = F.col("before") + F.sum("n").over(ordered)
     inside = inside.withColumn("end", end).withColumn("begin", F.col("end") - F.col("n"))
@@ -137,4 +138,10 @@ def describe_exact(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
     quartiles = exact_quantiles(df, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by)
     if by:
         return moments.join(quartiles, list(by))
-    return moments.withColumn("__k", F.lit(0)).join(quartiles.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    return beside(moments, quartiles)
+
+
+def beside(row: DataFrame, other: DataFrame) -> DataFrame:
+    """Two one-row tables as one row; the second is read as a scalar subquery and may be empty."""
+    values = other.select(F.struct(*other.columns).alias("v")).scalar()
+    return row.withColumns({c: values[c] for c in other.columns})

@@ -9,6 +9,8 @@ Unused families cost nothing: their left joins on the unique user key are remove
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +148,20 @@ def agent_start_features(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFra
     return fill_numeric(base.join(_conversations(log, vocab), KEY, "left"))
 
 
+def tool_call_counts(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """Calls per user and tool, one row each, for whatever tools there are."""
+    calls = log.where(one_of(vocab.tool_events)).select(KEY, tool_of(vocab=vocab).alias("tool"))
+    return calls.where(F.col("tool").isNotNull()).groupBy(KEY, "tool").agg(F.count(F.lit(1)).alias("calls"))
+
+
+def tool_call_columns(log: DataFrame, tools: Sequence[str], vocab: Vocabulary = DEFAULT) -> DataFrame:
+    """The same with one column per tool of a given list; other tools are summed in ``tool_other``."""
+    counts = tool_call_counts(log, vocab)
+    named = F.when(F.col("tool").isin(*tools), F.concat(F.lit("tool_"), "tool")).otherwise("tool_other")
+    names = [*(f"tool_{t}" for t in tools), "tool_other"]
+    return fill_numeric(counts.withColumn("c", named).groupBy(KEY).pivot("c", names).agg(F.sum("calls")))
+
+
 def agent_tool_features(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     base = rollup_features(daily_rollup(log, vocab), vocab)
     return base.select(

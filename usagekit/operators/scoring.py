@@ -178,7 +178,8 @@ def top_interventions(scored: DataFrame, k: int = 25) -> DataFrame:
 def struggle_recovery(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Struggle counts and what a user does after the first struggle, for users with one.
 
-    The first struggle per user is one small row; joined back, the later events are first counted per
+    The first struggle per user is one small row; it is copied to the user's later days and joined to the
+    log on user and day, so a busy user is spread over the days. Later events are first counted per
     (user, day), so the active days need no distinct count.
     """
     event = F.col("event")
@@ -189,10 +190,12 @@ def struggle_recovery(log: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
         F.count_if(event != vocab.error_assist).alias("credit_struggle_events"),
     )
     after = F.unix_micros("ts") - F.unix_micros("first_struggle_at")
-    later = log.select(KEY, "event", "ts").join(first.select(KEY, "first_struggle_at"), KEY).where(after > 0)
+    rows = log.select(KEY, "event", "ts", F.to_date("ts").alias("day"))
+    days = rows.select(KEY, "day").distinct().join(first.select(KEY, "first_struggle_at"), KEY)
+    later = rows.join(days.where(F.col("day") >= F.to_date("first_struggle_at")), [KEY, "day"]).where(after > 0)
     recovery = one_of(vocab.recovery)
     soon = after <= F.lit(24 * 3_600_000_000)
-    daily = later.groupBy(KEY, F.to_date("ts").alias("day")).agg(
+    daily = later.groupBy(KEY, "day").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(recovery).alias("r"), F.count_if(soon).alias("soon"),
         F.min(F.when(recovery, after)).alias("first_recovery"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagekit.functions.derive import one_of, clip, elapsed, flag, is_build, share
-from usagekit.functions.stats import exact_quantiles
+from usagekit.functions.stats import beside, exact_quantiles
 from usagekit.operators.segments import BUILDER
 from usagekit.vocabulary import DEFAULT, Vocabulary
 
@@ -50,7 +50,7 @@ def time_to_kth_summary(times: DataFrame, by: Sequence[str] = (), within: Sequen
     spread = exact_quantiles(times, "days_to_kth", {"p25_days": 0.25, "median_days": 0.5, "p75_days": 0.75, "p90_days": 0.9}, by)
     if by:
         return counted.join(spread, list(by))
-    return counted.withColumn("__k", F.lit(0)).join(spread.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    return beside(counted, spread)
 
 
 MILESTONES = (
@@ -63,14 +63,23 @@ def milestone_flags(log: DataFrame, hours: float = 48, anchor: str = "first_seen
     """Ten 0/1 flags per user over the first hours after the anchor: the first event, or the sign-up.
 
     The window is cut first and then counted per (user, event), so only a user's early events are
-    aggregated and each event type appears once in the last step.
+    aggregated and each event type appears once in the last step. After the first event only the days of
+    the window can hold early events: the anchor is joined on user and day, and the rest of the log drops out.
+    With the sign-up as anchor earlier events count too, and the join is on the user.
     """
     if anchor == "first_seen":
         start = log.groupBy(KEY).agg(F.min("ts").alias("anchor"))
     else:
         start = signup_times(log, vocab).withColumnRenamed("signup_at", "anchor")
     since = F.unix_micros("ts") - F.unix_micros("anchor")
-    early = log.select(KEY, "event", "ts").join(start, KEY).where(since <= F.lit(int(hours * 3_600_000_000)))
+    rows = log.select(KEY, "event", "ts")
+    if anchor == "first_seen":
+        until = F.timestamp_micros(F.unix_micros("anchor") + F.lit(int(hours * 3_600_000_000)))
+        days = start.select(KEY, "anchor", F.explode(F.sequence(F.to_date("anchor"), F.to_date(until))).alias("day"))
+        joined = rows.withColumn("day", F.to_date("ts")).join(days, [KEY, "day"])
+    else:
+        joined = rows.join(start, KEY)
+    early = joined.where(since <= F.lit(int(hours * 3_600_000_000)))
     per_event = early.groupBy(KEY, "event").agg(F.count(F.lit(1)).alias("n"), F.max(since).alias("latest"))
     event, n = F.col("event"), F.col("n")
 

@@ -81,6 +81,18 @@ def _features_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(users.join(same, KEY).select(KEY, "total_events", "csv_events", "days_active", "tenure_days"))
 
 
+def _report_sinks(spark: SparkSession, sf: str) -> DataFrame:
+    """Two reports written as CSV and read back as one table."""
+    log = ingested_log(ensure_utc(spark), sf)
+    base = f"{scratch_dir(spark)}/usagekit/reports-{uuid.uuid4().hex}"
+    source.write_reports({"events": reports.value_counts(log, "event"), "libs": reports.value_counts(log, "lib")}, base)
+    parts = [
+        spark.read.option("header", True).csv(f"{base}/{name}.csv").select(F.lit(name).alias("report"), "value", F.col("n").cast("long").alias("n"))
+        for name in ("events", "libs")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 # --------------------------------------------------------------------------- derivations
 
 
@@ -457,6 +469,7 @@ def queries() -> dict[str, Query]:
         "conversation_tokens": lambda s, sf: conversation_tokens(s, sf),
         "csv_event_source": _csv_round_trip,
         "feature_table_sinks": _features_round_trip,
+        "report_sinks": _report_sinks,
         "profile_columns": _on_log(lambda log: source.profile_columns(log, limit=None)),
         # row-level derivations
         "event_derivations": _on_log(_derivations),
@@ -475,6 +488,8 @@ def queries() -> dict[str, Query]:
         "manual_features": _on_log(features.manual_features),
         "agent_start_features": _on_log(features.agent_start_features),
         "agent_tool_features": _on_log(features.agent_tool_features),
+        "tool_call_counts": _on_log(features.tool_call_counts),
+        "tool_call_columns": _on_log(lambda log: features.tool_call_columns(log, ("create_block_tool", "run_block_tool"))),
         "tool_transition_features": _on_log(features.tool_transition_features),
         "output_features": _on_log(features.output_features),
         "onboarding_features": _on_log(features.onboarding_features),

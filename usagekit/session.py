@@ -71,13 +71,23 @@ def _write(df: DataFrame, name: str) -> str:
     return path
 
 
+def _state_of(spark: SparkSession, folder: str) -> int:
+    """Changes when a file of the folder is added, removed or rewritten."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return hash(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+
+
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``build`` declares, written at its first use in this application and read afterwards."""
+    """The table ``build`` declares, written at its first use in this application and read afterwards.
+
+    ``source`` is the folder it derives from; when files there change, the table is written anew.
+    """
     ensure_utc(spark)
-    key = (spark.sparkContext.applicationId, name, source)
+    key = (spark.sparkContext.applicationId, name, f"{source} {_state_of(spark, source)}")
     if key in _WRITTEN:
         path, schema = _WRITTEN[key]
         try:
