@@ -11,6 +11,7 @@ fill the last sequence of their class (at most k - 1 per class, a constant numbe
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from usagekit.llm.common import materialize, running_start
 CAPACITY, CLASSES, CELLS = 2048, 32, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 LEFT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin long, offset long"
-MEMORY = 300_000  # words a worker remembers; it forgets all when full
+MEMORY = 1_200_000  # words a worker remembers; it forgets all when full
 
 
 def vocabulary_path() -> str:
@@ -36,50 +38,97 @@ def vocabulary_path() -> str:
 
 
 class WordIds:
-    """Token ids of texts. No token of this vocabulary crosses ASCII white space, so words are encoded once and remembered."""
+    """Token ids of texts, exactly those of the tokenizer; words are encoded once and remembered.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    No token of this vocabulary crosses ASCII white space, and none a letter that a stop or comma follows;
+    its texts are lower-cased. So texts are lower-cased and cut there by Arrow, and only words that are new
+    reach the tokenizer. A text that may hold the name of a special token is encoded whole.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        # Words of letters only are one piece for the tokenizer: white space is all that has to be split.
+        self.plain = Tokenizer.from_str(self.whole.to_str())
+        self.plain.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+        self.ends_word = np.zeros(self.whole.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.whole.get_vocab().items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, flat])
-
-    def _places(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").split()
-        if fresh := list({w for w in words if w not in self.index}):
-            if len(self.index) + len(fresh) > MEMORY:
-                self.clear()
-                fresh = list(set(words))
+        self.index: dict[str, int] = {"": 0}
+        self.sizes, self.starts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.used = 0
+
+    @staticmethod
+    def _append(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        if used + len(more) > len(held):
+            held = np.concatenate([held[:used], np.zeros(max(len(held), len(more)), held.dtype)])
+        held[used : used + len(more)] = more
+        return held
+
+    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        known = len(self.index)
+        self.starts = self._append(self.starts, known, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = self._append(self.sizes, known, sizes)
+        self.ids = self._append(self.ids, self.used, flat)
+        self.used += len(flat)
+        self.index.update(zip(words, range(known, known + len(words)), strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words: those of letters in one text, cut where a token ends a word; others one by one."""
+        letters = [w for w in words if w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha())]
+        if letters:
+            flat = np.array(self.plain.encode_batch_fast(["\n".join(letters)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[flat])
+            self._add(letters, flat, np.diff(ends, prepend=-1))
+        if others := list(set(words).difference(letters)):
+            found = [x.ids for x in self.whole.encode_batch_fast(others, add_special_tokens=False)]
+            self._add(others, np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64))
+
+    def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, one after the other, and how many each text has."""
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([.,;:!?])", r"\1 \2"))
+        coded = pc.list_flatten(cut).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        fresh = [w for w in words if w not in self.index]
+        if len(self.index) + len(fresh) > MEMORY:
+            self.clear()
+            fresh = [w for w in words if w]
+        if fresh:
             self.learn(fresh)
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-    def count(self, text: str) -> tuple[int, int]:
-        """Words and tokens of a text."""
-        at = self._places(text)
-        return len(at), int(self.sizes[at].sum())
-
-    def encode(self, text: str) -> np.ndarray:
-        at = self._places(text)
+        table = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return table[coded.indices.to_numpy()], pc.list_value_length(cut).to_numpy().astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")
+        at, words = self._places(pc.if_else(special, "", texts))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
+        ids = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        out = np.split(ids, np.concatenate([[0], ends])[np.cumsum(words)][:-1])
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
+
+
+def stretches(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of texts of about ``size`` bytes, one text at least."""
+    begin, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if held and held + n > size:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 @lru_cache(maxsize=2)
@@ -106,12 +155,13 @@ def pieces(docs: DataFrame, capacity: int, classes: int, end_id: int, path: str
         words = encoder(path or vocabulary_path())
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(words.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                start = 0
-                for length, k in cut_lengths(len(ids), capacity, classes):
-                    out.append((doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), k))
-                    start += length
+            doc_ids = batch.column(0).to_pylist()
+            for a, b in stretches(batch.column(1)):
+                for doc_id, ids in zip(doc_ids[a:b], words.encode(batch.column(1).slice(a, b - a)), strict=True):
+                    ids, start = np.append(ids, np.uint32(end_id)).astype("<u4"), 0
+                    for length, k in cut_lengths(len(ids), capacity, classes):
+                        out.append((doc_id, start, length, zlib.crc32(ids[start : start + length].data), len(ids), k))
+                        start += length
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.int32()], strict=True)],
