@@ -13,13 +13,12 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagekit.llm.common import delete_folder, materialize
-from usagekit.llm.packing import encoder, vocabulary_path
+from usagekit.llm.common import delete_folder, materialize, word_count
+from usagekit.llm.packing import encoder, stretches, vocabulary_path
 from usagekit.session import scratch_dir
 
 KEYS = ["source", "lang", "version"]
@@ -37,13 +36,11 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path or vocabulary_path())
         for batch in batches:
-            found = np.array([words.count(t.as_py() or "") for t in batch.column(3)], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(found[:, 0]), pa.array(found[:, 1])],
-                names=["doc_id", "source", "lang", "words", "ids"],
-            )
+            texts = batch.column(4)
+            ids = [len(x) for a, b in stretches(texts) for x in words.encode(texts.slice(a, b - a))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.int64())], names=["doc_id", "source", "lang", "words", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("source", "lang", "text")])
+    rows = docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("source", "lang")], word_count(F.col("text")).alias("words"), F.col("text").cast("string"))
     rows = rows.mapInArrow(read, "doc_id long, source string, lang string, words long, ids long")
     return rows.unpivot(["doc_id", "source", "lang"], ["words", "ids"], "version", "tokens").withColumn(
         "version", F.when(F.col("version") == "words", WORDS).otherwise(BPE)
