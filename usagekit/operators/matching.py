@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagekit.operators.segments import BUILDER
-from usagekit.session import materialize
+from usagekit.session import drop_table, materialize
 
 KEY = "person_id"
 CELLS = 256
@@ -175,7 +175,8 @@ def propensity_match(
         asked = held.unionByName(offers.where(F.col("place").isNotNull())).withColumn("best", best)
         kept = F.when(F.col("ord") == F.col("best"), F.col("place"))
         settled = asked.withColumn("place", kept).drop("best")
-        state = materialize(settled.unionByName(offers.where(F.col("place").isNull())), "match")
+        before, state = state, materialize(settled.unionByName(offers.where(F.col("place").isNull())), "match")
+        drop_table(before)
     return _pairs(state, users, controls, score, treated)
 
 

@@ -37,23 +37,40 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _file_system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the cluster's checkpoint folder, else one in the session's warehouse.
+    """Shared folder for intermediate tables: the cluster's checkpoint folder, else one of this application in the warehouse.
 
     Both are folders that the driver and all executors see; a machine-local folder is never taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or f"{spark.conf.get('spark.sql.warehouse.dir')}/usagekit-scratch").rstrip("/")
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/usagekit-scratch/{spark.sparkContext.applicationId}"
+        gone_at_exit(spark, base)
+    return base.rstrip("/")
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder is deleted when the driver ends; it is made if it does not exist."""
+    path, files = _file_system(spark, path)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    path, files = _file_system(spark, path)
+    files.delete(path, True)
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote and that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    base = f"{scratch_dir(df.sparkSession)}/usagekit/".partition(":")[2] or scratch_dir(df.sparkSession)
     for folder in {str(name).rpartition("/")[0] for name in df.inputFiles()}:
-        if base.lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if "/usagekit/" in folder:
+            delete_folder(df.sparkSession, folder)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -68,14 +85,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def _write(df: DataFrame, name: str) -> str:
     path = f"{scratch_dir(df.sparkSession)}/usagekit/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    gone_at_exit(df.sparkSession, path)
     return path
 
 
 def _state_of(spark: SparkSession, folder: str) -> int:
     """Changes when a file of the folder is added, removed or rewritten."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return hash(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+    path, files = _file_system(spark, folder)
+    return hash(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path))))
 
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
