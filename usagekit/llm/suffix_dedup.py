@@ -39,6 +39,7 @@ HOT = 20_000  # from so many contexts on, the anchors of one gram are spread by
 BATCHES = 4
 LAST_ID = (1 << 63) - 1  # order of rows without doc_id: after all others
 RUN = "h long, c long, doc long, pos int"
+MARKED = RUN + ", seen boolean"
 CONTEXTS = "h long, doc long, pos int, c long, l int, bytes binary"
 SPANS = "doc long, pos int, c long, lo int, hi int"
 
@@ -116,10 +117,17 @@ def _parts(doc: int, data: bytes) -> Iterator[tuple[int, int, int, int, int, byt
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors (MARKED); seen: the same stretch of a megabyte has its context at an earlier place."""
     held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(list(map(pa.array, _anchors(held))), names=["h", "c", "doc", "pos"])
+        h, c, doc, pos = _anchors(held)
+        order = np.lexsort((pos, doc, c, h))
+        new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0))[: len(order)]
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        seen = np.zeros(len(h), bool)
+        seen[order] = (doc[order] != doc[head]) | (pos[order] != pos[head])
+        return pa.RecordBatch.from_arrays(list(map(pa.array, (h, c, doc, pos, seen))), names=["h", "c", "doc", "pos", "seen"])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -161,13 +169,15 @@ class IndexFamily:
             if level[0] == size and not last:
                 merged.append(level)
                 size *= 2
-        rows = batch.where(F.octet_length("text") >= LEAST).mapInArrow(_runs, RUN)
+        rows = batch.where(F.octet_length("text") >= LEAST).mapInArrow(_runs, MARKED)
         rows = rows.withColumns({"new": F.lit(True), "mine": F.lit(not last)})
         for level in self.levels:
-            rows = rows.unionByName(self._level(level[1]).withColumns({"new": F.lit(False), "mine": F.lit(level in merged)}))
-        same, gram = Window.partitionBy("h", "c").orderBy("doc", "pos"), Window.partitionBy("h")
+            rows = rows.unionByName(self._level(level[1]).withColumns({"seen": F.lit(False), "new": F.lit(False), "mine": F.lit(level in merged)}))
+        # What a task has seen before is settled; it is dealt out by place, so a frequent passage meets as a row per stretch.
+        rows = rows.withColumn("key", F.when(F.col("seen"), F.xxhash64("doc", "pos")).otherwise(F.col("h")))
+        same, gram = Window.partitionBy("key", "c").orderBy("doc", "pos"), Window.partitionBy("key")
         # rank, not row number: the same place given twice is no earlier place
-        rows = rows.repartition("h").withColumn("first", F.rank().over(same) == 1)
+        rows = rows.repartition("key").withColumn("first", (F.rank().over(same) == 1) & ~F.col("seen"))
         contexts = F.sum(F.col("first").cast("int")).over(gram)
         fresh = F.max(F.col("first") & F.col("new")).over(gram)
         rows = rows.withColumn("edge", F.col("first") & (contexts > 1) & fresh)
