@@ -393,7 +393,7 @@ def model_sql(lab: str, match: str, batch: str) -> dict[str, str]:
         "ces_batch_score": out(batch, "bs", f"person_id, {', '.join(CRITERIA)}, ces_score, CASE WHEN len(adv) = 0 THEN ['On track: explore the advanced features.'] ELSE adv[1:3] END AS recommendations, true AS valid"),
         "fleet_models": out(cohorts, "ct", "signup_cohort, n, k AS n_builders, trained, CAST(CASE WHEN trained THEN 3 ELSE 0 END AS BIGINT) AS top_features", "pct_ab: 100.0 * k / n"),
         "fleet_drift": out(cohorts, "ct", "signup_cohort, CAST(8 AS BIGINT) AS features, true AS sums_to_one", where="trained"),
-        "feature_ablation": f"SELECT feature_set, model, CAST(5 AS BIGINT) AS folds, true AS valid FROM (VALUES {sets}) AS s(feature_set), (VALUES ('{FOREST}'), ('{LOGISTIC}')) AS m(model)",
+        "feature_ablation": f"WITH {folds(agents, 'ag', 'label')} SELECT feature_set, model, (SELECT count(*) FROM (SELECT fold FROM fd GROUP BY fold HAVING sum(y) > 0 AND sum(y) < count(*))) AS folds, true AS valid FROM (VALUES {sets}) AS s(feature_set), (VALUES ('{FOREST}'), ('{LOGISTIC}')) AS m(model)",
         "kmeans_archetypes": out(CES, "ces", "CAST(3 AS BIGINT) AS clusters, count(*) AS users, true AS named_by_success"),
         "kmeans_elbow": "SELECT CAST(k AS INTEGER) AS k, true AS positive FROM range(2, 8) AS r(k)",
         "propensity_scores": out(USERS, "users", "person_id, ever_used_agent, true AS valid"),
