@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagekit.session import drop_table, materialize, scratch_dir
+from usagekit.session import delete_folder, drop_table, gone_at_exit, materialize, scratch_dir
 
 __all__ = [
     "SPACE", "WORD", "column", "delete_folder", "drop_table", "materialize", "number_rows", "read_folder", "running_start", "text_or_empty",
@@ -55,6 +55,7 @@ def write_folder(df: DataFrame, name: str, parts: Sequence[str] = ()) -> str:
         df.write.partitionBy(*parts).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
+    gone_at_exit(spark, path)
     return path
 
 
@@ -62,11 +63,6 @@ def read_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def _cell_offsets(rows: DataFrame, group: Sequence[str], cell: str, amount: Column) -> DataFrame:
     """Sum of ``amount`` in the lower cells of the same group: one row per (group, cell)."""
     sums = rows.groupBy(*group, cell).agg(F.sum(amount).alias("_sum"))
