@@ -95,18 +95,35 @@ def greedy(rows, caliper):
     return out
 
 
-@pytest.mark.parametrize("seed,share,digits,queue", [(1, 0.5, 10, 100), (2, 0.8, 3, 100), (3, 0.6, 4, 2)])
-def test_matching_equals_sequential_greedy(spark, seed, share, digits, queue):
+@pytest.mark.parametrize("seed,share,digits", [(1, 0.5, 10), (2, 0.8, 3), (3, 0.6, 4)])
+def test_matching_equals_sequential_greedy(spark, seed, share, digits):
     rnd = random.Random(seed)
     scale = 2**digits  # scores on a binary grid: exact distances, many ties with few digits
     rows = [(f"u{i:03d}", int(rnd.random() * scale) / scale, int(rnd.random() < share)) for i in range(50)]
     df = spark.createDataFrame(rows, "person_id string, propensity_score double, ever_used_agent int")
-    pairs = matching.propensity_match(df, caliper=0.125, queue_limit=queue).collect()
+    pairs = matching.propensity_match(df, caliper=0.125).collect()
     assert {r.treated_id: r.control_id for r in pairs} == greedy(rows, 0.125)
     assert len({r.control_id for r in pairs}) == len(pairs)
     assert all(r.score_gap <= 0.125 for r in pairs)
 
 
+def test_matching_of_few_scores_splits_ties(spark, monkeypatch):
+    """Most users on one score, more cells than it would fill alone: the sequential result all the same."""
+    rnd = random.Random(7)
+    scores = [0.1, 0.4, 0.9]
+    rows = [(f"u{i:05d}", rnd.choice(scores[:1] * 8 + scores), int(rnd.random() < 0.55)) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "person_id string, propensity_score double, ever_used_agent int")
+    monkeypatch.setattr(matching, "CELLS", 16)
+    pairs = matching.propensity_match(df, caliper=0.05).collect()
+    free = {s: [i for i, p, t in sorted(rows) if p == s and t == 0] for s in scores}
+    want = {}
+    for i, p, t in sorted(rows):
+        near = [(abs(q - p), q) for q in scores if free[q] and abs(q - p) <= 0.05]
+        if t and near:
+            want[i] = free[min(near)[1]].pop(0)
+    assert {r.treated_id: r.control_id for r in pairs} == want
+
+
 def test_curve_quality(spark):
     rnd = random.Random(4)
     rows = [(f"u{i}", rnd.randrange(2), round(rnd.random(), 2)) for i in range(400)]

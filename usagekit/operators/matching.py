@@ -24,15 +24,25 @@ from usagekit.session import drop_table, materialize
 
 KEY = "person_id"
 CELLS = 256
-QUEUE_LIMIT = 100_000
 
 
-def with_cell(df: DataFrame, value: str, cells: int = CELLS) -> DataFrame:
-    """Cell number that follows the order of ``value``, cells of about equal size (one small sketch)."""
-    steps = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    edges = df.agg(F.percentile_approx(value, steps, 10_000)).scalar()
-    below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
-    return df.withColumn("__edges", edges).withColumn("cell", below).drop("__edges")
+def with_cell(df: DataFrame, *order: str) -> DataFrame:
+    """The table written with a cell number that follows ``order``, cells of about equal size.
+
+    The range partitions are the cells. An order that ends in a unique column splits ties, so a score
+    that most users share is spread over many cells.
+    """
+    return materialize(df.repartitionByRange(CELLS, *order).withColumn("cell", F.spark_partition_id()), "cells")
+
+
+def _turns(rows: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """Adds turn: 1, 2, … by ``ord`` inside a group. Users of a group are numbered inside their cell, after
+    the users of the group in the cells before: at most CELLS counts per group, and no window holds a long queue."""
+    counts = rows.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    inside = F.row_number().over(Window.partitionBy(*group, "cell").orderBy("ord"))
+    return rows.withColumn("turn", inside).join(counts, [*group, "cell"]).withColumn("turn", F.col("turn") + F.col("earlier")).drop("earlier")
 
 
 def _running(df: DataFrame, amount: str, order: list[Column | str], alias: str) -> DataFrame:
@@ -51,13 +61,13 @@ def rank_users(users: DataFrame, score: str, treated: str, order: str) -> tuple[
     rows = users.where(F.col(score).isNotNull()).select(
         F.col(KEY).alias("id"), F.col(score).cast("double").alias("ps"), F.col(order).alias("ord"), (1 - F.col(treated)).cast("long").alias("is_control")
     )
-    placed = _running(materialize(with_cell(rows, "ps"), "cells"), "is_control", ["ps", "is_control", "id"], "place")
+    placed = _running(with_cell(rows, "ps", "is_control", "id"), "is_control", ["ps", "is_control", "id"], "place")
     placed = materialize(placed.select("id", "ps", "ord", "is_control", "place"), "places")
     controls = placed.where(F.col("is_control") == 1).select("place", F.col("id").alias("control_id"), F.col("ps").alias("control_ps"))
     free = placed.where(F.col("is_control") == 0).select(
         "id", "ps", F.struct(F.col("ord"), F.col("id").alias("by_id")).alias("ord"), F.col("place").alias("left"), (F.col("place") + 1).alias("right")
     )
-    return controls, free
+    return controls, with_cell(free, "ord")
 
 
 FAN = 64
@@ -113,7 +123,7 @@ def _advance(free: DataFrame, levels: list[DataFrame], side: str) -> DataFrame:
     return rows.select(*names, moved.alias(side), exact.alias(f"{side}_exact"))
 
 
-def _propose(free: DataFrame, controls: DataFrame, held: DataFrame, last_place: int, caliper: float, queue_limit: int) -> DataFrame:
+def _propose(free: DataFrame, controls: DataFrame, held: DataFrame, last_place: int, caliper: float) -> DataFrame:
     """The place every free user proposes to in this round; NULL to wait. Users without any control
     left inside the caliper are dropped: they stay unmatched."""
     levels = _blocks(controls, held)
@@ -133,9 +143,7 @@ def _propose(free: DataFrame, controls: DataFrame, held: DataFrame, last_place:
     rows = rows.withColumns({"goes_left": goes_left, "both": both})
     rows = materialize(rows.withColumn("known", known), "pointers")
     group = ("left", "right", "goes_left", "both")
-    asking = rows.where("known").withColumn("turn", F.row_number().over(Window.partitionBy(*group).orderBy("ord")))
-    # the limit cuts a long queue before the shuffle; the rest of it waits for the next round
-    asking = asking.where(F.col("turn") <= queue_limit)
+    asking = _turns(rows.where("known"), group)
     start = F.when(F.col("goes_left"), F.col("left")).otherwise(F.col("right"))
     step = F.when(F.col("goes_left"), -1).otherwise(1)
     asking = asking.withColumn("place", start + step * (F.col("turn") - 1))
@@ -146,17 +154,18 @@ def _propose(free: DataFrame, controls: DataFrame, held: DataFrame, last_place:
     usable = F.when(F.col("both"), F.col("target_ps") == near).otherwise(F.abs(F.col("target_ps") - F.col("ps")) <= caliper)
     usable = F.coalesce(usable, F.lit(False)) | (F.col("turn") == 1)
     asking = asking.withColumn("usable", usable)
-    first_wait = F.min(F.when(~F.col("usable"), F.col("turn"))).over(Window.partitionBy(*group))
-    asking = asking.withColumn("first_wait", first_wait).where(F.col("first_wait").isNull() | (F.col("turn") < F.col("first_wait")))
-    offers = rows.select("id", "ps", "ord", "left", "right", "goes_left").join(asking.select("id", "place"), "id", "left")
+    asking = materialize(asking.select("id", "place", "turn", "usable", *group), "asking")
+    first_wait = asking.groupBy(*group).agg(F.min(F.when(~F.col("usable"), F.col("turn"))).alias("first_wait"))
+    asking = asking.join(first_wait, list(group)).where(F.col("first_wait").isNull() | (F.col("turn") < F.col("first_wait")))
+    offers = rows.select("id", "ps", "ord", "cell", "left", "right", "goes_left").join(asking.select("id", "place"), "id", "left")
     moved_left = F.when(F.col("place").isNotNull() & F.col("goes_left"), F.col("place") - 1).otherwise(F.col("left"))
     moved_right = F.when(F.col("place").isNotNull() & ~F.col("goes_left"), F.col("place") + 1).otherwise(F.col("right"))
-    return offers.select("id", "ps", "ord", moved_left.alias("left"), moved_right.alias("right"), "place")
+    return offers.select("id", "ps", "ord", "cell", moved_left.alias("left"), moved_right.alias("right"), "place")
 
 
 def propensity_match(
     users: DataFrame, score: str = "propensity_score", treated: str = "ever_used_agent", order: str = KEY,
-    caliper: float = 0.05, queue_limit: int = QUEUE_LIMIT,
+    caliper: float = 0.05,
 ) -> DataFrame:
     """Pairs (treated_id, control_id, score_gap) equal to the sequential greedy matching in ``order``.
 
@@ -170,7 +179,7 @@ def propensity_match(
         if open_users.isEmpty():
             break
         held = state.where(F.col("place").isNotNull())
-        offers = _propose(open_users.drop("place"), controls, held, last_place, caliper, queue_limit)
+        offers = _propose(open_users.drop("place"), controls, held, last_place, caliper)
         best = F.min("ord").over(Window.partitionBy("place"))
         asked = held.unionByName(offers.where(F.col("place").isNotNull())).withColumn("best", best)
         kept = F.when(F.col("ord") == F.col("best"), F.col("place"))
@@ -182,13 +191,12 @@ def propensity_match(
 
 def _pairs(state: DataFrame, users: DataFrame, controls: DataFrame, score: str, treated: str) -> DataFrame:
     """Controls of equal score are interchangeable until the end: the earlier treated user gets the lower id."""
-    taken = state.where(F.col("place").isNotNull()).select("id", "ps", "ord", "place").join(controls, "place")
-    nth = F.row_number().over(Window.partitionBy("control_ps").orderBy("ord"))
-    takers = taken.select(F.col("id").alias("treated_id"), "ps", "control_ps", nth.alias("nth"))
-    wanted = taken.select("control_ps").distinct()
-    nth_control = F.row_number().over(Window.partitionBy("control_ps").orderBy("place"))
-    ids = controls.join(wanted, "control_ps", "left_semi").select("control_ps", "control_id", nth_control.alias("nth"))
-    return takers.join(ids, ["control_ps", "nth"]).select("treated_id", "control_id", F.abs(F.col("ps") - F.col("control_ps")).alias("score_gap"))
+    taken = state.where(F.col("place").isNotNull()).select("id", "ps", "ord", "cell", "place").join(controls, "place")
+    takers = _turns(taken.drop("place", "control_id"), ("control_ps",)).withColumnRenamed("id", "treated_id")
+    # controls of one score lie next to each other in the ranking: the n-th of them is n - 1 places after the first
+    first = controls.groupBy("control_ps").agg(F.min("place").alias("first_place"))
+    takers = takers.join(first, "control_ps").withColumn("place", F.col("first_place") + F.col("turn") - 1)
+    return takers.select("treated_id", "ps", "place").join(controls, "place").select("treated_id", "control_id", F.abs(F.col("ps") - F.col("control_ps")).alias("score_gap"))
 
 
 def att(pairs: DataFrame, users: DataFrame, min_pairs: int = 10) -> DataFrame:
