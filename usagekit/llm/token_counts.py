@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from usagekit.llm.common import delete_folder, materialize, word_count
 from usagekit.llm.packing import encoder, stretches, vocabulary_path
-from usagekit.session import scratch_dir
+from usagekit.session import gone_at_exit, scratch_dir
 
 KEYS = ["source", "lang", "version"]
 ROLLUP = "source string, lang string, version string, documents long, tokens long"
@@ -117,7 +117,10 @@ def token_totals(docs: DataFrame, batches: int = 4, folder: str | None = None, p
     doc_id belongs to one of the batches; an empty table has no totals.
     """
     counts = materialize(count_tokens(docs, path), "token-counts")
-    rollup = TokenRollup(docs.sparkSession, folder or f"{scratch_dir(docs.sparkSession)}/usagekit/rollup-{uuid.uuid4().hex}")
+    if folder is None:
+        folder = f"{scratch_dir(docs.sparkSession)}/usagekit/rollup-{uuid.uuid4().hex}"
+        gone_at_exit(docs.sparkSession, folder)
+    rollup = TokenRollup(docs.sparkSession, folder)
     for i in range(batches):
         batch = counts.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
         words, ids = batch.where(F.col("version") == WORDS), batch.where(F.col("version") == BPE)
