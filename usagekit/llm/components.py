@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from usagekit.llm.common import drop_table, materialize
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+SALTS = 16  # parts of the edges of one hub
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every vertex hands its larger neighbours its smallest neighbour."""
-    near = _both_ways(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    """Every vertex hands its larger neighbours its smallest neighbour, or itself. ``edges`` have a > b.
+
+    A hub is the smaller end of many edges: they are dealt out in SALTS parts, and its one row is repeated for each.
+    """
+    least = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    return dealt.join(least, ["b", "salt"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
     ``edges``: a, b (long, neither null), any direction, repeats and loops allowed; no edges give no rows.
     Each round is written to the shared folder and the round before deleted; the end is seen by a count
-    and a checksum of the edges. Hubs are joined, never grouped into one row.
+    and a checksum of the edges. Hubs are joined in parts, never grouped into one row.
     """
     now = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
