@@ -87,6 +87,13 @@ def mix_sources(
     agree; of rows with equal doc_id and size either may be first, with the same set of results. A source
     that holds most rows is spread over ``shards`` (at most 256) windows.
     """
+    return _taken(docs, weights, cap, block_words, shards, seed).drop("_source")
+
+
+def _taken(
+    docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, block_words: int = 16, shards: int = SHARDS, seed: str = "mix",
+) -> DataFrame:
+    """The columns of mix_sources and _source."""
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select("doc_id", source_key().alias("_source"), word_count(F.col("text")).alias("size"), digest.alias("_hash"))
     rows = rows.withColumn("_shard", (hex_number(F.col("_hash"), 1, 2) % shards).cast("int")).withColumn("_hash", F.substring("_hash", 3, 14))
@@ -111,20 +118,32 @@ def mix_sources(
         return F.floor(upto / F.col("_words")).cast("long") * F.col("size") + rest
 
     taken = F.when(F.col("_words") > 0, read(F.col("_from") + F.col("_take")) - read(F.col("_from"))).otherwise(0).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("_source", "doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as its taken words make it up, rounded.
+    """The documents of the mix with all their columns, each as often as its taken words make it up.
 
-    A document that the mix enters or leaves in its middle counts as whole where at least half is taken.
-    Documents without a word are left out. Rows that share a doc_id are repeated by their mean.
+    Whole rounds of a document count as they are. The rests of a source are settled together: its documents
+    with a rest, the largest share of the document first, are taken whole until the next one's middle lies
+    past the sum of all rests. So a source's words differ from its taken words by half a document at most.
+    A shard's circle is entered and left in one document each: a window holds two rows per shard at most.
+    Documents without a word are left out. Rows that share doc_id, source and size are repeated by their mean.
     """
-    mix = mix_sources(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id"))
-    times = mix.agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times")).where("_times > 0")
-    out = docs.select(whole_row(docs), F.col("doc_id").alias("_doc"))
-    out = out.join(times, F.col("_doc").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.select("_row.*")
+    mix = materialize(_taken(docs, **options).where("taken > 0"), "mix")
+    mix = mix.select("_source", "doc_id", "size", F.expr("taken div size").alias("_whole"), (F.col("taken") % F.col("size")).alias("_rest"))
+    laid = Window.partitionBy("_source").orderBy((F.col("_rest") / F.col("size")).desc(), F.xxhash64("doc_id"), "doc_id", "size")
+    rests = mix.where("_rest > 0").withColumns({
+        "_middle": F.sum("size").over(laid.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2,
+        "_goal": F.sum("_rest").over(Window.partitionBy("_source")),
+    })
+    rests = rests.select("_source", "doc_id", "size", (F.col("_whole") + (F.col("_middle") <= F.col("_goal")).cast("long")).alias("_times"))
+    times = rests.unionByName(mix.where("_rest = 0").select("_source", "doc_id", "size", F.col("_whole").alias("_times")))
+    times = times.groupBy(F.col("_source").alias("_from"), F.col("doc_id").alias("_id"), F.col("size").alias("_words"))
+    times = times.agg(F.floor(F.avg("_times") + 0.5).cast("int").alias("_times")).where("_times > 0")
+    out = docs.select(whole_row(docs), F.col("doc_id").alias("_doc"), source_key().alias("_src"), word_count(F.col("text")).alias("_size"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_src") == F.col("_from")) & (F.col("_size") == F.col("_words"))
+    return out.join(times, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 SQL = r"""
