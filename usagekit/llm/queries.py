@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagekit.llm import exact_dedup, fill_in_middle, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_counts
+from usagekit.llm import exact_dedup, fill_in_middle, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_counts, turn_trie
 from usagekit.session import ensure_utc
 
 
@@ -59,6 +59,10 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
     restored = fill_in_middle.restore(F.col("output"), F.col("form"))
@@ -68,7 +72,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_simhash_dedup, op2_mix_sources, op3_quality_trees, op4_suffix_dedup, op5_quality_rules, op6_token_rollups, op7_exact_dedup,
-        op8_jump_sharding, op9_contextual_pii, op10_harmonic_packing, op12_fill_in_middle,
+        op8_jump_sharding, op9_contextual_pii, op10_harmonic_packing, op11_turn_trie, op12_fill_in_middle,
     )
     return {f.__name__: f for f in every}
 
@@ -76,5 +80,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op7_exact_dedup": exact_dedup.SQL,
-        "op12_fill_in_middle": fill_in_middle.SQL,
+        "op11_turn_trie": turn_trie.SQL, "op12_fill_in_middle": fill_in_middle.SQL,
     }
