@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagekit.llm import exact_dedup, fill_in_middle, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_counts, turn_trie
+from usagekit.llm import exact_dedup, fill_in_middle, lattice_lm, mixing, packing, pii, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_counts, turn_trie
 from usagekit.session import ensure_utc
 
 
@@ -69,10 +69,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("output_sha256", F.sha2("output", 256)).withColumn("restored_sha256", F.sha2(restored, 256)).drop("output")
 
 
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_simhash_dedup, op2_mix_sources, op3_quality_trees, op4_suffix_dedup, op5_quality_rules, op6_token_rollups, op7_exact_dedup,
-        op8_jump_sharding, op9_contextual_pii, op10_harmonic_packing, op11_turn_trie, op12_fill_in_middle,
+        op8_jump_sharding, op9_contextual_pii, op10_harmonic_packing, op11_turn_trie, op12_fill_in_middle, op13_lattice_lm,
     )
     return {f.__name__: f for f in every}
 
