@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from oracle.log_sql import ORDERS_LOG, TOKENS, USAGE_LOG
-from oracle.models_sql import BOOSTED, FOREST, LOGISTIC, folds, held_out, per_fold, shares
 from oracle.users_sql import CHATS, FEATURES, LOG, RUNS, TOOL_EVENTS, TOOLS, USERS, VOLUME, hours
 
 SEGMENTS = ("Agent Builder", "Agent Runner", "Manual Coder", "Viewer", "Ghost")
@@ -361,12 +360,8 @@ DOUBLE_FEATURES = """tenure_days ttf_manual_run_min ttf_agent_tool_min ttf_agent
  refactor_after_run_rate finish_summary_rate first_session_duration_min time_to_return_hours productive_session_share""".split()
 
 
-def model_sql(lab: str, match: str, batch: str) -> dict[str, str]:
-    """Queries on fitted models. ``lab``: users with label; ``match``: the sequential pairs; ``batch``: scored users with advice."""
-    agents = lab + ", ag AS (SELECT * FROM lb WHERE ever_used_agent = 1)"
-    churn = TABLE + ", cp AS (SELECT * FROM ut WHERE in_churn_population = 1)"
-    cohorts = lab + ", ch AS (SELECT signup_cohort, count(*) AS n, CAST(sum(label) AS BIGINT) AS k FROM lb GROUP BY 1), ct AS (SELECT *, k >= 10 AND k < n AS trained FROM ch)"
-    sets = ", ".join(f"('baseline{x}')" for x in ("", " + iteration_quality", " + session_structure", " + canvas_commitment", " + all_new_signals"))
+def matched_sql(match: str) -> dict[str, str]:
+    """The effect on matched pairs. ``match``: the sequential pairs on the recency score."""
     outcomes = {
         "Agent Builder %": "CASE WHEN {u}.segment = 'Agent Builder' THEN 100.0 ELSE 0.0 END", "Active days": "{u}.days_active",
         "Returned %": "CASE WHEN {u}.had_second_session = 1 THEN 100.0 ELSE 0.0 END", "Propensity score": "round({u}.churn_probability, 4)",
@@ -377,28 +372,8 @@ def model_sql(lab: str, match: str, batch: str) -> dict[str, str]:
         for n, e in outcomes.items()
     )
     return {
-        "cross_validate_all_users": per_fold(lab, "lb", "label", (FOREST, BOOSTED, LOGISTIC)),
-        "cross_validate_agent_users": per_fold(agents, "ag", "label", (FOREST, BOOSTED, LOGISTIC)),
-        "feature_importance": shares(15),
-        "hold_out_quality": held_out(lab, "lb", "label", (FOREST,), "true AS better_than_chance"),
         "model_persistence": out(USERS, "users", "person_id, true AS same_score"),
-        "churn_score": out(churn, "cp", "person_id, is_churn, 'is_14d_survival_churn_proxy' AS target_name, true AS valid"),
-        "churn_cross_validation": per_fold(churn, "cp", "is_churn", (FOREST, LOGISTIC)),
-        "churn_hold_out": held_out(churn, "cp", "is_churn", (FOREST, LOGISTIC), "1 AS in_bounds"),
-        "churn_drivers": shares(15),
-        "model_driven_interventions": out(INTERVENTION, "iv", "person_id, in_churn_population, true AS valid", "activation_signal"),
-        "model_driven_struggle": out(STRUGGLE, "sq", "person_id, had_struggle_signal, true AS valid", "recovery_intensity"),
-        "ces_cross_validation": per_fold(CES, "ces", "is_success", (FOREST, BOOSTED, LOGISTIC)),
-        "ces_confusion": f"WITH {folds(CES, 'ces', 'is_success')} SELECT c AS class, count(*) FILTER (y = c) AS support, true AS valid FROM fd, (VALUES (0), (1)) AS v(c) WHERE fold = 0 GROUP BY c",
-        "ces_batch_score": out(batch, "bs", f"person_id, {', '.join(CRITERIA)}, ces_score, CASE WHEN len(adv) = 0 THEN ['On track: explore the advanced features.'] ELSE adv[1:3] END AS recommendations, true AS valid"),
-        "fleet_models": out(cohorts, "ct", "signup_cohort, n, k AS n_builders, trained, CAST(CASE WHEN trained THEN 3 ELSE 0 END AS BIGINT) AS top_features", "pct_ab: 100.0 * k / n"),
-        "fleet_drift": out(cohorts, "ct", "signup_cohort, CAST(8 AS BIGINT) AS features, true AS sums_to_one", where="trained"),
-        "feature_ablation": f"WITH {folds(agents, 'ag', 'label')} SELECT feature_set, model, (SELECT count(*) FROM (SELECT fold FROM fd GROUP BY fold HAVING sum(y) > 0 AND sum(y) < count(*))) AS folds, true AS valid FROM (VALUES {sets}) AS s(feature_set), (VALUES ('{FOREST}'), ('{LOGISTIC}')) AS m(model)",
-        "kmeans_archetypes": out(CES, "ces", "CAST(3 AS BIGINT) AS clusters, count(*) AS users, true AS named_by_success"),
-        "kmeans_elbow": "SELECT CAST(k AS INTEGER) AS k, true AS positive FROM range(2, 8) AS r(k)",
-        "propensity_scores": out(USERS, "users", "person_id, ever_used_agent, true AS valid"),
-        "propensity_match": "SELECT true AS treated_once, true AS controls_once, true AS inside_caliper",
-        "matched_effect": f"WITH {match} {effect}",
+        "recency_matched_effect": f"WITH {match} {effect}",
     }
 
 
@@ -642,6 +617,6 @@ def oracle_sql() -> dict[str, str]:
     sql["confusion_matrix"] = out(conf, "cf", "a AS actual, p AS predicted, count(*) AS users", group="1, 2")
     conf += ", cr AS (" + " UNION ALL ".join(f"SELECT {c} AS class, CAST(count(*) FILTER (a = {c} AND p = {c}) AS DOUBLE) AS h, count(*) FILTER (p = {c}) AS m, count(*) FILTER (a = {c}) AS support FROM cf" for c in (0, 1)) + ")"
     conf += ", cq AS (SELECT class, support, COALESCE(h / NULLIF(m, 0), 0) AS pr, COALESCE(h / NULLIF(support, 0), 0) AS re FROM cr)"
-    sql |= model_sql(lab, match, bs)
+    sql |= matched_sql(match)
     sql["confusion_report"] = out(conf, "cq", "class, support", "precision: pr; recall: re; f1: COALESCE(2 * pr * re / NULLIF(pr + re, 0), 0)")
     return sql

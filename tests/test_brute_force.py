@@ -101,10 +101,40 @@ def test_matching_equals_sequential_greedy(spark, seed, share, digits):
     scale = 2**digits  # scores on a binary grid: exact distances, many ties with few digits
     rows = [(f"u{i:03d}", int(rnd.random() * scale) / scale, int(rnd.random() < share)) for i in range(50)]
     df = spark.createDataFrame(rows, "person_id string, propensity_score double, ever_used_agent int")
-    pairs = matching.propensity_match(df, caliper=0.125).collect()
-    assert {r.treated_id: r.control_id for r in pairs} == greedy(rows, 0.125)
-    assert len({r.control_id for r in pairs}) == len(pairs)
-    assert all(r.score_gap <= 0.125 for r in pairs)
+    for block in (None, 3):  # all controls in one block, and users that move through several
+        pairs = matching.propensity_match(df, caliper=0.125, block=block).collect()
+        assert {r.treated_id: r.control_id for r in pairs} == greedy(rows, 0.125)
+        assert len({r.control_id for r in pairs}) == len(pairs)
+        assert all(r.score_gap <= 0.125 for r in pairs)
+
+
+def test_matching_of_many_users_on_five_scores(spark):
+    """20,000 users within one caliper: queues of neighbouring scores push each other on; the pairs of the plain loop."""
+    rnd = random.Random(11)
+    scores = [0.50, 0.51, 0.52, 0.53, 0.54]
+    rows = [(f"u{i:05d}", rnd.choice(scores), int(rnd.random() < 0.5)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "person_id string, propensity_score double, ever_used_agent int")
+    for block in (None, 1500):
+        pairs = matching.propensity_match(df, block=block).collect()
+        free = {s: sorted(i for i, p, t in rows if p == s and t == 0)[::-1] for s in scores}
+        want = {}
+        for i, p, t in sorted(rows):
+            near = [(abs(q - p), q) for q in scores if free[q] and abs(q - p) <= 0.05]
+            if t and near:
+                want[i] = free[min(near)[1]].pop()
+        assert {r.treated_id: r.control_id for r in pairs} == want
+
+
+def test_places_find_the_nearest_that_accepts():
+    rnd = random.Random(5)
+    places, held = matching.Places(np.linspace(0, 1, 37)), [matching.FREE] * 37
+    for _ in range(600):
+        at, turn, left = rnd.randrange(37), rnd.randrange(100), rnd.random() < 0.5
+        way = range(at, -1, -1) if left else range(at, 37)
+        assert places.nearest(at, turn, left) == next((i for i in way if held[i] > turn), None)
+        i = rnd.randrange(37)
+        held[i] = rnd.choice([rnd.randrange(100), matching.FREE])
+        places.give(i, held[i])
 
 
 def test_matching_of_few_scores_splits_ties(spark, monkeypatch):

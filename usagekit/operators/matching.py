@@ -2,20 +2,26 @@
 
 The wanted result is the sequential one: treated users in a fixed order each take the nearest control
 that is still free (the lower score on equal distance, the lower id on equal scores). Run as deferred
-acceptance it needs no sequence: every unmatched treated user proposes to the next control of its
-preference list, a control keeps the earliest proposer, the others go on. With one common order of
-the treated users the stable result is unique and equals the sequential one.
-
-The controls are ranked once; a treated user carries two pointers into the ranking, one walking to
-lower and one to higher scores. A round is two equi-joins on the pointers and one aggregation, so no
-pairs are enumerated and no group is collected. Two things keep the number of rounds small. Users in
-the same position with the same preferences form a queue: the i-th of them proposes i places further
-on, because the places before it get an earlier proposer in the same round. And a pointer jumps over
-places whose holder comes earlier, with blocks of 64 places, of 64 blocks and of 64 of those.
+acceptance it needs no sequence: a treated user proposes to the nearest control that may accept it, a
+control keeps the earliest proposer, the displaced one goes on. With one common order of the treated
+users the stable result is unique and equals the sequential one, in whatever order proposals are made.
+
+So the score line is cut into blocks of controls, and each block runs the proposals of the users that
+look at it to completion, in one pass. A user carries the nearest place on either side that may still
+accept it. Only when the nearer one lies in another block the user moves there, with the next round; a
+round reads the blocks that somebody moved to and no others. A block takes the earliest users that
+wait for it, a bounded number, and users pass a block whose holders are all earlier than they are
+without entering it: many users on one score never meet in one task.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,134 +70,191 @@ def rank_users(users: DataFrame, score: str, treated: str, order: str) -> tuple[
     placed = _running(with_cell(rows, "ps", "is_control", "id"), "is_control", ["ps", "is_control", "id"], "place")
     placed = materialize(placed.select("id", "ps", "ord", "is_control", "place"), "places")
     controls = placed.where(F.col("is_control") == 1).select("place", F.col("id").alias("control_id"), F.col("ps").alias("control_ps"))
-    free = placed.where(F.col("is_control") == 0).select(
-        "id", "ps", F.struct(F.col("ord"), F.col("id").alias("by_id")).alias("ord"), F.col("place").alias("left"), (F.col("place") + 1).alias("right")
-    )
-    return controls, with_cell(free, "ord")
-
-
-FAN = 64
-
-
-def _blocks(controls: DataFrame, held: DataFrame) -> list[DataFrame]:
-    """For each level the entries of a block with the latest holder in them; a free place is later
-    than any holder. A block has at most 64 entries."""
-    holders = held.select("place", F.col("ord").alias("holder"))
-    entries = controls.select("place").join(holders, "place", "left").select(
-        F.col("place").alias("at"), F.struct(F.col("holder").isNull().alias("free"), "holder").alias("latest")
-    )
-    levels = []
-    for _ in range(3):
-        block = F.floor(F.col("at") / FAN).cast("long")
-        levels.append(entries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("at", "latest")).alias("entries")))
-        entries = entries.groupBy(block.alias("at")).agg(F.max("latest").alias("latest"))
-    return levels
-
-
-def _open_entries(position: Column, side: str, own_included: bool):
-    """Predicate on block entries: on the wanted side of the position, and able to accept the user."""
-
-    def is_open(e: Column) -> Column:
-        ahead = e["at"] <= position if side == "left" else e["at"] >= position
-        reach = ahead if own_included else ahead & (e["at"] != position)
-        return reach & (e["latest"] > F.col("__me"))
-
-    return is_open
-
-
-def _advance(free: DataFrame, levels: list[DataFrame], side: str) -> DataFrame:
-    """Moves one pointer to the nearest place that could accept the user, or as far towards it as the
-    blocks around the pointer tell; ``<side>_exact`` says which."""
-    nearest = F.array_max if side == "left" else F.array_min
-    me = F.struct(F.lit(False).alias("free"), F.col("ord").alias("holder"))
-    rows, position, hits = free.withColumn("__me", me), F.col(side), []
-    for level, blocks in enumerate(levels):
-        block = F.floor(position / FAN).cast("long")
-        rows = rows.withColumn("block", block).join(blocks, "block", "left")
-
-        is_open = _open_entries(position, side, own_included=level == 0)
-        found = nearest(F.transform(F.filter("entries", is_open), lambda e: e["at"]))
-        scale = FAN**level
-        hits.append(found * scale + (scale - 1 if side == "left" else 0))
-        rows = rows.withColumn(f"__hit{level}", hits[-1]).drop("entries", "block")
-        position = block
-    span = FAN ** len(levels)
-    edge = F.floor(F.col(side) / span) * span + (-1 if side == "left" else span)
-    exact = F.col("__hit0").isNotNull()
-    moved = F.coalesce(*[F.col(f"__hit{i}") for i in range(len(levels))], edge).cast("long")
-    names = [c for c in free.columns if c != side]
-    return rows.select(*names, moved.alias(side), exact.alias(f"{side}_exact"))
-
-
-def _propose(free: DataFrame, controls: DataFrame, held: DataFrame, last_place: int, caliper: float) -> DataFrame:
-    """The place every free user proposes to in this round; NULL to wait. Users without any control
-    left inside the caliper are dropped: they stay unmatched."""
-    levels = _blocks(controls, held)
-    free = _advance(_advance(free, levels, "left"), levels, "right")
-    # a pointer past the ranking has nothing left on its side; one inside an unranked gap cannot occur
-    free = free.withColumns({"left_exact": F.col("left_exact") | (F.col("left") < 1), "right_exact": F.col("right_exact") | (F.col("right") > last_place)})
-    at_left = controls.select(F.col("place").alias("left"), F.col("control_ps").alias("left_ps"))
-    at_right = controls.select(F.col("place").alias("right"), F.col("control_ps").alias("right_ps"))
-    rows = free.join(at_left, "left", "left").join(at_right, "right", "left")
-    to_left = F.when(F.col("ps") - F.col("left_ps") <= caliper, F.col("ps") - F.col("left_ps"))
-    to_right = F.when(F.col("right_ps") - F.col("ps") <= caliper, F.col("right_ps") - F.col("ps"))
-    rows = rows.withColumns({"to_left": to_left, "to_right": to_right})
-    rows = rows.where(F.col("to_left").isNotNull() | F.col("to_right").isNotNull())
-    known = (F.col("left_exact") | F.col("to_left").isNull()) & (F.col("right_exact") | F.col("to_right").isNull())
-    goes_left = F.col("to_right").isNull() | F.coalesce(F.col("to_left") <= F.col("to_right"), F.lit(False))
-    both = F.col("to_left").isNotNull() & F.col("to_right").isNotNull()
-    rows = rows.withColumns({"goes_left": goes_left, "both": both})
-    rows = materialize(rows.withColumn("known", known), "pointers")
-    group = ("left", "right", "goes_left", "both")
-    asking = _turns(rows.where("known"), group)
-    start = F.when(F.col("goes_left"), F.col("left")).otherwise(F.col("right"))
-    step = F.when(F.col("goes_left"), -1).otherwise(1)
-    asking = asking.withColumn("place", start + step * (F.col("turn") - 1))
-    target = controls.select("place", F.col("control_ps").alias("target_ps"))
-    asking = asking.join(target, "place", "left")
-    near = F.when(F.col("goes_left"), F.col("left_ps")).otherwise(F.col("right_ps"))
-    # with a choice of sides only places at the same distance may be passed on; with one side any inside the caliper
-    usable = F.when(F.col("both"), F.col("target_ps") == near).otherwise(F.abs(F.col("target_ps") - F.col("ps")) <= caliper)
-    usable = F.coalesce(usable, F.lit(False)) | (F.col("turn") == 1)
-    asking = asking.withColumn("usable", usable)
-    asking = materialize(asking.select("id", "place", "turn", "usable", *group), "asking")
-    first_wait = asking.groupBy(*group).agg(F.min(F.when(~F.col("usable"), F.col("turn"))).alias("first_wait"))
-    asking = asking.join(first_wait, list(group)).where(F.col("first_wait").isNull() | (F.col("turn") < F.col("first_wait")))
-    offers = rows.select("id", "ps", "ord", "cell", "left", "right", "goes_left").join(asking.select("id", "place"), "id", "left")
-    moved_left = F.when(F.col("place").isNotNull() & F.col("goes_left"), F.col("place") - 1).otherwise(F.col("left"))
-    moved_right = F.when(F.col("place").isNotNull() & ~F.col("goes_left"), F.col("place") + 1).otherwise(F.col("right"))
-    return offers.select("id", "ps", "ord", "cell", moved_left.alias("left"), moved_right.alias("right"), "place")
+    free = placed.where(F.col("is_control") == 0).select("id", "ps", "ord", F.col("place").alias("left"))
+    free = with_cell(free, "ord", "id").withColumn("one", F.lit(1).cast("long"))
+    return controls, _running(free, "one", ["ord", "id"], "turn").drop("one", "ord")
+
+
+BLOCK, WAITING = 1 << 16, 4  # controls of a block; users it takes in a round, as a multiple of that
+TOKEN = "turn long, ps double, left long, right long, left_ps double, right_ps double, place long"
+FREE = math.inf
+
+
+class Places:
+    """The controls of one block with their holders, and the nearest one on a side that a user can have."""
+
+    def __init__(self, scores: np.ndarray):
+        self.scores, self.n = scores.tolist(), len(scores)
+        self.size = 1 << max(1, (self.n - 1).bit_length())
+        # Latest holder below each node; places beyond the block are held by the first user of all.
+        self.latest = [-1.0] * (2 * self.size)
+        for i in range(self.n):
+            self.latest[self.size + i] = FREE
+        for i in range(self.size - 1, 0, -1):
+            self.latest[i] = max(self.latest[2 * i], self.latest[2 * i + 1])
+
+    def holder(self, at: int) -> float:
+        return self.latest[self.size + at]
+
+    def give(self, at: int, turn: float) -> None:
+        i = self.size + at
+        self.latest[i] = turn
+        while i > 1:
+            i //= 2
+            best = max(self.latest[2 * i], self.latest[2 * i + 1])
+            if self.latest[i] == best:
+                return
+            self.latest[i] = best
+
+    def nearest(self, at: int, turn: float, left: bool) -> int | None:
+        """The first place from ``at`` on that is free or held by a later user."""
+        i, latest = self.size + at, self.latest
+        while latest[i] <= turn:
+            # up until a neighbour on the wanted side has one
+            while i > 1 and (i % 2 == 0 if left else i % 2 == 1):
+                i //= 2
+            if i <= 1:
+                return None
+            i += -1 if left else 1
+        while i < self.size:
+            first = 2 * i + (1 if left else 0)
+            i = first if latest[first] > turn else first ^ 1
+        return i - self.size
+
+
+def settle(block: pd.DataFrame, caliper: float) -> pd.DataFrame:
+    """All proposals among the controls of one block (rows without turn) and the users that hold or look at them.
+
+    Users that have to look into another block next come back with their frontier moved and no place, users without a
+    control left in the caliper as well, with neither side in reach.
+    """
+    controls = block[block["turn"].isna()].sort_values("place")
+    users = block[block["turn"].notna()]
+    first, places = int(controls["place"].iloc[0]), Places(controls["ps"].to_numpy())
+    before, after = float(controls["left_ps"].iloc[0]), float(controls["right_ps"].iloc[0])
+    state = {
+        int(r.turn): [float(r.ps), int(r.left), int(r.right), float(r.left_ps), float(r.right_ps), None if math.isnan(r.place) else int(r.place) - first]
+        for r in users.itertuples()
+    }
+    for turn, user in state.items():
+        if user[5] is not None:
+            places.give(user[5], turn)
+    waiting = [turn for turn, user in state.items() if user[5] is None]
+    heapq.heapify(waiting)
+    while waiting:
+        turn = heapq.heappop(waiting)
+        user = state[turn]
+        ps = user[0]
+        for side, edge, beyond in ((1, -1, before), (2, places.n, after)):
+            at = user[side] - first
+            if 0 <= at < places.n:
+                found = places.nearest(at, turn, side == 1)
+                user[side] = first + (edge if found is None else found)
+                user[side + 2] = beyond if found is None else places.scores[found]
+        to_left, to_right = ps - user[3], user[4] - ps  # NaN where the line ends
+        left, right = to_left <= caliper, to_right <= caliper
+        if not left and not right:
+            user[3] = user[4] = math.nan
+            continue
+        side = 1 if left and not (right and to_right < to_left) else 2
+        at = user[side] - first
+        if 0 <= at < places.n:
+            displaced = places.holder(at)
+            places.give(at, turn)
+            user[5] = at
+            if displaced != FREE:
+                state[int(displaced)][5] = None
+                heapq.heappush(waiting, int(displaced))
+    rows = [(turn, *user[:5], math.nan if user[5] is None else user[5] + first) for turn, user in state.items()]
+    out = pd.DataFrame(rows, columns=["turn", "ps", "left", "right", "left_ps", "right_ps", "place"])
+    return out.astype({"turn": "int64", "left": "int64", "right": "int64", "place": "Int64"})
+
+
+def _settler(caliper: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda block: settle(block, caliper)
+
+
+def _line(controls: DataFrame, size: int) -> DataFrame:
+    """Controls as rows of their blocks: block, place, ps, and as left_ps and right_ps the scores just beyond the block."""
+    rows = controls.select(F.floor((F.col("place") - 1) / size).alias("block"), "place", F.col("control_ps").alias("ps"))
+    ends = rows.groupBy("block").agg(F.min("ps").alias("low"), F.max("ps").alias("high"))
+    below = ends.select((F.col("block") + 1).alias("block"), F.col("high").alias("left_ps"))
+    above = ends.select((F.col("block") - 1).alias("block"), F.col("low").alias("right_ps"))
+    around = ends.select("block").join(below, "block", "left").join(above, "block", "left")
+    return rows.join(around, "block")
+
+
+def _look(users: DataFrame, size: int, caliper: float) -> DataFrame:
+    """Adds goes_left and the block a waiting user looks at next; users with nothing in reach are left out."""
+    gap = lambda x: F.when(~F.isnan(x) & (x <= caliper), x)
+    rows = users.withColumns({"to_left": gap(F.col("ps") - F.col("left_ps")), "to_right": gap(F.col("right_ps") - F.col("ps"))})
+    rows = rows.where("to_left IS NOT NULL OR to_right IS NOT NULL")
+    rows = rows.withColumn("goes_left", F.col("to_left").isNotNull() & (F.col("to_right").isNull() | (F.col("to_left") <= F.col("to_right"))))
+    at = F.when(F.col("goes_left"), F.col("left")).otherwise(F.col("right"))
+    return rows.withColumn("block", F.floor((at - 1) / size)).drop("to_left", "to_right")
+
+
+def _pass_full(users: DataFrame, full: DataFrame, size: int) -> DataFrame:
+    """Users that look at a block of earlier holders only go on to the place beyond it."""
+    rows = users.join(full, "block", "left")
+    over = F.col("latest").isNotNull() & (F.col("latest") < F.col("turn"))
+    left, right = over & F.col("goes_left"), over & ~F.col("goes_left")
+    return rows.withColumns({
+        "left": F.when(left, F.col("block") * size).otherwise(F.col("left")), "left_ps": F.when(left, F.col("before")).otherwise(F.col("left_ps")),
+        "right": F.when(right, (F.col("block") + 1) * size + 1).otherwise(F.col("right")), "right_ps": F.when(right, F.col("after")).otherwise(F.col("right_ps")),
+    }).drop("latest", "before", "after", "goes_left", "block")
 
 
 def propensity_match(
     users: DataFrame, score: str = "propensity_score", treated: str = "ever_used_agent", order: str = KEY,
-    caliper: float = 0.05,
+    caliper: float = 0.05, block: int | None = None,
 ) -> DataFrame:
     """Pairs (treated_id, control_id, score_gap) equal to the sequential greedy matching in ``order``.
 
-    Every round's state is a written table, so a lost executor costs one round at most.
+    Every round's state is a written table, so a lost executor costs one round at most. The number of rounds is that of
+    the moves of a user between blocks; what lies inside one block takes one.
     """
-    controls, free = rank_users(users, score, treated, order)
-    last_place = controls.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
-    state = materialize(free.withColumn("place", F.lit(None).cast("long")), "match")
+    size = block or BLOCK
+    controls, ranked = rank_users(users, score, treated, order)
+    line = materialize(_line(controls, size), "line")
+    sizes = line.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("left_ps").alias("before"), F.max("right_ps").alias("after"))
+    sizes = materialize(sizes, "line-blocks")
+    last = controls.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
+    ranked = materialize(ranked, "ranked")
+    # Where a frontier stands next to the user itself its own score is as good a bound as that of the place.
+    bound = lambda there: F.when(there, F.col("ps"))
+    state = ranked.select(
+        "turn", "ps", "left", (F.col("left") + 1).alias("right"), bound(F.col("left") > 0).alias("left_ps"),
+        bound(F.col("left") < last).alias("right_ps"), F.lit(None).cast("long").alias("place"),
+    )
+    state = materialize(state, "match")
     while True:
-        open_users = state.where(F.col("place").isNull())
-        if open_users.isEmpty():
+        held, looking = state.where("place IS NOT NULL"), state.where("place IS NULL")
+        by_block = held.groupBy(F.floor((F.col("place") - 1) / size).alias("block")).agg(F.count(F.lit(1)).alias("taken"), F.max("turn").alias("latest"))
+        full = by_block.join(sizes, "block").where("taken = n").select("block", "latest", "before", "after")
+        looking = _look(_pass_full(_look(looking, size, caliper), full, size), size, caliper)
+        # Spark keeps the earliest of each block before the shuffle
+        nth = F.row_number().over(Window.partitionBy("block").orderBy("turn"))
+        asking = materialize(looking.withColumn("nth", nth).where(F.col("nth") <= WAITING * size).drop("nth", "goes_left"), "asking")
+        if asking.isEmpty():
             break
-        held = state.where(F.col("place").isNotNull())
-        offers = _propose(open_users.drop("place"), controls, held, last_place, caliper)
-        best = F.min("ord").over(Window.partitionBy("place"))
-        asked = held.unionByName(offers.where(F.col("place").isNotNull())).withColumn("best", best)
-        kept = F.when(F.col("ord") == F.col("best"), F.col("place"))
-        settled = asked.withColumn("place", kept).drop("best")
-        before, state = state, materialize(settled.unionByName(offers.where(F.col("place").isNull())), "match")
+        blocks = asking.select("block").distinct()
+        names = ["turn", "ps", "left", "right", "left_ps", "right_ps", "place"]
+        there = held.withColumn("block", F.floor((F.col("place") - 1) / size))
+        whole = line.select("block", F.lit(None).cast("long").alias("turn"), "ps", *[F.lit(0).cast("long").alias(c) for c in ("left", "right")], "left_ps", "right_ps", "place")
+        rows = whole.unionByName(there).join(blocks, "block", "left_semi").unionByName(asking)
+        settled = rows.groupBy("block").applyInPandas(_settler(caliper), TOKEN)
+        waits = looking.join(asking.select("turn"), "turn", "left_anti").select(names)
+        rest = there.join(blocks, "block", "left_anti").select(names)
+        before, state = state, materialize(settled.unionByName(rest).unionByName(waits), "match")
         drop_table(before)
-    return _pairs(state, users, controls, score, treated)
+    taken = state.where("place IS NOT NULL").select("turn", "place").join(ranked, "turn").select("id", "ps", F.col("turn").alias("ord"), "cell", "place")
+    return _pairs(taken, controls)
 
 
-def _pairs(state: DataFrame, users: DataFrame, controls: DataFrame, score: str, treated: str) -> DataFrame:
+def _pairs(taken: DataFrame, controls: DataFrame) -> DataFrame:
     """Controls of equal score are interchangeable until the end: the earlier treated user gets the lower id."""
-    taken = state.where(F.col("place").isNotNull()).select("id", "ps", "ord", "cell", "place").join(controls, "place")
+    taken = taken.join(controls, "place")
     takers = _turns(taken.drop("place", "control_id"), ("control_ps",)).withColumnRenamed("id", "treated_id")
     # controls of one score lie next to each other in the ranking: the n-th of them is n - 1 places after the first
     first = controls.groupBy("control_ps").agg(F.min("place").alias("first_place"))
@@ -199,18 +262,22 @@ def _pairs(state: DataFrame, users: DataFrame, controls: DataFrame, score: str,
     return takers.select("treated_id", "ps", "place").join(controls, "place").select("treated_id", "control_id", F.abs(F.col("ps") - F.col("control_ps")).alias("score_gap"))
 
 
+def _outcomes() -> dict[str, Column]:
+    return {
+        "Agent Builder %": F.when(F.col("segment") == BUILDER, 100.0).otherwise(0.0),
+        "Active days": F.col("days_active").cast("double"),
+        "Returned %": F.when(F.col("had_second_session") == 1, 100.0).otherwise(0.0),
+        "Propensity score": F.col("propensity_score"),
+    }
+
+
 def att(pairs: DataFrame, users: DataFrame, min_pairs: int = 10) -> DataFrame:
     """Mean outcome of treated and matched control users and the difference, per outcome; empty
     unless there are more than ``min_pairs`` pairs."""
     ids = pairs.select(F.explode(F.array(
         F.struct(F.col("treated_id").alias(KEY), F.lit(1).alias("treated")), F.struct(F.col("control_id").alias(KEY), F.lit(0).alias("treated"))
     )).alias("u")).select("u.*")
-    outcomes = {
-        "Agent Builder %": F.when(F.col("segment") == BUILDER, 100.0).otherwise(0.0),
-        "Active days": F.col("days_active").cast("double"),
-        "Returned %": F.when(F.col("had_second_session") == 1, 100.0).otherwise(0.0),
-        "Propensity score": F.col("propensity_score"),
-    }
+    outcomes = _outcomes()
     rows = ids.join(users.select(KEY, *[c.alias(n) for n, c in outcomes.items()]), KEY)
     long = rows.unpivot(["treated"], list(outcomes), "outcome", "value")
     out = long.groupBy("outcome").agg(
@@ -219,3 +286,34 @@ def att(pairs: DataFrame, users: DataFrame, min_pairs: int = 10) -> DataFrame:
         F.avg(F.when(F.col("treated") == 0, F.col("value"))).alias("control_mean"),
     )
     return out.where(F.col("pairs") > min_pairs).withColumn("difference", F.col("treated_mean") - F.col("control_mean"))
+
+
+def _poisson(unit: Column) -> Column:
+    """A Poisson count of mean 1 from a number between 0 and 1; counts above 8 have a chance of 10^-6."""
+    steps, chance, below = [], math.exp(-1), 0.0
+    for k in range(9):
+        below += chance
+        chance /= k + 1
+        steps.append((unit > below).cast("long"))
+    return sum(steps[1:], steps[0])
+
+
+def effect_with_intervals(pairs: DataFrame, users: DataFrame, min_pairs: int = 10, replicates: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """The effect (``att``) with a paired bootstrap interval, low to high, of each outcome's difference.
+
+    A replicate weighs every pair by a Poisson count of its hash, so nothing is drawn or gathered: the replicates are
+    sums per task, and what is ranked in the end is one row per outcome and replicate.
+    """
+    measures = _outcomes()
+    side = lambda name: users.select(F.col(KEY).alias(f"{name}_id"), *[c.alias(f"{name} {n}") for n, c in measures.items()])
+    both = pairs.select("treated_id", "control_id").join(side("treated"), "treated_id").join(side("control"), "control_id")
+    hashed = F.xxhash64(F.lit(seed), "replicate", F.col("treated_id").cast("string"), F.col("control_id").cast("string"))
+    drawn = both.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = drawn.withColumn("times", _poisson(F.pmod(hashed, F.lit(1 << 53)) / float(1 << 53)))
+    gaps = [F.struct(F.lit(n).alias("outcome"), (F.col(f"treated {n}") - F.col(f"control {n}")).alias("gap")) for n in measures]
+    sums = drawn.select("replicate", "times", F.explode(F.array(*gaps)).alias("g")).groupBy("replicate", "g.outcome").agg(
+        (F.sum(F.col("times") * F.col("g.gap")) / F.nullif(F.sum("times"), F.lit(0))).alias("difference")
+    )
+    tail = (1 - level) / 2
+    spread = sums.groupBy("outcome").agg(F.percentile("difference", F.lit(tail)).alias("low"), F.percentile("difference", F.lit(1 - tail)).alias("high"))
+    return att(pairs, users, min_pairs).join(spread, "outcome", "left")

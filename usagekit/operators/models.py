@@ -1,7 +1,8 @@
 """MLlib models for success and churn: features, weights, cross-validation, curves, importances.
 
-Every fit is a distributed MLlib job. Independent fits (folds, cohorts) are submitted from a small
-thread pool on the driver, which only waits for them.
+Single fits and trees are distributed MLlib jobs; independent ones (folds, cohorts) are submitted from a small thread pool
+on the driver, which only waits for them. Logistic models of all folds and feature sets, and all starts of k-means, are
+fitted together (``fits``). Fits read their rows in an order that depends on the keys alone, so values repeat.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagekit.functions.derive import flag
+from usagekit.operators import fits
 from usagekit.operators.scoring import risk_bucket
 from usagekit.operators.segments import BUILDER
 from usagekit.session import materialize
 
 KEY = "person_id"
 SEED = 42
+FIT_PARTS = 16  # more for larger tables; results repeat for one number of parts
 
 # ---------------------------------------------------------------------------------------------
 # Model columns by purpose.
@@ -130,6 +132,11 @@ def with_folds(frame: DataFrame, k: int, label: str = "label") -> DataFrame:
     return rows.join(cells, [label, "__cell"]).withColumn("fold", F.pmod(place, F.lit(k)).cast("int")).drop("__md5", "__cell", "__before")
 
 
+def in_order(frame: DataFrame, parts: int = FIT_PARTS) -> DataFrame:
+    """The rows dealt out and sorted by key: samples of trees are drawn by part and place, so they are the same in every run."""
+    return frame.repartition(parts, KEY).sortWithinPartitions(KEY)
+
+
 def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
     out = model.transform(frame)
     return out.withColumn("score", vector_to_array("probability")[1])
@@ -148,17 +155,21 @@ def hold_out(frame: DataFrame, parts: int = 5) -> tuple[DataFrame, DataFrame]:
     return rows.where("fold <> 0").drop("fold"), rows.where("fold = 0").drop("fold")
 
 
+CURVE_CELLS = 256
+
+
 def score_curve(scored: DataFrame, score_col: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """ROC and precision-recall points at every distinct score, from high to low.
 
-    Rows are counted per distinct score first. The running totals use cells of the score range: a
-    window inside each cell plus the totals of the cells above, so no task sees all scores.
+    Rows are counted per distinct score first. The distinct scores are cut by rank into cells of about equal size, written
+    once; the running totals are a window inside each cell plus the totals of the cells above, so no task sees all
+    scores, wherever they lie.
     """
     keys = list(by) or ["__all"]
     rows = scored.select(*[F.col(c) for c in by], F.col(score_col).cast("double").alias("threshold"), F.col(label).cast("long").alias("y"))
     rows = rows if by else rows.withColumn("__all", F.lit(0))
     points = rows.groupBy(*keys, "threshold").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    points = points.withColumn("cell", F.floor(F.col("threshold") * 1024))
+    points = materialize(points.repartitionByRange(CURVE_CELLS, *keys, "threshold").withColumn("cell", F.spark_partition_id()), "curve")
     cells = points.groupBy(*keys, "cell").agg(F.sum("pos").alias("cp"), F.sum("neg").alias("cn"))
     above = Window.partitionBy(*keys).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -187,20 +198,22 @@ def curve_quality(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def cross_validate_folds(frame: DataFrame, estimators: dict[str, Estimator], k: int = 5) -> DataFrame:
+def cross_validate_folds(frame: DataFrame, estimators: dict[str, Estimator | fits.Logistic], k: int = 5) -> DataFrame:
     """Users, positives, AUC, average precision and accuracy per model and fold.
 
     ``frame`` carries key, label, weight and features. A class with fewer than k rows leaves folds without it,
-    and those have no AUC.
+    and those have no AUC. Logistic models of all names and folds are fitted together.
     """
     data = materialize(with_folds(frame, k), "folds")
 
     def one(name: str, estimator: Estimator, fold: int) -> DataFrame:
-        model = estimator.fit(data.where(F.col("fold") != fold))
+        model = estimator.fit(in_order(data.where(F.col("fold") != fold)))
         held = score(model, data.where(F.col("fold") == fold))
         return held.select(F.lit(name).alias("model"), "fold", "label", "score", "prediction")
 
-    parts = _parallel(frame.sparkSession, [lambda n=n, e=e, f=f: one(n, e, f) for n, e in estimators.items() for f in range(k)])
+    joint = {n: e for n, e in estimators.items() if isinstance(e, fits.Logistic)}
+    parts = [fits.logistic_folds(in_order(data), joint, k).select("model", "fold", "label", "score", "prediction")] if joint else []
+    parts += _parallel(frame.sparkSession, [lambda n=n, e=e, f=f: one(n, e, f) for n, e in estimators.items() if n not in joint for f in range(k)])
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
@@ -213,7 +226,7 @@ def cross_validate_folds(frame: DataFrame, estimators: dict[str, Estimator], k:
     return quality.join(counts, ["model", "fold"])
 
 
-def cross_validate(frame: DataFrame, estimators: dict[str, Estimator], k: int = 5) -> DataFrame:
+def cross_validate(frame: DataFrame, estimators: dict[str, Estimator | fits.Logistic], k: int = 5) -> DataFrame:
     """Mean and population deviation of AUC, average precision and accuracy over k stratified folds, per model."""
     return cross_validate_folds(frame, estimators, k).groupBy("model").agg(
         F.count("auc").alias("folds"),
@@ -230,6 +243,11 @@ def feature_importance(model: PipelineModel, frame: DataFrame, columns: Sequence
     return rows.orderBy(F.desc("importance"), "feature").limit(k)
 
 
+def with_joint_logistic(estimators: dict[str, Pipeline], columns: Sequence[str]) -> dict[str, Pipeline | fits.Logistic]:
+    """The same models for cross-validation: the logistic one is fitted for all folds at once."""
+    return {name: fits.Logistic(columns) if name == "Logistic Regression" else e for name, e in estimators.items()}
+
+
 def success_estimators(columns: Sequence[str], rows: int, trees: int = 300, rounds: int = 200, min_leaf: int = 3) -> dict[str, Pipeline]:
     return {
         "Random Forest": random_forest(columns, trees, min_leaf),
@@ -284,7 +302,7 @@ def held_out_scores(frame: DataFrame, estimators: dict[str, Pipeline], parts: in
     train, test = hold_out(frame, parts)
 
     def one(name: str, estimator: Pipeline) -> DataFrame:
-        return score(estimator.fit(train), test).select(KEY, "label", F.lit(name).alias("model"), "score", "prediction")
+        return score(estimator.fit(in_order(train)), test).select(KEY, "label", F.lit(name).alias("model"), "score", "prediction")
 
     done = _parallel(frame.sparkSession, [lambda n=n, e=e: one(n, e) for n, e in estimators.items()])
     out = done[0]
@@ -315,9 +333,9 @@ def fleet_models(users: DataFrame, by: str = "signup_cohort", min_pos: int = 10,
             return (cohort, n, pos, 100.0 * pos / n, None, None, [], [])
         rows = with_balanced_weights(frame.where(F.col(by) == cohort).drop(by))
         forest = random_forest(columns, trees, min_leaf)
-        quality = cross_validate(rows, {"rf": forest, "lr": logistic(columns, n, max_iter=500)}, k)
+        quality = cross_validate(rows, {"rf": forest, "lr": fits.Logistic(columns)}, k)
         auc = {r["model"]: r["auc_mean"] for r in quality.collect()}
-        values = forest.fit(rows).stages[-1].featureImportances.toArray()
+        values = forest.fit(in_order(rows)).stages[-1].featureImportances.toArray()
         top = sorted(zip(columns, values), key=lambda p: (-p[1], p[0]))[:3]
         return (cohort, n, pos, 100.0 * pos / n, auc.get("rf"), auc.get("lr"), [c for c, _ in top], [float(v) for _, v in top])
 
@@ -334,7 +352,7 @@ def fleet_drift(users: DataFrame, by: str = "signup_cohort", min_pos: int = 10,
 
     def one(cohort: str) -> DataFrame:
         rows = with_balanced_weights(frame.where(F.col(by) == cohort))
-        model = random_forest(top, trees, min_leaf).fit(rows)
+        model = random_forest(top, trees, min_leaf).fit(in_order(rows))
         return feature_importance(model, frame, top, k).withColumn(by, F.lit(cohort))
 
     parts = _parallel(users.sparkSession, [lambda c=r[by]: one(c) for r in sizes if min_pos <= r["pos"] < r["n"]], threads=2)
@@ -352,12 +370,10 @@ def ablation(users: DataFrame, k: int = 5, trees: int = 300, min_leaf: int = 3)
     sets = {"baseline": base, **{f"baseline + {f}": base + cols for f, cols in families.items()}, "baseline + all_new_signals": base + everything}
     rows = users.where(F.col("ever_used_agent") == 1)
     frame = materialize(with_balanced_weights(model_frame(rows, base + everything, F.col("segment") == BUILDER)), "ablation")
-    n = frame.count()
-    out: DataFrame | None = None
-    for name, columns in sets.items():
-        part = cross_validate(frame, {"Random Forest": random_forest(columns, trees, min_leaf), "Logistic Regression": logistic(columns, n)}, k)
-        part = part.withColumn("feature_set", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    forests = {f"{name}\tRandom Forest": random_forest(columns, trees, min_leaf) for name, columns in sets.items()}
+    logistics = {f"{name}\tLogistic Regression": fits.Logistic(columns) for name, columns in sets.items()}
+    out = cross_validate(frame, {**forests, **logistics}, k)
+    out = out.withColumn("feature_set", F.substring_index("model", "\t", 1)).withColumn("model", F.substring_index("model", "\t", -1))
     out = materialize(out, "ablation-result")
     reference = out.where(F.col("feature_set") == "baseline").select("model", F.col("auc_mean").alias("baseline_auc"), F.col("ap_mean").alias("baseline_ap"))
     return out.join(reference, "model", "left").withColumns(
@@ -369,7 +385,7 @@ def churn_score(table: DataFrame, population: DataFrame, trees: int = 350, min_l
     """Churn probability and risk bucket of the modelling population."""
     frame, columns = churn_frame(table, population)
     frame = materialize(frame, "churn")
-    model = random_forest(columns, trees, min_leaf).fit(frame)
+    model = random_forest(columns, trees, min_leaf).fit(in_order(frame))
     out = score(model, frame).select(KEY, F.col("label").cast("int").alias("is_churn"), F.col("score").alias("churn_probability"))
     return out.withColumns({
         "churn_risk_bucket": risk_bucket("churn_probability"),
@@ -388,7 +404,7 @@ def propensity_scores(users: DataFrame, treated: str = "ever_used_agent") -> Dat
     rows = users.withColumns(dummies)
     columns = model_columns(rows, (*CONFOUNDERS, *dummies))
     frame = materialize(model_frame(rows, columns, F.col(treated) == 1), "propensity")
-    model = logistic(columns, frame.count(), max_iter=500, weighted=False).fit(frame)
+    model = logistic(columns, frame.count(), max_iter=500, weighted=False).fit(in_order(frame))
     scored = score(model, frame).select(KEY, F.col("score").alias("propensity_score"))
     return users.join(scored, KEY)
 
@@ -396,10 +412,11 @@ def propensity_scores(users: DataFrame, treated: str = "ever_used_agent") -> Dat
 STARTS = 10
 
 
-def kmeans_archetypes(labelled: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
+def kmeans_archetypes(labelled: DataFrame, k: int = 3, seed: int = SEED, starts: int = STARTS) -> DataFrame:
     """Users with their cluster and its name; clusters are named by falling success rate."""
-    model, frame = _kmeans(labelled, k, seed)
-    clustered = materialize(model.transform(frame).select(KEY, F.col("label").alias("success"), F.col("prediction").alias("cluster")), "clusters")
+    rows, best = fits.kmeans(*_archetype_frame(labelled), [k], starts, seed)
+    centres = best[k][0] if k in best else []
+    clustered = materialize(fits.nearest(rows, centres).withColumnRenamed("label", "success"), "clusters")
     rates = clustered.groupBy("cluster").agg(F.avg("success").alias("rate"))
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("rate"), "cluster"))
     names = F.element_at(F.array(*[F.lit(n) for n in ARCHETYPES[:k]], *[F.lit(f"Cluster {i}") for i in range(len(ARCHETYPES) + 1, k + 1)]), F.col("place"))
@@ -415,24 +432,15 @@ def archetype_summary(assigned: DataFrame, labelled: DataFrame) -> DataFrame:
     )
 
 
-def _kmeans(labelled: DataFrame, k: int, seed: int, starts: int = STARTS) -> tuple[PipelineModel, DataFrame]:
-    """The clustering of least inertia among ``starts`` starts."""
+def _archetype_frame(labelled: DataFrame) -> tuple[DataFrame, list[str]]:
     columns = model_columns(labelled, ARCHETYPE_FEATURES, referrers=False)
-    frame = materialize(model_frame(labelled, columns, F.col("is_success") == 1), "kmeans")
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-
-    def one(start: int) -> PipelineModel:
-        return Pipeline(stages=[_features(columns, "raw"), scaler, KMeans(k=k, seed=seed + start, initSteps=5, maxIter=100)]).fit(frame)
-
-    models = _parallel(labelled.sparkSession, [lambda i=i: one(i) for i in range(starts)])
-    return min(models, key=lambda m: m.stages[-1].summary.trainingCost), frame
+    return materialize(model_frame(labelled, columns, F.col("is_success") == 1), "archetypes"), columns
 
 
-def kmeans_elbow(labelled: DataFrame, ks: Sequence[int] = tuple(range(2, 8)), seed: int = SEED) -> DataFrame:
-    """Inertia for each number of clusters."""
-    data = materialize(labelled.select(KEY, "is_success", *model_columns(labelled, ARCHETYPE_FEATURES, referrers=False)), "elbow")
-    costs = [(k, float(_kmeans(data, k, seed)[0].stages[-1].summary.trainingCost)) for k in ks]
-    return labelled.sparkSession.createDataFrame(costs, "k int, inertia double")
+def kmeans_elbow(labelled: DataFrame, ks: Sequence[int] = tuple(range(2, 8)), seed: int = SEED, starts: int = STARTS) -> DataFrame:
+    """Inertia for each number of clusters: the least of all starts, which run together with those of the other numbers."""
+    _, best = fits.kmeans(*_archetype_frame(labelled), list(ks), starts, seed)
+    return labelled.sparkSession.createDataFrame([(k, inertia) for k, (_, inertia) in best.items()], "k int, inertia double")
 
 
 def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -465,3 +473,11 @@ def save_model(model: PipelineModel, columns: Sequence[str], frame: DataFrame, p
 def load_model(spark, path: str) -> tuple[PipelineModel, list[str]]:
     names = spark.read.parquet(f"{path}/features").orderBy("position").collect()
     return PipelineModel.load(f"{path}/model"), [r["feature"] for r in names]
+
+
+def score_stored(table: DataFrame, path: str) -> DataFrame:
+    """KEY, score, prediction of any table by a stored model. A feature the table lacks counts as 0, as a missing value does."""
+    model, names = load_model(table.sparkSession, path)
+    zero = F.lit(0.0)
+    rows = table.select(KEY, *[F.coalesce(F.col(c).cast("double"), zero).alias(c) if c in table.columns else zero.alias(c) for c in names])
+    return score(model, rows).select(KEY, "score", "prediction")

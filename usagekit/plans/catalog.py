@@ -12,7 +12,7 @@ from usagekit.functions import derive as d
 from usagekit.functions import stats
 from usagekit.operators import canvas, features, geo, matching, models, ordered, reports, scoring, segments, sequences, survival, timing
 from usagekit.plans import tables
-from usagekit.session import ensure_utc, materialize, once, scratch_dir
+from usagekit.session import ensure_utc, gone_at_exit, materialize, once, scratch_dir
 from usagekit.sources import events as source
 from usagekit.sources.testtables import conversation_tokens, ingested_log, orders_log, usage_log
 
@@ -243,12 +243,7 @@ def _risk(table: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- models
 
-# A fit does not give the same last digits everywhere. The registered frames show what a fit must fulfil and SQL
-# can rebuild (who is in which fold, what is scored, which bounds hold); the values come from the functions in models.
-
-
-def _between(name: str, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.coalesce(F.col(name).between(low, high), F.lit(False))
+# Fits are beyond SQL: their queries return the values and have no SQL; tests hold them against brute force.
 
 
 def _weighted(users: DataFrame, agent_users_only: bool = False) -> tuple[DataFrame, list[str]]:
@@ -256,39 +251,33 @@ def _weighted(users: DataFrame, agent_users_only: bool = False) -> tuple[DataFra
     return models.with_balanced_weights(frame), columns
 
 
-def _folds(frame: DataFrame, estimators) -> DataFrame:
-    """Per model and fold: users, positives, and whether quality is there and within bounds."""
-    quality = models.cross_validate_folds(frame, estimators)
-    both = (F.col("positives") > 0) & (F.col("positives") < F.col("users"))
-    fair = F.when(both, _between("auc") & _between("average_precision")).otherwise(F.col("auc").isNull())
-    return quality.select("model", "fold", "users", "positives", (fair & _between("accuracy")).alias("valid"))
+def _folds(frame: DataFrame, estimators, columns) -> DataFrame:
+    """Users, positives, areas and accuracy per model and fold."""
+    return models.cross_validate_folds(frame, models.with_joint_logistic(estimators, columns))
 
 
 def _cross_validation(agent_users_only: bool) -> Callable[[DataFrame], DataFrame]:
     def build(users: DataFrame) -> DataFrame:
         frame, columns = _weighted(users, agent_users_only)
-        return _folds(frame, models.success_estimators(columns, frame.count()))
+        return _folds(frame, models.success_estimators(columns, frame.count()), columns)
 
     return build
 
 
-def _shares(importances: DataFrame) -> DataFrame:
-    return importances.agg(
-        F.count(F.lit(1)).alias("features"), (F.count_distinct("feature") == F.count(F.lit(1))).alias("distinct_names"),
-        (F.min("importance") >= 0).alias("not_negative"), (F.sum("importance") <= 1 + 1e-6).alias("at_most_one"),
-    )
+def _strengths(frame: DataFrame, columns, forest) -> DataFrame:
+    return models.feature_importance(forest.fit(models.in_order(frame)), frame, columns, len(columns))
 
 
 def _importance(users: DataFrame) -> DataFrame:
     frame, columns = _weighted(users, True)
-    return _shares(models.feature_importance(models.random_forest(columns).fit(frame), frame, columns))
+    return _strengths(frame, columns, models.random_forest(columns))
 
 
 def _held_out_report(scored: DataFrame) -> DataFrame:
-    """Per model: rows, positives, and whether areas are within bounds and better than chance."""
+    """Per model: rows, positives and areas."""
     quality = models.curve_quality(models.score_curve(scored, by=["model"]), ["model"])
     counts = scored.groupBy("model").agg(F.count(F.lit(1)).alias("users"), F.sum("label").cast("long").alias("positives"))
-    return counts.join(quality, "model").select("model", "users", "positives", (_between("auc", 0.5) & _between("average_precision")).alias("better_than_chance"))
+    return counts.join(quality, "model")
 
 
 def _hold_out_quality(users: DataFrame) -> DataFrame:
@@ -305,7 +294,7 @@ def _model_file(spark: SparkSession, sf: str) -> DataFrame:
     model, names = models.load_model(spark, path)
     first = models.score(fitted, frame).select(KEY, F.col("score").alias("before"))
     again = models.score(model, frame.select(KEY, "label", "weight", *names)).select(KEY, "score")
-    return again.join(first, KEY).select(KEY, (_between("score") & (F.abs(F.col("score") - F.col("before")) < 1e-9)).alias("same_score"))
+    return again.join(first, KEY).select(KEY, (F.abs(F.col("score") - F.col("before")) < 1e-9).alias("same_score"))
 
 
 def _churn(spark: SparkSession, sf: str) -> DataFrame:
@@ -313,26 +302,19 @@ def _churn(spark: SparkSession, sf: str) -> DataFrame:
     return models.churn_score(table, scoring.churn_population(table))
 
 
-def _churn_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return _churn(spark, sf).select(
-        KEY, "is_churn", "target_name", (_between("churn_probability") & (F.col("churn_risk_bucket") == scoring.risk_bucket("churn_probability"))).alias("valid")
-    )
-
-
 def _churn_folds(table: DataFrame) -> DataFrame:
     frame, columns = models.churn_frame(table, scoring.churn_population(table))
-    return _folds(frame, models.churn_estimators(columns, frame.count()))
+    return _folds(frame, models.churn_estimators(columns, frame.count()), columns)
 
 
 def _churn_curve(table: DataFrame) -> DataFrame:
     frame, columns = models.churn_frame(table, scoring.churn_population(table))
-    scored = models.held_out_scores(frame, models.churn_estimators(columns, frame.count()))
-    return scored.groupBy("model").agg(F.count(F.lit(1)).alias("users"), F.sum("label").cast("long").alias("positives"), F.min(_between("score").cast("int")).alias("in_bounds"))
+    return _held_out_report(models.held_out_scores(frame, models.churn_estimators(columns, frame.count())))
 
 
 def _churn_drivers(table: DataFrame) -> DataFrame:
     frame, columns = models.churn_frame(table, scoring.churn_population(table))
-    return _shares(models.feature_importance(models.random_forest(columns, 350, 4).fit(frame), frame, columns))
+    return _strengths(frame, columns, models.random_forest(columns, 350, 4))
 
 
 def _model_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -347,76 +329,42 @@ def _model_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model_interventions(spark: SparkSession, sf: str) -> DataFrame:
-    scored = scoring.intervention_scores(_model_table(spark, sf))
-    return scored.select(
-        KEY, "in_churn_population", F.round("activation_signal", 6).alias("activation_signal"),
-        (_between("churn_risk_signal") & _between("intervention_priority_score") & ((F.col("in_churn_population") == 1) | (F.col("churn_risk_signal") == 0))).alias("valid"),
-    )
+    return scoring.intervention_scores(_model_table(spark, sf)).select("in_churn_population", *SIGNALS)
 
 
 def _model_struggle(spark: SparkSession, sf: str) -> DataFrame:
-    scored = tables.struggle_of(scoring.intervention_scores(_model_table(spark, sf)), ingested_log(spark, sf))
-    return scored.select(KEY, "had_struggle_signal", F.round("recovery_intensity", 6).alias("recovery_intensity"), _between("abandonment_risk_after_struggle").alias("valid"))
+    return tables.struggle_of(scoring.intervention_scores(_model_table(spark, sf)), ingested_log(spark, sf)).select(*STRUGGLE)
 
 
 def _ces_folds(labelled: DataFrame) -> DataFrame:
     frame, columns = models.ces_frame(labelled)
     frame = materialize(frame, "ces")
-    return _folds(frame, models.ces_estimators(columns, frame.count()))
+    return _folds(frame, models.ces_estimators(columns, frame.count()), columns)
 
 
 def _ces_confusion(labelled: DataFrame) -> DataFrame:
-    """The report of the forest on its own held-out users: support per class, rates within bounds."""
+    """The report of the forest on its held-out users."""
     frame, columns = models.ces_frame(labelled)
     scored = models.held_out_scores(materialize(frame, "ces"), {"Random Forest": models.random_forest(columns, 300, 5)})
-    return models.confusion_report(scored).select("class", "support", (_between("precision") & _between("recall") & _between("f1")).alias("valid"))
+    return models.confusion_report(scored)
 
 
-def _ces_scores(labelled: DataFrame) -> DataFrame:
-    """Users scored in a batch by the fitted success model."""
+def _ces_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Users scored in a batch by a stored success model."""
+    labelled = _ces(spark, sf)
     frame, columns = models.ces_frame(labelled)
     frame = materialize(frame, "ces")
-    scored = models.score(models.random_forest(columns, 300, 5).fit(frame), frame).select(KEY, F.round("score", 4).alias("success_probability"))
-    rows = scoring.batch_score(labelled.join(materialize(scored, "ces-scores"), KEY))
-    sure = F.when(F.col("success_probability") >= 0.75, "High").when(F.col("success_probability") >= 0.5, "Medium").otherwise("Low")
-    return rows.select(
-        KEY, *scoring.CRITERIA, "ces_score", "recommendations",
-        (_between("success_probability") & (F.col("confidence") == sure) & (F.col("is_success_predicted") == (F.col("success_probability") >= 0.5))).alias("valid"),
-    )
-
-
-def _fleet(users: DataFrame) -> DataFrame:
-    return models.fleet_models(users).select(
-        "signup_cohort", "n", "n_builders", "pct_ab", (F.col("auc_rf").isNotNull() & F.col("auc_lr").isNotNull()).alias("trained"),
-        F.size("top_features").cast("long").alias("top_features"),
-    )
-
-
-def _drift(users: DataFrame) -> DataFrame:
-    return models.fleet_drift(users).groupBy("signup_cohort").agg(
-        F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one")
+    path = f"{scratch_dir(spark)}/usagekit/model-{uuid.uuid4().hex}"
+    gone_at_exit(spark, path)
+    models.save_model(models.random_forest(columns, 300, 5).fit(models.in_order(frame)), columns, frame, path)
+    scored = models.score_stored(labelled, path).select(KEY, F.round("score", 4).alias("success_probability"))
+    return scoring.batch_score(labelled.join(materialize(scored, "ces-scores"), KEY)).select(
+        KEY, *scoring.CRITERIA, "ces_score", "success_probability", "is_success_predicted", "confidence", "recommendations"
     )
 
 
-def _ablation(users: DataFrame) -> DataFrame:
-    out = models.ablation(users)
-    base = (F.col("feature_set") != "baseline") | ((F.col("auc_delta") == 0) & (F.col("ap_delta") == 0))
-    return out.select("feature_set", "model", "folds", (_between("auc_mean") & _between("ap_mean") & base).alias("valid"))
-
-
 def _archetypes(labelled: DataFrame) -> DataFrame:
-    """Users over all clusters, and whether names follow the success rates."""
-    summary = models.archetype_summary(models.kmeans_archetypes(labelled), labelled)
-    rate = lambda name: F.max(F.when(F.col("archetype") == name, F.col("success_rate")))
-    return summary.agg(
-        F.count(F.lit(1)).alias("clusters"), F.sum("users").alias("users"),
-        ((rate("Power Users") >= rate("Explorers")) & (rate("Explorers") >= rate("Ghost Users"))).alias("named_by_success"),
-    )
-
-
-def _elbow(labelled: DataFrame) -> DataFrame:
-    costs = models.kmeans_elbow(labelled)
-    return costs.select("k", (F.col("inertia") > 0).alias("positive"))
+    return models.archetype_summary(models.kmeans_archetypes(labelled), labelled)
 
 
 def _stand_in(table: DataFrame) -> DataFrame:
@@ -430,12 +378,13 @@ def _propensity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _propensity_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the pairs of the fitted scores use nobody twice and lie inside the caliper."""
-    pairs = matching.propensity_match(_propensity(ensure_utc(spark), sf))
-    return pairs.agg(
-        (F.count_distinct("treated_id") == F.count(F.lit(1))).alias("treated_once"), (F.count_distinct("control_id") == F.count(F.lit(1))).alias("controls_once"),
-        (F.coalesce(F.max("score_gap"), F.lit(0.0)) <= 0.05 + 1e-9).alias("inside_caliper"),
-    )
+    return matching.propensity_match(_propensity(ensure_utc(spark), sf))
+
+
+def _propensity_effect(spark: SparkSession, sf: str) -> DataFrame:
+    """Effect on the pairs of the fitted scores, with intervals of a paired bootstrap."""
+    scored = _propensity(ensure_utc(spark), sf)
+    return matching.effect_with_intervals(materialize(matching.propensity_match(scored), "pairs"), scored)
 
 
 def _recency_effect(table: DataFrame) -> DataFrame:
@@ -646,7 +595,7 @@ def queries() -> dict[str, Query]:
         "feature_importance": _on_users(_importance),
         "hold_out_quality": _on_users(_hold_out_quality),
         "model_persistence": _model_file,
-        "churn_score": _churn_scores,
+        "churn_score": _churn,
         "churn_cross_validation": _on_table(_churn_folds),
         "churn_hold_out": _on_table(_churn_curve),
         "churn_drivers": _on_table(_churn_drivers),
@@ -654,15 +603,16 @@ def queries() -> dict[str, Query]:
         "model_driven_struggle": _model_struggle,
         "ces_cross_validation": _on_ces(_ces_folds),
         "ces_confusion": _on_ces(_ces_confusion),
-        "ces_batch_score": _on_ces(_ces_scores),
-        "fleet_models": _on_users(_fleet),
-        "fleet_drift": _on_users(_drift),
-        "feature_ablation": _on_users(_ablation),
+        "ces_batch_score": _ces_scores,
+        "fleet_models": _on_users(models.fleet_models),
+        "fleet_drift": _on_users(models.fleet_drift),
+        "feature_ablation": _on_users(models.ablation),
         "kmeans_archetypes": _on_ces(_archetypes),
-        "kmeans_elbow": _on_ces(_elbow),
-        "propensity_scores": _on_users(lambda u: models.propensity_scores(u).select(KEY, "ever_used_agent", _between("propensity_score").alias("valid"))),
+        "kmeans_elbow": _on_ces(models.kmeans_elbow),
+        "propensity_scores": _on_users(lambda u: models.propensity_scores(u).select(KEY, "ever_used_agent", "propensity_score")),
         "caliper_match": _on_table(_recency_match),
         "propensity_match": _propensity_pairs,
-        "matched_effect": _on_table(_recency_effect),
+        "matched_effect": _propensity_effect,
+        "recency_matched_effect": _on_table(_recency_effect),
     }
     return out
