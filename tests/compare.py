@@ -80,7 +80,7 @@ def main(argv) -> int:
     wanted = argv[2:]
     shared = tempfile.mkdtemp(prefix="compare-")  # one machine: its own folder is shared enough
     spark = build_session(
-        master="local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": shared}
+        master="local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": shared}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)

@@ -29,7 +29,7 @@ from usagekit.operators.segments import BUILDER
 from usagekit.session import drop_table, materialize
 
 KEY = "person_id"
-CELLS = 256
+CELLS = 64
 
 
 def with_cell(df: DataFrame, *order: str) -> DataFrame:

@@ -155,7 +155,7 @@ def hold_out(frame: DataFrame, parts: int = 5) -> tuple[DataFrame, DataFrame]:
     return rows.where("fold <> 0").drop("fold"), rows.where("fold = 0").drop("fold")
 
 
-CURVE_CELLS = 256
+CURVE_CELLS = 64
 
 
 def score_curve(scored: DataFrame, score_col: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
