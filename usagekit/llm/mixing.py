@@ -75,6 +75,15 @@ def sainte_lague(parties: DataFrame, group: Sequence[str], key: str, votes: str,
     return rows.join(won, [*group, key], "left").select(*parties.columns, quota)
 
 
+def _placed(docs: DataFrame, shards: int, seed: str, *kept: str) -> DataFrame:
+    """doc_id, _source, _shard, size, and the order in a shard: _hash, then doc_id, size, _tie; and the columns ``kept``."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return docs.select(
+        *kept, "doc_id", source_key().alias("_source"), (hex_number(digest, 1, 2) % shards).cast("int").alias("_shard"), F.substring(digest, 3, 14).alias("_hash"),
+        word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"),
+    )
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, block_words: int = 16, shards: int = SHARDS, seed: str = "mix",
 ) -> DataFrame:
@@ -87,17 +96,14 @@ def mix_sources(
     agree; of rows with equal doc_id and size either may be first, with the same set of results. A source
     that holds most rows is spread over ``shards`` (at most 256) windows.
     """
-    return _taken(docs, weights, cap, block_words, shards, seed).drop("_source")
+    return _taken(docs, weights, cap, block_words, shards, seed).drop("_source", "_shard", "_hash", "_tie")
 
 
 def _taken(
     docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, block_words: int = 16, shards: int = SHARDS, seed: str = "mix",
 ) -> DataFrame:
-    """The columns of mix_sources and _source."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", source_key().alias("_source"), word_count(F.col("text")).alias("size"), digest.alias("_hash"))
-    rows = rows.withColumn("_shard", (hex_number(F.col("_hash"), 1, 2) % shards).cast("int")).withColumn("_hash", F.substring("_hash", 3, 14))
-    rows = materialize(rows, "sized")
+    """The columns of mix_sources and the place of each row."""
+    rows = materialize(_placed(docs, shards, seed), "sized")
     cells = materialize(rows.groupBy("_source", "_shard").agg(F.sum("size").alias("_words")), "shard-sizes")
     goal = targets(cells.groupBy("_source").agg(F.sum("_words").alias("source_size")), weights, cap)
     goal = goal.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
@@ -109,7 +115,7 @@ def _taken(
         F.when(F.col("_words") > 0, begin % F.ceil(F.col("_words") / block_words) * block_words).otherwise(0).cast("long").alias("_from"),
         F.least(F.col("quota") * block_words, F.col("_words") * cap).cast("long").alias("_take"),
     ), "quotas")
-    laid = Window.partitionBy("_source", "_shard").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = Window.partitionBy("_source", "_shard").orderBy("_hash", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_at", F.coalesce(F.sum("size").over(laid), F.lit(0)).cast("long")).join(quotas, ["_source", "_shard"])
 
     def read(upto: Column) -> Column:
@@ -118,7 +124,39 @@ def _taken(
         return F.floor(upto / F.col("_words")).cast("long") * F.col("size") + rest
 
     taken = F.when(F.col("_words") > 0, read(F.col("_from") + F.col("_take")) - read(F.col("_from"))).otherwise(0).cast("long")
-    return rows.select("_source", "doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("_source", "_shard", "_hash", "_tie", "doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+CUTS = 1 << 17  # rows of cuts that are broadcast at most
+
+
+def _place() -> Column:
+    return F.struct(F.col("_hash"), F.col("doc_id").cast("string").alias("id"), F.col("size"), F.col("_tie"))
+
+
+def _cuts(mix: DataFrame) -> DataFrame:
+    """One row per (source, shard): how often its documents are taken, as two places in its order and two documents.
+
+    ``least``: rounds of all documents; ``more_from`` to ``more_to``: those taken once more, ``turned`` if that runs
+    over the end of the order (then ``less_from`` to ``less_to`` are not); ``cut``: the documents in which the circle is
+    entered and left, and their times.
+    """
+    mix = mix.withColumns({"_whole": F.expr("taken div size"), "_rest": F.col("taken") % F.col("size"), "_at": _place()})
+    laid = Window.partitionBy("_source").orderBy((F.col("_rest") / F.col("size")).desc(), F.xxhash64("doc_id"), "doc_id", "size", "_tie")
+    rests = mix.where("_rest > 0").withColumns({
+        "_middle": F.sum("size").over(laid.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2,
+        "_goal": F.sum("_rest").over(Window.partitionBy("_source")),
+    })
+    times = (F.col("_whole") + (F.col("_middle") <= F.col("_goal")).cast("long")).cast("int")
+    cut = rests.groupBy("_source", "_shard").agg(F.collect_list(F.struct(F.col("_at").alias("at"), times.alias("times"))).alias("cut"))  # two at most
+    even = mix.where("_rest = 0").withColumn("least", F.min("_whole").over(Window.partitionBy("_source", "_shard")))
+    more = F.when(F.col("_whole") > F.col("least"), F.col("_at"))
+    less = F.when(F.col("_whole") == F.col("least"), F.col("_at"))
+    runs = even.groupBy("_source", "_shard").agg(
+        F.max("least").cast("int").alias("least"), F.min(more).alias("more_from"), F.max(more).alias("more_to"), F.min(less).alias("less_from"), F.max(less).alias("less_to")
+    )
+    runs = runs.withColumn("turned", F.coalesce((F.col("more_from") < F.col("less_from")) & (F.col("less_to") < F.col("more_to")), F.lit(False)))
+    return runs.join(cut, ["_source", "_shard"], "full")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -128,22 +166,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     with a rest, the largest share of the document first, are taken whole until the next one's middle lies
     past the sum of all rests. So a source's words differ from its taken words by half a document at most.
     A shard's circle is entered and left in one document each: a window holds two rows per shard at most.
-    Documents without a word are left out. Rows that share doc_id, source and size are repeated by their mean.
+    Documents without a word are left out. Rows that agree in doc_id, source and text are repeated alike.
+
+    No text moves: a document finds its times while it is read, from the cuts of its shard. The cuts (one row per source and
+    shard) are counted, and broadcast up to CUTS rows; more are joined by a shuffle.
     """
-    mix = materialize(_taken(docs, **options).where("taken > 0"), "mix")
-    mix = mix.select("_source", "doc_id", "size", F.expr("taken div size").alias("_whole"), (F.col("taken") % F.col("size")).alias("_rest"))
-    laid = Window.partitionBy("_source").orderBy((F.col("_rest") / F.col("size")).desc(), F.xxhash64("doc_id"), "doc_id", "size")
-    rests = mix.where("_rest > 0").withColumns({
-        "_middle": F.sum("size").over(laid.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2,
-        "_goal": F.sum("_rest").over(Window.partitionBy("_source")),
-    })
-    rests = rests.select("_source", "doc_id", "size", (F.col("_whole") + (F.col("_middle") <= F.col("_goal")).cast("long")).alias("_times"))
-    times = rests.unionByName(mix.where("_rest = 0").select("_source", "doc_id", "size", F.col("_whole").alias("_times")))
-    times = times.groupBy(F.col("_source").alias("_from"), F.col("doc_id").alias("_id"), F.col("size").alias("_words"))
-    times = times.agg(F.floor(F.avg("_times") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    out = docs.select(whole_row(docs), F.col("doc_id").alias("_doc"), source_key().alias("_src"), word_count(F.col("text")).alias("_size"))
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_src") == F.col("_from")) & (F.col("_size") == F.col("_words"))
-    return out.join(times, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+    shards, seed = options.get("shards", SHARDS), options.get("seed", "mix")
+    mix = materialize(_taken(docs, **options).where("size > 0"), "mix")
+    cuts = materialize(_cuts(mix), "cuts")
+    if cuts.count() <= CUTS:
+        cuts = F.broadcast(cuts)
+    inside = F.col("_at").between(F.col("more_from"), F.col("more_to"))
+    apart = F.col("_at").between(F.col("less_from"), F.col("less_to"))
+    once_more = F.coalesce(F.when(F.col("turned"), ~apart).otherwise(inside), F.lit(False)).cast("int")
+    own = F.filter("cut", lambda c: c["at"] == F.col("_at"))
+    times = F.coalesce(F.get(F.col("_own"), F.lit(0))["times"], F.col("least") + once_more)
+    placed = docs.select(whole_row(docs), F.struct(*[F.col(c) for c in ("doc_id", "source", "text")]).alias("_doc"))
+    placed = placed.select("_row", "_doc.*")
+    keyed = _placed(placed, shards, seed, "_row").where("size > 0").withColumn("_at", _place())
+    out = keyed.join(cuts, ["_source", "_shard"]).withColumn("_own", own).withColumn("_times", times).where("_times > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 SQL = r"""

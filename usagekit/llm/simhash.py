@@ -87,6 +87,12 @@ class Forest:
         if x != y:
             self.up[max(x, y)] = min(x, y)
 
+    def edges(self) -> pa.RecordBatch:
+        """a, b: every id that is no root, and its root."""
+        a = np.fromiter(self.up, np.int64, len(self.up))
+        b = np.fromiter((self.root(x) for x in list(self.up)), np.int64, len(self.up))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
 
 def _link_group(prints: np.ndarray, ids: np.ndarray, forest: Forest) -> None:
     """Breadth-first search among the fingerprints of one key; blocks of the front against what is not reached."""
