@@ -80,6 +80,39 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
         rollup.commit("../b4", token_counts.inserts(counts))
 
 
+def test_two_writers_of_one_batch_count_once(spark, tmp_path, monkeypatch):
+    """Both have passed the first look; one manifest is created, and the other writer's table is never read."""
+    counts = token_counts.count_tokens(docs_frame(spark, ["a b c d e"]))
+    one, two = (token_counts.TokenRollup(spark, str(tmp_path / "rollup")) for _ in range(2))
+    monkeypatch.setattr(token_counts.TokenRollup, "committed", lambda self, batch: False)
+    assert [w.commit("b1", token_counts.inserts(counts)) for w in (one, two)] == [True, False]
+    assert {(r.version, r.documents, r.tokens) for r in one.totals().collect() if r.version == token_counts.WORDS} == {(token_counts.WORDS, 1, 5)}
+
+
+def test_compaction_keeps_totals_and_names(spark, tmp_path):
+    counts = token_counts.count_tokens(docs_frame(spark, ["a b", "c", None]))
+    rollup = token_counts.TokenRollup(spark, str(tmp_path / "rollup"))
+    read = lambda: sorted(map(str, rollup.totals().collect()))
+    for name in ("b1", "b2"):
+        rollup.commit(name, token_counts.inserts(counts))
+    before = read()
+    assert rollup.compact() and read() == before and len(rollup._tables()[0]) == 1
+    assert not rollup.commit("b1", token_counts.inserts(counts)) and read() == before
+    rollup.commit("b3", token_counts.deletes(counts))
+    rollup.commit("b4", token_counts.deletes(counts))
+    assert read() == [] and len(rollup._tables()[0]) == 3
+    assert rollup.compact() and read() == [] and rollup._tables()[2] == 2
+    assert not rollup._create("compactions", "2", {}) and read() == []
+
+
+def test_claim_of_a_dead_writer_is_released(spark, tmp_path):
+    counts = token_counts.count_tokens(docs_frame(spark, ["a"]))
+    rollup = token_counts.TokenRollup(spark, str(tmp_path / "rollup"))
+    rollup._fs.create(rollup._manifest("commits", "b1"), False).close()
+    assert not rollup.commit("b1", token_counts.inserts(counts)) and rollup.totals().count() == 0
+    assert rollup.release("b1") and rollup.commit("b1", token_counts.inserts(counts)) and not rollup.release("b1")
+
+
 def test_token_totals_equal_brute_force(spark, tokenizer):
     want = {}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():

@@ -16,7 +16,7 @@ from usagekit.session import delete_folder, drop_table, gone_at_exit, materializ
 
 __all__ = [
     "SPACE", "WORD", "column", "delete_folder", "drop_table", "materialize", "number_rows", "read_folder", "running_start", "text_or_empty",
-    "whole_row", "word_count", "write_folder",
+    "whole_row", "word_count", "write_folder", "written",
 ]
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,6 +63,11 @@ def read_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As ``materialize``, and the shuffle files of the write are gone when it has ended."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_folder(df, name))
+
+
 def _cell_offsets(rows: DataFrame, group: Sequence[str], cell: str, amount: Column) -> DataFrame:
     """Sum of ``amount`` in the lower cells of the same group: one row per (group, cell)."""
     sums = rows.groupBy(*group, cell).agg(F.sum(amount).alias("_sum"))

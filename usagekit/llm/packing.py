@@ -28,7 +28,8 @@ from usagekit.llm.common import materialize, running_start
 CAPACITY, CLASSES, CELLS = 2048, 32, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 LEFT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin long, offset long"
-MEMORY = 1_200_000  # words a worker remembers; it forgets all when full
+MEMORY = 96 << 20  # bytes of words and ids a worker remembers, entries of its dictionary included; it forgets all when full
+ENTRY = 200  # bytes of an entry besides the characters of its word and its ids
 
 
 def vocabulary_path() -> str:
@@ -63,7 +64,7 @@ class WordIds:
     def clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.sizes, self.starts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
 
     @staticmethod
     def _append(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
@@ -78,6 +79,7 @@ class WordIds:
         self.sizes = self._append(self.sizes, known, sizes)
         self.ids = self._append(self.ids, self.used, flat)
         self.used += len(flat)
+        self.held += sum(map(len, words)) + 4 * len(flat) + ENTRY * len(words)
         self.index.update(zip(words, range(known, known + len(words)), strict=True))
 
     def learn(self, words: list[str]) -> None:
@@ -97,7 +99,7 @@ class WordIds:
         coded = pc.list_flatten(cut).dictionary_encode()
         words = coded.dictionary.to_pylist()
         fresh = [w for w in words if w not in self.index]
-        if len(self.index) + len(fresh) > MEMORY:
+        if self.held > MEMORY:  # what one stretch of texts adds is bounded by its bytes
             self.clear()
             fresh = [w for w in words if w]
         if fresh:
@@ -218,7 +220,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLA
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     left = rows.where(~rest & (F.col("_bin") >= F.col("_bins"))).select(*names, F.lit(0).alias("_left"))
     left = left.groupBy("_left").applyInPandas(first_fit(capacity), LEFT)
-    bins = per_class.agg(F.coalesce(F.sum("_bins"), F.lit(0)).alias("_all"))
-    left = left.join(F.broadcast(bins), F.lit(True)).select(*names, (F.col("_all") + F.col("bin")).cast("long").alias("sequence_id"), "offset")
+    every = per_class.agg(F.coalesce(F.sum("_bins"), F.lit(0)).alias("_all")).scalar()
+    left = left.select(*names, (every + F.col("bin")).cast("long").alias("sequence_id"), "offset")
     done = done.select(*names, F.col("_sequence").alias("sequence_id"), F.col("_offset").cast("long").alias("offset"))
     return done.unionByName(left)

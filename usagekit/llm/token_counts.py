@@ -2,13 +2,15 @@
 
 Totals by source, language and tokenizer version are sums, so a change of the corpus is a set of signed
 rows: an inserted document adds its count, a deleted one takes it back, a revised one does both. A batch
-of changes is summed by key and committed as one small table under the batch's name. Commits are
-idempotent: the folder appears by a rename, and a batch whose folder is there is not written again, so
-a batch that is retried or delivered twice counts once. Totals are the sum over the committed batches.
+of changes is summed by key into one small table under a name of its own, and committed by a manifest that
+names the table. The manifest is created exclusively, under the name of the batch: a batch that is retried,
+delivered twice or written by two writers at once counts once, as totals are the sum over the tables that
+manifests name. A compaction sums these into one table and names what it replaces, committed the same way.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from py4j.protocol import Py4JJavaError
+
 from usagekit.llm.common import delete_folder, materialize, word_count
 from usagekit.llm.packing import encoder, stretches, vocabulary_path
 from usagekit.session import gone_at_exit, scratch_dir
@@ -24,7 +28,6 @@ from usagekit.session import gone_at_exit, scratch_dir
 KEYS = ["source", "lang", "version"]
 ROLLUP = "source string, lang string, version string, documents long, tokens long"
 WORDS, BPE = "words-1", "word-bpe-49k"
-COMPACTED = "totals"
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -75,38 +78,94 @@ class TokenRollup:
         self._path = hadoop.Path
         self._fs = hadoop.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _place(self, batch: str) -> str:
-        if not re.fullmatch(r"[A-Za-z0-9._-]+", batch) or batch == COMPACTED:
-            raise ValueError(f"not a batch name: {batch!r}")
-        return f"{self.folder}/commits/{batch}"
+    def _manifest(self, kind: str, name: str):
+        if not re.fullmatch(r"[A-Za-z0-9._-]+", name):
+            raise ValueError(f"not a batch name: {name!r}")
+        return self._path(f"{self.folder}/{kind}/{name}.json")
+
+    def _create(self, kind: str, name: str, content: dict) -> bool:
+        """Writes a manifest; False if there is one of this name."""
+        try:
+            out = self._fs.create(self._manifest(kind, name), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception.getClass().getName()) and "already exists" not in str(e.java_exception):
+                raise
+            return False
+        out.write(json.dumps(content).encode())
+        out.close()
+        return True
+
+    def _read(self, kind: str) -> dict[str, dict]:
+        """The manifests of a kind by name. One without content was claimed by a writer that did not end."""
+        place = self._path(f"{self.folder}/{kind}")
+        if not self._fs.exists(place):
+            return {}
+        out = {}
+        for f in self._fs.listStatus(place):
+            name = f.getPath().getName()
+            if name.endswith(".json") and not name.startswith("."):
+                stream = self._fs.open(f.getPath())
+                text = bytes(stream.readAllBytes()).decode()
+                stream.close()
+                if text:
+                    out[name.removesuffix(".json")] = json.loads(text)
+        return out
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._path(self._place(batch)))
+        return self._fs.exists(self._manifest("commits", batch))
+
+    def release(self, batch: str) -> bool:
+        """Frees the name of a batch whose writer died between claiming and naming its table; False if it is committed."""
+        if not self.committed(batch) or batch in self._read("commits"):
+            return False
+        return self._fs.delete(self._manifest("commits", batch), False)
+
+    def _sums(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds signed rows (KEYS, documents, tokens); False, and nothing added, if the batch was committed before.
 
-        The sums are formed before the shuffle, so a key with most rows is one row per task. Of two writers
-        of one batch the rename lets one through.
+        The sums are formed before the shuffle, so a key with most rows is one row per task. Of several writers of one
+        batch one creates the manifest; the tables of the others are deleted, and were never read.
         """
         if self.committed(batch):
             return False
-        sums = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        new = f"{self.folder}/open/{batch}-{uuid.uuid4().hex}"
-        sums.coalesce(1).write.parquet(new)
-        self._fs.mkdirs(self._path(f"{self.folder}/commits"))
-        if self.committed(batch) or not self._fs.rename(self._path(new), self._path(self._place(batch))):
-            delete_folder(self.spark, new)
-            return False
-        return True
+        table = f"{self.folder}/tables/{batch}-{uuid.uuid4().hex}"
+        self._sums(changes).coalesce(1).write.parquet(table)
+        if self._create("commits", batch, {"table": table}):
+            return True
+        delete_folder(self.spark, table)
+        return False
+
+    def _tables(self) -> tuple[list[str], list[str], int]:
+        """The tables to sum, the batches they hold, and the number of the last compaction."""
+        done = self._read("compactions")
+        last = max(map(int, done), default=0)
+        start = done[str(last)] if last else {"table": None, "batches": []}
+        held = set(start["batches"])
+        new = {name: m["table"] for name, m in self._read("commits").items() if name not in held}
+        return [*filter(None, [start["table"]]), *new.values()], sorted(held | set(new)), last
+
+    def _rows(self, tables: list[str]) -> DataFrame:
+        return self.spark.read.schema(ROLLUP).parquet(*tables) if tables else self.spark.createDataFrame([], ROLLUP)
+
+    def compact(self) -> bool:
+        """Sums all committed batches into one table; False if another writer has just done so.
+
+        Names of batches stay taken. Tables that were replaced stay for readers that have listed them already.
+        """
+        tables, batches, last = self._tables()
+        table = f"{self.folder}/tables/compaction-{uuid.uuid4().hex}"
+        self._sums(self._rows(tables)).coalesce(1).write.parquet(table)
+        if self._create("compactions", str(last + 1), {"table": table, "batches": batches}):
+            return True
+        delete_folder(self.spark, table)
+        return False
 
     def totals(self) -> DataFrame:
         """KEYS, documents, tokens; a null source or language is a key of its own. Keys without documents left are gone."""
-        if not self._fs.exists(self._path(f"{self.folder}/commits")):
-            return self.spark.createDataFrame([], ROLLUP)
-        rows = self.spark.read.schema(ROLLUP).option("recursiveFileLookup", "true").parquet(f"{self.folder}/commits")
-        sums = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.where("documents <> 0 OR tokens <> 0")
+        return self._sums(self._rows(self._tables()[0])).where("documents <> 0 OR tokens <> 0")
 
 
 def token_totals(docs: DataFrame, batches: int = 4, folder: str | None = None, path: str | None = None) -> DataFrame:
@@ -127,4 +186,5 @@ def token_totals(docs: DataFrame, batches: int = 4, folder: str | None = None, p
         provisional = words.withColumn("version", F.lit(BPE))
         rollup.commit(f"load-{i}", inserts(words.unionByName(provisional)))
         rollup.commit(f"revise-{i}", revisions(provisional, ids))
+    rollup.compact()
     return rollup.totals()
