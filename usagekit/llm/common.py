@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from usagekit.session import delete_folder, drop_table, gone_at_exit, materialize, scratch_dir
 
 __all__ = [
-    "SPACE", "WORD", "column", "delete_folder", "drop_table", "materialize", "number_rows", "read_folder", "running_start", "text_or_empty",
+    "SPACE", "WORD", "column", "delete_folder", "drop_table", "materialize", "number_rows", "read_folder", "running_start", "small_batches", "text_or_empty",
     "whole_row", "word_count", "write_folder", "written",
 ]
 
@@ -63,6 +63,15 @@ def read_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """From now on tasks hand rows to Python by BATCH_ROWS at most: rows of whole texts or sets are some kilobytes each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """As ``materialize``, and the shuffle files of the write are gone when it has ended."""
     return df.sparkSession.read.schema(df.schema).parquet(write_folder(df, name))

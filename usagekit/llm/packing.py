@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagekit.llm.common import materialize, running_start
+from usagekit.llm.common import materialize, running_start, small_batches
 
 CAPACITY, CLASSES, CELLS = 2048, 32, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
@@ -197,6 +197,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLA
     tokens in a sequence of class k, under capacity / classes in one of rests, and one or two sequences of
     left-over pieces in all. Sequence ids: class by class, each from 0 up; gapless. An empty table gives none.
     """
+    small_batches(docs.sparkSession)
     cut = pieces(docs, capacity, classes, end_id, path)
     cell = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(cells)).cast("int")
     cut = materialize(cut.withColumn("_cell", cell).withColumn("_amount", F.when(F.col("class") <= classes, 1).otherwise(F.col("length")).cast("long")), "pieces")
