@@ -80,6 +80,17 @@ def session_table(events: DataFrame, gap_min: float = 30, sums: dict[str, Column
     )
 
 
+def token_runs(calls: DataFrame, gap_min: float) -> DataFrame:
+    """Runs of activity with their tokens: one row per (user, hour, run, token) with ``n`` calls and the bounds
+    of the run. Distinct tokens over any number of runs are groups of these rows; calls move once."""
+    rows, window = _slice_rows(calls.select("person_id", "ts", "event_id", "token"), ["person_id"], ["ts", "event_id"], time_slice())
+    counted = _with_local_run(rows, window, gap_min).groupBy("person_id", "slice", "run", "token").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")
+    )
+    run = Window.partitionBy("person_id", "slice", "run")
+    return counted.select("person_id", "slice", "run", "token", "n", F.min("first").over(run).alias("start"), F.max("last").over(run).alias("end"))
+
+
 def sessionize(events: DataFrame, gap_min: float = 30, session_col: str = "session_num") -> DataFrame:
     """Adds a running session number per user: a new session at the first event and after every gap
     above ``gap_min`` minutes (a gap of exactly that length continues the session)."""
@@ -138,6 +149,58 @@ def _border_ngrams(rows: DataFrame, n: int, keys: list[str], window, names: list
     return starts.select(*keys, *[F.get(F.col("c"), F.col("at") + F.lit(i - 2)).alias(f"t{i}") for i in range(1, n + 1)])
 
 
+def gram_levels(
+    tokens: DataFrame,
+    n: int,
+    keys: Sequence[str],
+    order: Sequence[str] = ("ts", "event_id"),
+    token: str = "token",
+    within: str | None = None,
+    slice_by: Column | None = None,
+) -> DataFrame:
+    """Grams of every length from 1 to ``n`` from one pass, one row per occurrence: the keys, ``n``, ``gram`` and
+    ``together`` (1 if all its tokens carry one value of ``within``, for instance one session).
+
+    A gram of length n extends its first n-1 tokens, so the rows are the levels of a suffix trie of the
+    sequences. NULL and empty tokens are dropped first; borders of slices are crossed as in ``ngrams``.
+    """
+    keys, edge = list(keys), n - 1
+    slice_by = time_slice() if slice_by is None else slice_by
+    group = F.lit(0) if within is None else F.col(within)
+    one = F.struct(F.col(token).alias("t"), group.alias("g"))
+    rows = tokens.where(F.length(token) > 0).select(*keys, *order, one.alias("x"), slice_by.alias("slice"))
+    window = Window.partitionBy(*keys, "slice").orderBy(*order)
+    following = F.array_compact(F.array(F.col("x"), *[F.lead("x", i).over(window) for i in range(1, n)]))
+    parts = rows.select(*keys, following.alias("c"), F.lit(1).alias("low"), F.size(following).alias("high"))
+    if n > 1:
+        whole = Window.partitionBy(*keys, "slice")
+        ranked = rows.withColumn("pos", F.row_number().over(window)).withColumn("size", F.count(F.lit(1)).over(whole))
+        from_end = F.col("size") - F.col("pos")
+
+        def picked(place: Column, places: Sequence[int]) -> Column:
+            return F.array_compact(F.array(*[F.max(F.when(place == i, F.col("x"))) for i in places]))
+
+        ends = ranked.groupBy(*keys, "slice").agg(
+            picked(F.col("pos"), range(1, edge + 1)).alias("head"), picked(from_end, range(edge - 1, -1, -1)).alias("tail")
+        )
+        by_slice = Window.partitionBy(*keys).orderBy("slice")
+        heads = [F.lead("head", i).over(by_slice) for i in range(1, edge + 1)]
+        nothing = F.slice("head", 1, 0)
+        nxt = F.slice(F.concat(*[F.coalesce(h, nothing) for h in heads]), 1, edge)
+        ends = ends.select(*keys, "tail", nxt.alias("next")).where(F.size("next") > 0)
+        at = ends.select(*keys, F.concat("tail", "next").alias("all"), F.size("tail").alias("size"), F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("at"))
+        # From place ``at`` of the tail, only lengths that reach the next slice are new.
+        reach = F.slice("all", F.col("at"), n)
+        at = at.select(*keys, reach.alias("c"), (F.col("size") - F.col("at") + 2).alias("low"), F.size(reach).alias("high"))
+        parts = parts.unionByName(at.where("low <= high"))
+    out = parts.select(*keys, "c", F.explode(F.sequence("low", "high")).alias("n"))
+    gram = F.slice("c", 1, F.col("n"))
+    return out.select(
+        *keys, "n", F.array_join(F.transform(gram, lambda x: x["t"]), GRAM_SEPARATOR).alias("gram"),
+        flag(F.size(F.array_distinct(F.transform(gram, lambda x: x["g"]))) == 1).alias("together"),
+    )
+
+
 def dedup_steps(events: DataFrame, step: Column, n: int, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """First ``n`` steps per user after merging equal neighbours: columns ``step_1`` … ``step_n``.
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagekit.functions.derive import one_of, depth_points, elapsed, event_category, flag, session_phase, tool_label, with_canonical_event, with_tool
-from usagekit.operators.ordered import GRAM_SEPARATOR, _number_segments, activity_segments, dedup_steps, ngrams, sessionize, time_slice
+from usagekit.operators.ordered import GRAM_SEPARATOR, _number_segments, dedup_steps, gram_levels, ngrams, sessionize, token_runs
 from usagekit.operators.segments import BUILDER, CODER, GHOST, VIEWER
+from usagekit.session import materialize
 from usagekit.vocabulary import DEFAULT, TRANSITION_STATES, Vocabulary
 
 KEY = "person_id"
@@ -90,29 +91,62 @@ def _focal(users: DataFrame, condition: Column) -> DataFrame:
     return users.select(KEY, flag(condition).alias("focal"))
 
 
+def _top_lift(counts: DataFrame, n: int, min_count: int, min_baseline: int, top_k: int) -> DataFrame:
+    table = lift_table(counts, n, min_count, min_baseline)
+    return table.orderBy(F.desc("lift"), F.desc("focal_count"), "ngram").limit(top_k)
+
+
+def motif_counts(tokens: DataFrame, users: DataFrame, n: int, measures: dict[str, tuple[str, Column, Column]], gap_min: float = 30) -> DataFrame:
+    """Trie of gram counts with the measures side by side: one row per (sequence, n, gram).
+
+    ``tokens`` is cut into sessions once and passed once. Sequences are "all" tokens of a user and the
+    user's "tools" alone; ``together`` grams lie in one session. ``measures`` maps a name to (sequence, which rows count,
+    which users are focal) and gives the columns ``<name>_focal`` and ``<name>_base``. Users outside
+    ``users`` belong to neither side.
+    """
+    tools = F.when(F.startswith("token", F.lit("tool_")), F.lit("tools"))
+    sequences = F.explode(F.array_compact(F.array(F.lit("all"), tools)))
+    rows = sessionize(tokens, gap_min).withColumn("sequence", sequences)
+    grams = gram_levels(rows, n, [KEY, "sequence"], within="session_num")
+    per_user = grams.groupBy(KEY, "sequence", "n", "gram").agg(F.count(F.lit(1)).alias("times"), F.sum("together").alias("together"))
+    focal = users.select(KEY, *[flag(condition).alias(f"is_{name}") for name, (_, _, condition) in measures.items()])
+    columns = []
+    for name, (sequence, times, _) in measures.items():
+        here = F.col("sequence") == sequence
+        for side, value in (("focal", 1), ("base", 0)):
+            counted = F.sum(F.when(here & (F.col(f"is_{name}") == value), times))
+            columns.append(F.coalesce(counted, F.lit(0)).cast("long").alias(f"{name}_{side}"))
+    return per_user.join(focal, KEY).groupBy("sequence", "n", "gram").agg(*columns)
+
+
 def motif_tables(log: DataFrame, users: DataFrame, gap_min: float = 30, min_count: int = 5, min_baseline: int = 3, top_k: int = 20, complexity_cut: Column | None = None) -> DataFrame:
     """Four motif comparisons stacked: builders, ghosts, churned sessions, high-complexity tool use.
 
     ``users`` carries segment, is_churn and avg_canvas_complexity. The complexity cut is the exact
-    median of all users, "high" includes the cut itself.
+    median of all users, "high" includes the cut itself. All four read levels of one written count table.
     """
     from usagekit.functions.stats import exact_quantiles
 
-    tokens = event_tokens(log)
-    tools = tokens.where(F.startswith("token", F.lit("tool_")))
-    sessions = sessionize(tokens, gap_min)
     if complexity_cut is None:
         complexity_cut = exact_quantiles(users, "avg_canvas_complexity", {"cut": 0.5}).scalar()
-    options = {"min_count": min_count, "min_baseline": min_baseline, "top_k": top_k}
-    parts = {
-        "Agent Builder motifs": ngram_lift(tokens, _focal(users, F.col("segment") == BUILDER), 3, **options),
-        "Ghost motifs": ngram_lift(tokens, _focal(users, F.col("segment") == GHOST), 2, **options),
-        "Churn motifs": ngram_lift(sessions, _focal(users, F.col("is_churn") == 1), 2, (KEY, "session_num"), **options),
-        "High complexity tool motifs": ngram_lift(tools, _focal(users, F.col("avg_canvas_complexity") >= complexity_cut), 3, **options),
+    times, together = F.col("times"), F.col("together")
+    measures = {
+        "builder": ("all", times, F.col("segment") == BUILDER),
+        "ghost": ("all", times, F.col("segment") == GHOST),
+        "churn": ("all", together, F.col("is_churn") == 1),
+        "complexity": ("tools", times, F.col("avg_canvas_complexity") >= complexity_cut),
+    }
+    counts = materialize(motif_counts(event_tokens(log), users, 3, measures, gap_min), "motif-counts")
+    comparisons = {
+        "Agent Builder motifs": ("builder", 3), "Ghost motifs": ("ghost", 2),
+        "Churn motifs": ("churn", 2), "High complexity tool motifs": ("complexity", 3),
     }
     out: DataFrame | None = None
-    for label, part in parts.items():
-        part = part.withColumn("comparison", F.lit(label))
+    for label, (name, n) in comparisons.items():
+        level = counts.where((F.col("sequence") == measures[name][0]) & (F.col("n") == n))
+        level = level.select("gram", F.col(f"{name}_focal").alias("focal_count"), F.col(f"{name}_base").alias("baseline_count"))
+        level = level.where(F.col("focal_count") + F.col("baseline_count") > 0)
+        part = _top_lift(level, n, min_count, min_baseline, top_k).withColumn("comparison", F.lit(label))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -127,6 +161,7 @@ def segment_motifs(log: DataFrame, users: DataFrame, segments: Sequence[str] = (
         F.sum("n").alias("all_n"),
         *[F.coalesce(F.sum(F.when(F.col("segment") == s, F.col("n"))), F.lit(0)).cast("long").alias(s) for s in segments],
     )
+    wide = materialize(wide, "segment-grams")
     order = [F.desc("lift"), F.desc("focal_count"), F.asc("ngram")]
     out: DataFrame | None = None
     for segment in segments:
@@ -182,21 +217,17 @@ def phase_tool_mix(calls: DataFrame, users: DataFrame, segment: str = BUILDER, t
 def tool_sessions(calls: DataFrame, gap_min: float = 30) -> DataFrame:
     """Per (user, tool session): diversity, builds, runs, calls, finish flag, depth points, minutes."""
     token = F.col("token")
-    sums = {
-        "build_calls": flag(token.isin("CREATE", "REFACTOR")),
-        "run_calls": flag(token == "RUN"),
-        "depth": depth_points("token"),
-    }
-    maxima = {"has_finish": flag(token == "FINISH")}
-    segments = _number_segments(activity_segments(calls, gap_min, sums, maxima), gap_min)
-    base = segments.groupBy(KEY, "session_num").agg(
-        F.sum("build_calls").alias("build_calls"), F.sum("run_calls").alias("run_calls"), F.sum("events").alias("total_calls"),
-        F.max("has_finish").alias("has_finish"), F.sum("depth").alias("depth"),
-        elapsed(F.max("end"), F.min("start"), 60).alias("duration_min"),
+    runs = _number_segments(token_runs(calls, gap_min), gap_min)
+    kinds = runs.groupBy(KEY, "session_num", "token").agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+    def calls_of(points: Column) -> Column:
+        return F.sum(F.col("n") * points)
+
+    return kinds.groupBy(KEY, "session_num").agg(
+        calls_of(flag(token.isin("CREATE", "REFACTOR"))).alias("build_calls"), calls_of(flag(token == "RUN")).alias("run_calls"),
+        F.sum("n").alias("total_calls"), F.max(flag(token == "FINISH")).alias("has_finish"), calls_of(depth_points("token")).alias("depth"),
+        elapsed(F.max("end"), F.min("start"), 60).alias("duration_min"), F.count(F.lit(1)).alias("tool_diversity"),
     )
-    kinds = sessionize(calls, gap_min).groupBy(KEY, "session_num", "token").agg(F.count(F.lit(1)).alias("n"))
-    kinds = kinds.groupBy(KEY, "session_num").agg(F.count(F.lit(1)).alias("tool_diversity"))
-    return base.join(kinds, [KEY, "session_num"])
 
 
 def session_progression(sessions: DataFrame, users: DataFrame, max_sessions: int = 10) -> DataFrame:

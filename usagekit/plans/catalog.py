@@ -449,7 +449,7 @@ def queries() -> dict[str, Query]:
         "session_structure_features": _on_log(features.session_structure_features),
         "signup_time_features": _on_log(features.signup_time_features),
         "referrer_features": _on_log(features.referrer_features),
-        "feature_matrix": _on_log(lambda log: tables.segmented_users(log, tables.TEST_RULES)),
+        "feature_matrix": lambda spark, sf: rounded(tables.segmented_test_users(spark, sf)),
         # segments
         "segment_summary": _on_users(segments.segment_summary),
         "segment_profile": _on_users(segments.segment_profile),

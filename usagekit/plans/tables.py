@@ -20,7 +20,11 @@ TEST_RULES = segments.SegmentRules(ghost_max_events=55)
 
 
 def segmented_users(log: DataFrame, rules: segments.SegmentRules = segments.SegmentRules()) -> DataFrame:
-    return segments.with_adoption(segments.assign_segment(features.assemble_features(log), rules))
+    return segmented(features.assemble_features(log), rules)
+
+
+def segmented(users: DataFrame, rules: segments.SegmentRules = segments.SegmentRules()) -> DataFrame:
+    return segments.with_adoption(segments.assign_segment(users, rules))
 
 
 def user_table(log: DataFrame, rules: segments.SegmentRules = segments.SegmentRules(), horizon_days: float = 14) -> DataFrame:
@@ -42,7 +46,18 @@ def recency_risk(users: DataFrame, days: float = 120.0) -> DataFrame:
 
 def test_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segmented user matrix of the test tables, written once and read by the reports."""
-    return once(spark, "users", sf_dir, lambda: segmented_users(ingested_log(spark, sf_dir), TEST_RULES))
+    return once(spark, "users", sf_dir, lambda: segmented_test_users(spark, sf_dir))
+
+
+def segmented_test_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmented(features.features_of(test_state(spark, sf_dir)), TEST_RULES)
+
+
+def test_state(spark: SparkSession, sf_dir: str) -> features.FeatureState:
+    """Feature state of the test log, written once: two scans of the log."""
+    daily = once(spark, "daily-state", sf_dir, lambda: features.daily_state(ingested_log(spark, sf_dir)))
+    runs = once(spark, "run-state", sf_dir, lambda: features.run_state(ingested_log(spark, sf_dir)))
+    return features.FeatureState(daily, runs)
 
 
 def test_table(spark: SparkSession, sf_dir: str) -> DataFrame:
