@@ -163,3 +163,58 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(got[i].spans == "" for i in range(26, 26 + len(clean)))
     none = pii.find_pii(docs_frame(spark, texts[12:15] + unseen), support=4).collect()
     assert all(r.added == 0 for r in none)
+
+
+def spans_of(spark, texts):
+    return {r.doc_id: (r.spans, r.added) for r in pii.find_pii(docs_frame(spark, texts)).collect()}
+
+
+def where(kind, text, part):
+    return f"{kind}:{text.index(part)}:{text.index(part) + len(part)}"
+
+
+def test_each_kind_is_discovered_with_its_blanks(spark):
+    rng = random.Random(3)
+
+    def card(i):
+        digits = [4, 1, 1, 1, *(rng.randrange(10) for _ in range(11))]
+        total = sum(d if i % 2 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits))
+        number = "".join(map(str, [*digits, -total % 10]))
+        return " ".join(number[i : i + 4] for i in range(0, 16, 4))
+
+    texts = [f"reader {i} please call me at +1 (017) 555-77{i:02d} now" for i in range(10)]
+    texts += [f"we will charge the card {card(i)} for it" for i in range(10)]
+    texts += [f"dear friend send mail to user{i}@host.example today" for i in range(10)]
+    texts += [f"the failing server address 10.1.{i}.3 is down" for i in range(10)]
+    seeds = len(texts)
+    unseen = [
+        ("phone", "or call me at 017 555 7713.", "017 555 7713"),
+        ("card", "will charge the card 4111 1111 1111 1112, twice", "4111 1111 1111 1112"),
+        ("email", "you may send mail to user77@localhost today", "user77@localhost"),
+        ("ip", "old server address 300.1.2.999 was wrong", "300.1.2.999"),
+        # where nothing vouches for them: first words, lists, next to another identifier
+        ("phone", "017 555 7713 is mine", "017 555 7713"),
+        ("ip", "these: 10.1.2.3 or 300.1.2.999", "300.1.2.999"),
+    ]
+    got = spans_of(spark, texts + [t for _, t, _ in unseen])
+    assert all(got[i][1] == 0 and got[i][0] for i in range(seeds))
+    for i, (kind, text, part) in enumerate(unseen):
+        spans, added = got[seeds + i]
+        assert where(kind, text, part) in spans.split(",") and added == 1, (text, spans)
+
+
+def test_chains_of_patterns_are_followed_to_their_end(spark):
+    # The instances of one hop are 150 of 153 occurrences of the next pattern, whose other 3 are the instances to find.
+    names = "zero one two three four five six".split()
+    texts = [f"hop zero {i}.1.1.1 x" for i in range(150)]
+    for hop in range(6):
+        found = [f"ID-{hop}-20{i:02d}" for i in range(3)]
+        texts += [f"hop {names[hop]} {x} x" for x in found] + [f"hop {names[hop + 1]} {x} x" for x in found] * 50
+    got = spans_of(spark, texts)
+    last = [i for i, t in enumerate(texts) if "ID-5-20" in t]
+    assert last and all(got[i][0].startswith("ip:") and got[i][1] == 1 for i in last)
+
+
+def test_long_runs_of_numbers_are_one_candidate(spark):
+    texts = ["1234 " * 9000, "+1 " + "(2) " * 9000, "(1" * 5000, "12 " * 5000 + "x1", " ".join("a@" for _ in range(5000))]
+    assert all(added == 0 for _, added in spans_of(spark, texts).values())

@@ -1,10 +1,11 @@
 """PII by bootstrapped contextual extraction, in native expressions.
 
-Base spans (email, ip, card, phone) are the seeds. Tokens that look like identifiers and the two words
-before them form a graph of instances and lexical patterns. A pattern's score for a kind is the
+Base spans (email, ip, card, phone) are the seeds. Candidates that look like identifiers, blanks between
+groups of digits included, and the two words before them form a graph of instances and lexical patterns. A pattern's score for a kind is the
 confidence-weighted share of its occurrences that are instances of the kind (a seed counts 1); an
-instance's confidence combines the scores of the patterns it occurs with. The two are computed in turn;
-instances that only good patterns vouch for are the unseen identifiers, and give added spans.
+instance's confidence combines the scores of the patterns it occurs with. The two are computed in turn
+until a round finds nothing new; instances that good patterns vouch for are the unseen identifiers, and
+give added spans wherever they stand.
 
 Positions in code points come from cutting a text at its matches: the lengths of what lies between.
 """
@@ -27,10 +28,15 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "phone": "+"}
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# A candidate is a word with a digit or @, a number written in neighbouring groups of digits, or what begins like a
+# phone number. Groups belong together over one or two blanks; each ends at white space, before it at most one mark.
+SPACE = r"\x20\x09-\x0D"
+GROUP = rf"\(?+[0-9][0-9()-]*+(?![^{SPACE}.,;:!?]|[.,;:!?][^{SPACE}])"
+TOKEN = rf"(?<![^{SPACE}])(?:\(?+\+[0-9][\x20().0-9-]*+|\+?+{GROUP}(?:\x20{{1,2}}+{GROUP})++|[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+)"
 CONTEXT = r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)[^\x20\x09-\x0D]++[\x20\x09-\x0D]++$"
 # An identifier has so many characters and digits; a pattern is used from so many distinct instances and such a score.
-CHARACTERS, DIGITS, SUPPORT, CONFIDENCE, ROUNDS = 6, 3, 3, 0.8, 3
+CHARACTERS, DIGITS, SUPPORT, CONFIDENCE = 6, 3, 3, 0.8
+KEY = 64  # longer cores are told apart by their SHA-256
 OCCURRENCE = "array<struct<start:bigint,end:bigint,match:string,before:string>>"
 
 
@@ -91,7 +97,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Identifier-like tokens with the two words before them: start, end, core, context."""
+    """Candidates with the two words before them: start, end, core, context ('' without two words there)."""
     every = F.when(text.rlike("[0-9@]"), occurrences(text, TOKEN)).otherwise(F.array().cast(OCCURRENCE))
 
     def trim(x: Column) -> Column:
@@ -101,8 +107,8 @@ def _tokens(text: Column) -> Column:
         context = F.lower(F.trim(F.regexp_replace(F.regexp_extract(x["before"], CONTEXT, 0), r"[\x20\x09-\x0D]+", " ")))
         return F.struct(start.alias("start"), (start + F.char_length(core)).alias("end"), core.alias("core"), context.alias("context"))
 
-    # A word before may itself be an identifier; it then ended the stretch and the context is too short.
-    return F.filter(F.transform(every, trim), lambda x: (x["context"] != "") & (F.char_length(x["core"]) >= CHARACTERS))
+    # A word before may itself be a candidate (lists); it then ended the stretch and there is no context.
+    return F.filter(F.transform(every, trim), lambda x: F.char_length(x["core"]) >= CHARACTERS)
 
 
 def _label(spans: Column, token: Column) -> Column:
@@ -115,21 +121,30 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document without its text: doc_id, base, tokens (with known: the kind of a base span there)."""
     rows = docs.select(F.col("doc_id"), text_or_empty().alias("_text"))
     rows = rows.select("doc_id", base_spans(F.col("_text")).alias("base"), _tokens(F.col("_text")).alias("tokens"))
-    known = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["core"].alias("core"), t["context"].alias("context"), _label(F.col("base"), t).alias("known")))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", known.alias("tokens"))
 
+    def node(t: Column) -> Column:
+        key = F.when(F.char_length(t["core"]) > KEY, F.sha2(t["core"].cast("binary"), 256)).otherwise(t["core"])
+        known = _label(F.col("base"), t)
+        likely = (F.char_length(_digits(t["core"])) >= DIGITS) | F.contains(t["core"], F.lit("@")) | known.isNotNull()
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), key.alias("core"), t["context"].alias("context"), known.alias("known"), likely.alias("likely"))
 
-def bootstrap(pairs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    nodes = F.filter(F.transform("tokens", node), lambda t: t["likely"])
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", nodes.alias("tokens"))
+
+
+def bootstrap(pairs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """core, kind, confidence of the instances that patterns discover.
 
     ``pairs``: context, core, known (kind of a seed or null), n. Each round joins patterns and instances
-    as tables and writes the instances; a frequent context or instance is one row per partner.
+    as tables and writes the instances that are new; a frequent context or instance is one row per
+    partner. An instance keeps the kind and confidence of the round that found it, so every round adds
+    instances or is the last, and chains of any length are followed.
     """
     totals = pairs.groupBy("context").agg(F.sum("n").alias("all"))
     seeds = pairs.where("known IS NOT NULL").select("core", F.col("known").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
     links = pairs.groupBy("context", "core").agg(F.sum("n").alias("n"))
-    believed = seeds
-    for _ in range(rounds):
+    believed, discovered = seeds, None
+    while True:
         heads = links.join(believed, "core").groupBy("context", "kind").agg(
             F.sum(F.col("n") * F.col("confidence")).alias("hits"), F.count(F.lit(1)).alias("instances")
         )
@@ -137,11 +152,13 @@ def bootstrap(pairs: DataFrame, support: int = SUPPORT, confidence: float = CONF
         patterns = patterns.where((F.col("instances") >= support) & (F.col("score") >= confidence))
         miss = F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))
         found = links.join(patterns.select("context", "kind", "score"), "context").groupBy("core", "kind").agg((1 - F.exp(F.sum(miss))).alias("confidence"))
-        found = found.where(F.col("confidence") >= confidence).join(seeds.select("core"), "core", "left_anti")
+        found = found.where(F.col("confidence") >= confidence).join(believed.select("core"), "core", "left_anti")
         best = found.groupBy("core").agg(F.min_by("kind", F.struct(-F.col("confidence"), F.col("kind"))).alias("kind"), F.max("confidence").alias("confidence"))
-        discovered = materialize(best, "instances")
+        new = materialize(best, "instances")
+        if new.isEmpty():
+            return new if discovered is None else discovered
+        discovered = new if discovered is None else materialize(discovered.unionByName(new), "instances")
         believed = seeds.unionByName(discovered)
-    return discovered
 
 
 def _joined(spans: Column) -> Column:
@@ -149,20 +166,18 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added for every row of ``docs`` (doc_id, text).
 
     Counts and base_sha256 cover the base spans; spans also has the n of ``added`` spans that patterns
     discovered, under the kind of the seeds that induced the pattern. Null and empty texts have no span.
     Of repeated rows each is scanned; their identifiers count as often as they are given. An identifier
-    is discovered in every place with a context, not only after the pattern that vouched for it.
+    is discovered in every place, also in lists and in the first words of a text, where no two words vouch for it.
     """
     rows = materialize(scan(docs), "pii-scan")
     tokens = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
-    likely = F.char_length(_digits(F.col("core"))) >= DIGITS
-    tokens = tokens.where(likely | F.col("known").isNotNull() | F.contains(F.col("core"), F.lit("@")))
-    pairs = materialize(tokens.groupBy("context", "core", "known").agg(F.count(F.lit(1)).alias("n")), "pii-pairs")
-    discovered = bootstrap(pairs, support, confidence, rounds)
+    pairs = tokens.where("context != ''").groupBy("context", "core", "known").agg(F.count(F.lit(1)).alias("n"))
+    discovered = bootstrap(materialize(pairs, "pii-pairs"), support, confidence)
     added = tokens.where("known IS NULL").join(discovered.select("core", "kind"), "core")
     added = added.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("more"))
     out = rows.drop("tokens").join(added, "row", "left")
