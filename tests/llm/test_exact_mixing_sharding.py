@@ -5,6 +5,7 @@ import struct
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 from frames import docs_frame
@@ -32,6 +33,32 @@ def test_exact_groups_equal_brute_force(spark, rounds, fan):
     assert sorted(r.doc_id for r in kept) == sorted(min(g) for g in groups.values())
 
 
+def test_levels_are_sorted_runs(spark):
+    rows = [("%064x" % (i % 40), 1, i % 40, i if i % 7 else None, 1) for i in range(400)]
+    frame = spark.createDataFrame([(i % 4, *r) for i, r in enumerate(rows)], exact_dedup.RUN)
+    level = exact_dedup._level(frame, 4, 400, "test-runs")
+    for path in level.inputFiles():
+        own = [(r._node, r.text_sha256) for r in spark.read.parquet(path).collect()]
+        assert own == sorted(set(own))  # each file is a run in order, one row per node and digest
+    merged = exact_dedup.merge_tree(level, 4, 2, 400).collect()
+    want = {d: (min((r[3] for r in rows if r[2] == d and r[3] is not None), default=None), 10) for d in range(40)}
+    assert {r._check: (r.keep_id, r.group_size) for r in merged} == want and len(merged) == 40
+    with pytest.raises(RuntimeError, match="401"):
+        exact_dedup._level(level, 4, 401, "test-runs")
+
+
+@pytest.mark.parametrize("cut", [1, 2, 7, 50])
+def test_merge_of_a_sorted_stream_does_not_depend_on_batches(cut):
+    keys = sorted(random.Random(cut).choices(range(12), k=50))
+    table = pa.table({"_node": pa.array([0] * 50, pa.int32()), "text_sha256": [f"{k:03d}" for k in keys], "_bytes": [1] * 50, "_check": keys,
+                      "keep_id": pa.array([None if i % 3 == 0 else 100 - i for i in range(50)], pa.int64()), "group_size": [2] * 50})
+    got = pa.Table.from_batches(list(exact_dedup.merge_sorted(iter(table.to_batches(max_chunksize=cut)))))
+    for k, keep, size in zip(got["_check"].to_pylist(), got["keep_id"].to_pylist(), got["group_size"].to_pylist(), strict=True):
+        own = [100 - i for i in range(50) if keys[i] == k and i % 3]
+        assert (keep, size) == (min(own, default=None), 2 * keys.count(k))
+    assert got["_check"].to_pylist() == sorted(set(keys))
+
+
 def highest_quotients(votes, seats):
     quota = dict.fromkeys(votes, 0)
     for _ in range(seats):
