@@ -67,7 +67,7 @@ def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        rows = pa.Table.from_batches([batch])
+        rows = pa.table(batch.columns, names=batch.schema.names)  # plain fields: whether one may be null differs by level
         merged = _merge_equal(rows if waiting is None else pa.concat_tables([waiting, rows]).combine_chunks())
         yield from merged.slice(0, merged.num_rows - 1).to_batches()
         waiting = merged.slice(merged.num_rows - 1)
