@@ -81,3 +81,20 @@ def test_boosted_folds_follow_mllib(spark, share):
         assert np.abs(np.array([m[2] for m in mine]) - np.array([w[2] for w in sorted(want)])).max() < 1e-4
     else:
         assert np.abs(np.array([m[2] for m in mine]) - np.array([w[2] for w in sorted(want)])).mean() < 0.05
+
+
+def test_joint_forests_are_those_fitted_alone(spark, monkeypatch):
+    """All folds and column sets in one job give the scores of one fit each; unweighted, so sums do not depend on the order of rows."""
+    data = models.with_folds(people(spark, 300).withColumn("weight", F.lit(1.0)), 2).cache()
+    forests = {"all": models.random_forest(COLUMNS, 30, 3, weighted=False), "few": models.random_forest(["a", "c"], 8, 2, weighted=False)}
+    grown = trees.joint_forests(models.in_order(data.withColumn("place", F.lit(0))), forests, [-1, 0, 1], 2)
+    got = trees.joint_scores(grown)
+    assert got.count() == 600
+    for name, forest in forests.items():
+        for f in range(2):
+            alone = forest.fit(models.in_order(data.where(F.col("fold") != f))).score(data.where(F.col("fold") == f))
+            mine = got.where((F.col("model") == name) & (F.col("fold") == f))
+            assert sorted(tuple(r) for r in mine.select("label", "score", "prediction").collect()) == sorted(tuple(r) for r in alone.select("label", "score", "prediction").collect())
+        assert np.allclose(trees.joint_importances(grown)[0, name], forest.fit(models.in_order(data)).importances())
+    monkeypatch.setattr(trees.Forest, "fit", None)
+    assert models.cross_validate_folds(data.drop("fold"), forests, 2).count() == 4
