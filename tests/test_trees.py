@@ -98,3 +98,20 @@ def test_joint_forests_are_those_fitted_alone(spark, monkeypatch):
         assert np.allclose(trees.joint_importances(grown)[0, name], forest.fit(models.in_order(data)).importances())
     monkeypatch.setattr(trees.Forest, "fit", None)
     assert models.cross_validate_folds(data.drop("fold"), forests, 2).count() == 4
+
+
+def test_cohorts_are_fitted_together_and_as_if_alone(spark, monkeypatch):
+    """Cohorts of which one is null, one has few builders: the report is that of a fit per cohort."""
+    users = people(spark, 400).withColumns({"segment": F.when(F.col("label") == 1, models.BUILDER).otherwise("Viewer"), "signup_hour": F.col("a"), "signup_is_weekend": F.col("c")})
+    month = F.when(F.col("person_id") < "u0150", "2024-01").when(F.col("person_id") < "u0385", "2024-02").when(F.col("person_id") < "u0390", "2024-03")
+    users = users.withColumn("signup_cohort", month).drop("label")
+    plain = models.random_forest
+    monkeypatch.setattr(models, "random_forest", lambda columns, trees, min_leaf: plain(columns, trees, min_leaf, weighted=False))
+    monkeypatch.setattr(trees.Forest, "fit", None)
+    fleet = [tuple(r) for r in models.fleet_models(users, trees=6).collect()]
+    assert [(r[0], r[1], r[4] is None, len(r[6])) for r in fleet] == [(None, 10, True, 0), ("2024-01", 150, False, 2), ("2024-02", 235, False, 2), ("2024-03", 5, True, 0)]
+    rows, columns = models.success_frame(users.where("signup_cohort = '2024-02'"))
+    alone = models.cross_validate(models.with_balanced_weights(rows), {"rf": plain(columns, 6, 2, weighted=False), "lr": models.fits.Logistic(columns)}, 5)
+    assert {r["model"]: pytest.approx(r["auc_mean"]) for r in alone.collect()} == {"rf": fleet[2][4], "lr": fleet[2][5]}
+    drift = models.fleet_drift(users, trees=6).groupBy("signup_cohort").agg(F.round(F.sum("importance"), 6).alias("s")).collect()
+    assert {tuple(r) for r in drift} == {("2024-01", 1.0), ("2024-02", 1.0)}
