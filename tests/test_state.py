@@ -123,3 +123,24 @@ def test_tool_sessions(spark):
         assert row.has_finish == int("FINISH" in names) and row.duration_min == pytest.approx((own[-1][0] - own[0][0]).total_seconds() / 60)
     shuffles = sequences.tool_sessions(calls)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert shuffles == 2  # calls by (user, hour), runs by user
+
+
+def test_events_tools_and_days_are_counted_once_without_sets(spark):
+    """Several rows per event, tool and day; null events, days and users; no aggregation holds a set or expands rows."""
+    day, at = dt.date(2024, 1, 1), dt.datetime(2024, 1, 1)
+    late = at + dt.timedelta(days=1)
+    rows = [
+        ("a", day, "run_block", None, 2, at, at), ("a", day, "run_block", None, 1, at, late), ("a", day + dt.timedelta(1), "run_all_blocks", None, 1, late, late),
+        ("a", day, "agent_tool_call_run_block_tool", "run_block", 3, at, at), ("a", None, "agent_tool_call_run_block_tool", "run_block", 1, at, at),
+        ("a", day, "agent_tool_call_get_block_tool", "get_block", 1, at, at), ("a", day, None, None, 0, at, at), (None, day, "sign_up", None, 1, at, at),
+    ]
+    schema = "person_id string, day date, event string, tool string, n long, first_ts timestamp, last_ts timestamp"
+    out = features.rollup_features(spark.createDataFrame(rows, schema))
+    got = {r.person_id: r for r in out.collect()}
+    a = got["a"]
+    assert (a.total_events, a.unique_event_types, a.days_active, a.manual_runs, a.manual_run_days) == (9, 4, 2, 4, 2)
+    assert (a.agent_tool_calls_total, a.agent_tool_types_used, a.agent_tool_call_days, a.agent_run_calls, a.agent_inspect_calls) == (5, 2, 1, 4, 1)
+    assert (a.first_seen, a.last_seen) == (at, late)
+    assert (got[None].total_events, got[None].days_active, got[None].signed_up, got[None].agent_tool_types_used) == (1, 1, 1, 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "Expand" not in plan and "ObjectHashAggregate" not in plan
