@@ -161,7 +161,7 @@ def segment_motifs(log: DataFrame, users: DataFrame, segments: Sequence[str] = (
         F.sum("n").alias("all_n"),
         *[F.coalesce(F.sum(F.when(F.col("segment") == s, F.col("n"))), F.lit(0)).cast("long").alias(s) for s in segments],
     )
-    wide = materialize(wide, "segment-grams")
+    wide = materialize(wide, "segment-grams", small_tasks=True)
     order = [F.desc("lift"), F.desc("focal_count"), F.asc("ngram")]
     out: DataFrame | None = None
     for segment in segments:
