@@ -27,9 +27,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a 5-word Jaccard similarity of at least 0.8, directly or by others, the one with the smallest doc_id."""
+    """Of documents linked by SimHash fingerprints or a 5-word Jaccard similarity of at least 0.8, directly or by others, the one with the smallest doc_id."""
     ensure_utc(spark)
-    return shingle_join.drop_near_copies(docs)
+    return shingle_join.drop_near_copies(docs, by_fingerprint=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

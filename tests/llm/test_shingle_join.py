@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 from frames import docs_frame, edge_frame, empty_frame
 from test_near_and_suffix import union
 
-from usagekit.llm import shingle_join
+import corpus_pipeline
+from usagekit.llm import shingle_join, simhash
 
 
 def brute_sets(texts):
@@ -106,3 +108,54 @@ def test_pipeline_stage_takes_five_word_similarity(spark):
         near[i] = "other"
     out = corpus_pipeline.without_near_copies(spark, docs_frame(spark, [" ".join(words), " ".join(near)]), "")
     assert [r.doc_id for r in out.collect()] == [0]
+
+
+def alike_by_fingerprint_only(rng):
+    """Two texts whose fingerprints differ in 3 bits at most and whose 5-word similarity is below 0.8."""
+    while True:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = [f"X{rng.randrange(10**6)}" if i % 30 == 9 else w for i, w in enumerate(words)]
+        a, b = " ".join(words), " ".join(other)
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 3:
+            assert brute_groups([a, b]) == [0, 1]
+            return a, b
+
+
+def test_near_copies_of_the_pipeline_are_linked_by_fingerprints_too(spark):
+    """Also through other texts, and a doc_id that repeats joins nothing."""
+    rng = random.Random(4)
+    a, b = alike_by_fingerprint_only(rng)
+    near_b = b + " one more"
+    far = [" ".join(f"f{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3)]
+    docs = spark.createDataFrame([(3, a), (5, b), (7, near_b), (7, far[0]), (8, far[1]), (9, far[0] + " end"), (None, far[2])], "doc_id long, text string")
+    got = shingle_join.shingle_groups(docs, by_fingerprint=True).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(3, 3), (5, 3), (7, 3), (7, 7), (8, 8), (9, 7)]
+    kept = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 7, 7, 8]
+
+
+def test_parities_rule_out_long_texts_and_never_similar_ones():
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (1, 40, 1900, 2040, 2200, 6000, 8100, 8500, 70_000):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.append(base[: n - n // 12], rng.integers(0, 2**64, n // 14, dtype=np.uint64)))]
+    wide = np.array([shingle_join.parities(s).tobytes() for s in sets], object)
+    held = shingle_join.Parities(wide)
+    for i, s in enumerate(sets):
+        at = np.flatnonzero(shingle_join._alike(len(s), np.array(list(map(len, sets)))))
+        apart = held.apart(i, at)
+        assert (apart == shingle_join._apart(wide[np.full(len(at), i)], wide[at])).all()
+        for j, bits in zip(at.tolist(), apart.tolist(), strict=True):
+            assert bits <= len(np.setxor1d(s, sets[j]))
+            if len(s) > 100 and i // 2 != j // 2:
+                assert 9 * bits > len(s) + len(sets[j])
+
+
+def test_repeated_and_missing_doc_ids_lose_no_pair(spark):
+    """A set that two rows bring is verified once, whichever document it is cut from."""
+    texts = [t for t in corpus(random.Random(5), 40) if t and t.strip()]
+    want = brute_groups(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t in enumerate(texts)] + [(None, t) for t in texts], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingle_join.shingle_groups(docs.repartition(3)).collect() if r.doc_id is not None}
+    assert [got[i] for i in range(len(texts))] == want

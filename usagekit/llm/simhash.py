@@ -141,6 +141,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def simhash_links(prints: DataFrame) -> DataFrame:
+    """a, b: edges that join the ids of ``prints`` (fp, id: one row per fingerprint) wherever fingerprints differ in at most 3 bits."""
+    return _keys(prints).repartition("key").sortWithinPartitions("key", "turned").mapInArrow(_forest, "a long, b long")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id for every row of ``docs`` (doc_id, text).
 
@@ -153,9 +158,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     # Without doc_id the upper 62 bits stand in: prints that share them differ in two bits at most, so they link anyway.
     stand_in = F.expr(f"{NO_ID}L + shiftrightunsigned(fp, 2)")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("id", F.coalesce("id", stand_in)), "prints")
-    keys = _keys(prints)
-    edges = keys.repartition("key").sortWithinPartitions("key", "turned").mapInArrow(_forest, "a long, b long")
-    labels = connected(edges)
+    labels = connected(simhash_links(prints))
     named = prints.join(labels, prints["id"] == labels["vertex"], "left").select("fp", F.coalesce("label", "id").alias("_root"))
     named = named.select("fp", F.when(F.col("_root") < NO_ID, F.col("_root")).alias("component_id"))
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
