@@ -115,12 +115,16 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _over_texts(docs: DataFrame, read: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch], schema: str, shingle: int) -> DataFrame:
+def _over_texts(docs: DataFrame, read: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch], schema: str, shingle: int, once: bool = False) -> DataFrame:
+    """What ``read`` makes of the texts and their sets; ``once``: a task gives a value of the first column once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield read(part, [shingles(t.as_py() or "", shingle) for t in part.column(1)])
+                out = read(part, [shingles(t.as_py() or "", shingle) for t in part.column(1)])
+                yield out.filter(pa.array([v not in seen and not seen.add(v) for v in out.column(0).to_pylist()], pa.bool_())) if once else out
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -157,19 +161,9 @@ def needed_sets(docs: DataFrame, rows: DataFrame, needed: DataFrame, shingle: in
         have = rows.join(needed, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
         one = F.broadcast(have.select("doc_id").distinct())
         docs = docs.where("doc_id IS NOT NULL").join(one, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    sets = _over_texts(docs, read, "sig long, members binary", shingle)
+    sets = _over_texts(docs, read, "sig long, members binary", shingle, once=True)
     sets = sets.join(needed, "sig", "left_semi")
-    return written(_once_a_task(sets) if few else sets.dropDuplicates(["sig"]), "shingle-sets")
-
-
-def _once_a_task(sets: DataFrame) -> DataFrame:
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            new = [s not in seen and not seen.add(s) for s in batch.column(0).to_pylist()]
-            yield batch.filter(pa.array(new, pa.bool_()))
-
-    return sets.mapInArrow(first, "sig long, members binary")
+    return written(sets if few else sets.dropDuplicates(["sig"]), "shingle-sets")
 
 
 def _with_members(tiles: DataFrame, sets: DataFrame) -> DataFrame:
