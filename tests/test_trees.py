@@ -115,3 +115,33 @@ def test_cohorts_are_fitted_together_and_as_if_alone(spark, monkeypatch):
     assert {r["model"]: pytest.approx(r["auc_mean"]) for r in alone.collect()} == {"rf": fleet[2][4], "lr": fleet[2][5]}
     drift = models.fleet_drift(users, trees=6).groupBy("signup_cohort").agg(F.round(F.sum("importance"), 6).alias("s")).collect()
     assert {tuple(r) for r in drift} == {("2024-01", 1.0), ("2024-02", 1.0)}
+
+
+def test_scores_do_not_depend_on_blocks_and_chunks(spark, monkeypatch):
+    """Rows meet the forest in blocks and chunks, and the scores are those of each tree on each row, to the bit."""
+    frame = models.with_balanced_weights(people(spark))
+    monkeypatch.setattr(trees, "BLOCK", 100)
+    model = models.random_forest(COLUMNS, 9, 3).fit(models.in_order(frame))
+    whole = scores(model.score(frame))
+    monkeypatch.setattr(trees, "SCORE_ROWS", 150)
+    monkeypatch.setattr(trees, "CHUNK_BYTES", 500)
+    assert scores(model.score(frame)) == whole and len(whole) == 600
+    data = frame.toPandas()
+    xb, sums = trees.binned(data[COLUMNS].to_numpy(), model.cuts), np.zeros(600, np.int64)
+    grown = {(r.tree, r.node): trees.unpacked(bytes(r.nodes)) for r in model.parts.collect()}
+    for tree, top in enumerate(model.tops):
+        for node, own in trees.by_place(trees.route(top, xb)):
+            nodes = grown[tree, node]
+            sums[own] += np.rint(nodes["value"][trees.route(nodes, xb[own])] * trees.ONE).astype(np.int64)
+    assert [whole[u] for u in data.person_id] == (sums / 9 / trees.ONE).tolist()
+
+
+def test_batch_scores_build_their_labels_once(spark, monkeypatch):
+    """The result reads the written labels; their lineage, a pass over the log, is not in it again."""
+    from usagekit.plans import catalog
+
+    plain = models.random_forest
+    monkeypatch.setattr(models, "random_forest", lambda columns, trees, min_leaf: plain(columns, 5, min_leaf))
+    out = catalog.queries()["ces_batch_score"](spark, "/root/testdata/sf0.001")
+    tables = {name.rsplit("/", 2)[1].rpartition("-")[0] for name in out.inputFiles()}
+    assert tables == {"ces-labelled", "ces-scores"} and out.count() > 0
