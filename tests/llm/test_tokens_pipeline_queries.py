@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import compare, duck
 from frames import docs_frame
@@ -175,3 +176,22 @@ def test_query_equals_sql(spark, con, name):
 def test_all_operators_and_the_pipeline_are_registered():
     names = list(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+
+
+def test_a_worker_forgets_its_words_when_a_pack_task_ends(spark):
+    """Workers are used again: what one remembered of a task would stay beside the memory of all later stages."""
+    path = packing.vocabulary_path()
+    packing.pack_documents(docs_frame(spark, [f"word{'xyz'[i % 3]} other{i}" for i in range(300)], 8)).count()
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(packing.encoder(path).index)] * batch.num_rows, pa.int64())})
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {1}
+
+
+def test_words_are_encoded_in_bounded_parts(monkeypatch):
+    texts = pa.array([" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {i} ﬁ{i}" for i in range(2000)), "<|endoftext|> a", None])
+    whole = packing.WordIds(packing.vocabulary_path()).encode(texts)
+    monkeypatch.setattr(packing, "NEW", 7)
+    assert all((a == b).all() for a, b in zip(whole, packing.WordIds(packing.vocabulary_path()).encode(texts), strict=True))

@@ -28,7 +28,8 @@ from usagekit.llm.common import materialize, running_start, small_batches
 CAPACITY, CLASSES, CELLS = 2048, 32, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 LEFT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin long, offset long"
-MEMORY = 96 << 20  # bytes of words and ids a worker remembers, entries of its dictionary included; it forgets all when full
+MEMORY = 48 << 20  # bytes of words and ids a task remembers, entries of its dictionary included; it forgets all when full
+NEW = 16_384  # words that are encoded at once: the tokenizer holds some hundred bytes for each of their tokens
 ENTRY = 200  # bytes of an entry besides the characters of its word and its ids
 
 
@@ -83,15 +84,17 @@ class WordIds:
         self.index.update(zip(words, range(known, known + len(words)), strict=True))
 
     def learn(self, words: list[str]) -> None:
-        """Encodes new words: those of letters in one text, cut where a token ends a word; others one by one."""
-        letters = [w for w in words if w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha())]
-        if letters:
-            flat = np.array(self.plain.encode_batch_fast(["\n".join(letters)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends_word[flat])
-            self._add(letters, flat, np.diff(ends, prepend=-1))
-        if others := list(set(words).difference(letters)):
-            found = [x.ids for x in self.whole.encode_batch_fast(others, add_special_tokens=False)]
-            self._add(others, np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64))
+        """Encodes new words, NEW at once: those of letters in one text, cut where a token ends a word; others one by one."""
+        for at in range(0, len(words), NEW):
+            part = words[at : at + NEW]
+            letters = [w for w in part if w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha())]
+            if letters:
+                flat = np.array(self.plain.encode_batch_fast(["\n".join(letters)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.ends_word[flat])
+                self._add(letters, flat, np.diff(ends, prepend=-1))
+            if others := list(set(part).difference(letters)):
+                found = [x.ids for x in self.whole.encode_batch_fast(others, add_special_tokens=False)]
+                self._add(others, np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64))
 
     def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of all texts, one after the other, and how many each text has."""
@@ -121,7 +124,7 @@ class WordIds:
         return out
 
 
-def stretches(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def stretches(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Begin and end of runs of texts of about ``size`` bytes, one text at least."""
     begin, held = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
@@ -169,6 +172,8 @@ def pieces(docs: DataFrame, capacity: int, classes: int, end_id: int, path: str
                 [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.int32()], strict=True)],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"],
             )
+        words.clear()  # the worker goes on to other tasks, which need its memory
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 

@@ -27,7 +27,7 @@ LEAST, COVERED, LONGEST = 10, 30, 100
 MIN_WORDS, MAX_REPEAT = 50, 50
 # Characters that count as symbols, and ASCII white space.
 SYMBOLS, WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
-CHUNK = 400_000  # words that are sorted together; a longer text is sorted alone
+CHUNK = 100_000  # words that are sorted together; a longer text is sorted alone
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
 
 
